@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts, token_files
-from .common import fresh_path, read_table
+from . import exact_dedup, language, packing, pii, token_counts, token_files, toxicity, warc
+from .common import fresh_path, in_training, read_table
 
 EOT = 50_256
 
@@ -23,10 +23,31 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.detect(read_table(spark, sf_dir, "documents")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.sample(docs.filter(in_training()).select("doc_id", "text", "lang")))
+    return found.select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), bpe_path())
 
 
+def toxicity_scorer(spark: SparkSession, sf_dir: str) -> toxicity.Scorer:
+    """Trained on labelled rows of documents that are not held out."""
+    labelled = read_table(spark, sf_dir, "documents").filter(in_training()).select("doc_id", "text").join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return toxicity.train(*toxicity.sample(labelled))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read_table(spark, sf_dir, "documents"), toxicity_scorer(spark, sf_dir))
+    return scored.select("doc_id", (~in_training()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, shard, doc_no, start (in its shard), n_tokens (with the end id), closed."""
     folder = fresh_path(spark, "flat")
@@ -40,6 +61,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.write_archives(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -48,8 +74,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
