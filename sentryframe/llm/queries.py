@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, pii, token_counts, token_files, toxicity, warc
+from . import decontamination, exact_dedup, language, packing, pii, token_counts, token_files, toxicity, warc
 from .common import fresh_path, in_training, read_table
 
 EOT = 50_256
@@ -17,6 +17,11 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: pairs of a document and a benchmark item, with the alignment's score and place."""
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, bpe_path())
@@ -73,6 +78,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
