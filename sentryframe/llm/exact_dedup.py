@@ -83,28 +83,40 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) ->
     return found.drop("slot", "bucket", "bit", "map")
 
 
-def unequal_hits(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests of which some row's whole text differs from the text that the state points to."""
+def _scan(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.parquet(path).select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.col(text_col).alias("text"))
+
+
+def unequal_hits(scan: DataFrame, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hits with their whole texts, and the digests of which some hit's text differs from the text the state points to.
+
+    Hits are found among narrow rows; their places then select the texts, so other texts are read but not moved."""
     groups = state.filter("group_size > 1").select("digest", F.col("keep.place").alias("keep_place"))
-    hits = maybe_in(rows, groups, "digest").join(groups, "digest")
+    places = table(rows.join(groups, "digest"), "hits")
+    texts = maybe_in(scan.select("place", "text"), places, "place")
+    hits = table(texts.join(places, "place").select("id", "place", "digest", "keep_place", normal_text(F.col("text")).alias("normal")), "hit-texts")
     kept = hits.filter("place = keep_place").select(F.col("digest").alias("d"), F.col("normal").alias("kept_text"))
-    return hits.filter("place != keep_place").join(kept, F.col("digest") == F.col("d")).filter("normal != kept_text").select("digest").distinct()
+    return hits, hits.filter("place != keep_place").join(kept, F.col("digest") == F.col("d")).filter("normal != kept_text").select("digest").distinct()
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, max_bytes: int = 1 << 40, max_files: int | None = None) -> DataFrame:
     """One row per row of the files: id, place, keep_id, group_size, kept, digest."""
     state = run_stream(spark, path, id_col, text_col, digest, max_bytes, max_files)
-    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
-    bad = table(unequal_hits(rows, state), "unequal")
+    scan = _scan(spark, path, id_col, text_col)
+    rows = table(scan.select("id", "place", digest(normal_text(F.col("text"))).alias("digest")), "digests")
+    hits, unequal = unequal_hits(scan, rows, state)
+    bad = table(unequal, "unequal")
     n_bad = bad.count()
-    result = rows.drop("normal").join(state, "digest").select("id", "place", F.col("keep.id").alias("keep_id"), "group_size", (F.col("place") == F.col("keep.place")).alias("kept"), "digest")
+    columns = ["id", "place", F.col("keep.id").alias("keep_id"), "group_size", (F.col("place") == F.col("keep.place")).alias("kept"), "digest"]
+    result = rows.join(state, "digest").select(columns)
     if not n_bad:
         return result
     bad = sized_broadcast(bad, n_bad, 100_000)
-    apart = rows.join(bad, "digest")
+    apart = hits.join(bad, "digest").drop("keep_place")
     regrouped = apart.groupBy("digest", "normal").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    again = apart.join(regrouped, ["digest", "normal"]).select("id", "place", F.col("keep.id").alias("keep_id"), "group_size", (F.col("place") == F.col("keep.place")).alias("kept"), "digest")
-    return result.join(bad, "digest", "left_anti").unionByName(again.select(result.columns))
+    again = apart.join(regrouped, ["digest", "normal"]).select(columns)
+    return result.join(bad, "digest", "left_anti").unionByName(again)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
