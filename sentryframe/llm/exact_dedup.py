@@ -46,7 +46,8 @@ def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col:
     rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest)  # as a pattern, the path may also be one file
     state = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     out = fresh_path(spark, "dedup-state")
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    # without fallocate a store takes the disk it fills, not some MB in advance for its logs
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
