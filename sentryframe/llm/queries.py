@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language, packing, pii, token_counts, token_files, toxicity, warc
+from . import decontamination, exact_dedup, language, ngram_join, packing, pii, token_counts, token_files, toxicity, warc
 from .common import fresh_path, in_training, read_table
 
 EOT = 50_256
@@ -66,6 +66,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = warc.write_archives(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -86,6 +90,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
