@@ -44,8 +44,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_scorer(spark: SparkSession, sf_dir: str) -> toxicity.Scorer:
     """Trained on labelled rows of documents that are not held out."""
-    labelled = read_table(spark, sf_dir, "documents").filter(in_training()).select("doc_id", "text").join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return toxicity.train(*toxicity.sample(labelled))
+    training = read_table(spark, sf_dir, "documents").filter(in_training())
+    return toxicity.train(*toxicity.sample(training, read_table(spark, sf_dir, "labels")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

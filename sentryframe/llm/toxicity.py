@@ -252,19 +252,23 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1,
         return Scorer(p, prior if len(y) else 0.0, False)
     odds, rng = _log_odds(docs, y), np.random.default_rng(seed)
     vocabulary = _Vocabulary()
-    ids = [np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in docs]
-    own, grams, count = word_features(list(vocabulary))
+    ids = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in docs]
+    del docs
+    words = list(vocabulary)
+    parts = [word_features(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    own, grams, count = (np.concatenate([x[j] for x in parts]).astype(np.int32) for j in range(3))
     begin = np.cumsum(count) - count
     telling = np.array([max(odds.get(w, 0), odds.get(w[:5] + b"*", 0) if len(w) > 5 else 0) for w in vocabulary])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for round_no in range(rounds):
         if round_no:
-            text, start, logit = Scorer(p, prior, True).window_logits(texts)
-            before = np.cumsum([0, *map(len, docs)])
-            by_doc: dict[int, list] = {}
-            for i, s, v in zip(text.tolist(), start.tolist(), logit.tolist()):
-                by_doc.setdefault(i, []).append((v, s - int(before[i])))
+            scorer, by_doc = Scorer(p, prior, True, 60_000), {}
+            for first in range(0, len(texts), 300):
+                text, start, logit = scorer.window_logits(texts[first : first + 300])
+                before = np.cumsum([0, *map(len, ids[first : first + 300])])
+                for i, s, v in zip(text.tolist(), start.tolist(), logit.tolist()):
+                    by_doc.setdefault(first + i, []).append((v, s - int(before[i])))
         picked = []
         for i, w in enumerate(ids):
             if not len(w):
@@ -303,17 +307,18 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1,
     return Scorer(p, prior, True)
 
 
-def sample(labelled: DataFrame, max_positive: int = 1_500, max_negative: int = 4_000, max_chars: int = 12_000) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample of training rows (doc_id, text, toxic), chosen by a hash of the id."""
-    rows = labelled.filter(f"toxic in (0, 1) and length(text) <= {max_chars}")
-    texts, labels = [], []
-    for label, most in ((1, max_positive), (0, max_negative)):
-        ids = rows.filter(F.col("toxic") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        got = rows.filter(F.col("toxic") == label).join(F.broadcast(ids), "doc_id").select("doc_id", "text").orderBy("doc_id", "text").limit(most)
-        for r in got.collect():
-            texts.append(r.text)
-            labels.append(label)
-    return texts, labels
+def sample(docs: DataFrame, labels: DataFrame, max_positive: int = 1_200, max_negative: int = 3_000, max_chars: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and labels of a bounded sample of training rows, chosen by a hash of the id.
+
+    Ids are chosen among narrow rows (id and length); only the chosen ones, a bounded number, fetch their texts."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = rows.select("doc_id", F.length("text").alias("chars")).filter(F.col("chars") <= max_chars).select("doc_id").join(labels.select("doc_id", "toxic").filter("toxic in (0, 1)"), "doc_id")
+    chosen = None
+    for label, n in ((1, max_positive), (0, max_negative)):
+        some = narrow.filter(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    got = rows.join(F.broadcast(chosen), "doc_id").orderBy("toxic", "doc_id", "text").limit(max_positive + max_negative).collect()
+    return [r.text for r in got], [r.toxic for r in got]
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
