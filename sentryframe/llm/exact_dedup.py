@@ -74,14 +74,20 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """The rows whose key may be among keys: a bitmap of fixed size is broadcast, so most other rows never reach a shuffle."""
+def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """Adds maybe: false where the row's key is surely not among keys. Told by a bitmap of fixed size, which is broadcast."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  bitmap functions count from 1
     maps = keys.select(slot(F.col(key)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
     marked = rows.withColumn("slot", slot(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("bit", F.bitmap_bit_position("slot"))
     byte = F.conv(F.hex(F.substring(F.col("map"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = marked.join(F.broadcast(maps), "bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
-    return found.drop("slot", "bucket", "bit", "map")
+    found = marked.join(F.broadcast(maps), "bucket", "left")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return found.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("slot", "bucket", "bit", "map")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose key may be among keys: most other rows never reach a shuffle."""
+    return mark_maybe(rows, keys, key, bits).filter("maybe").drop("maybe")
 
 
 def _scan(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:

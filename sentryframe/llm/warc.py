@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .exact_dedup import mark_maybe
 from .files import read_range, write_whole
 
 DATE = "2024-01-01T00:00:00Z"
@@ -89,15 +90,21 @@ def parse_record(raw: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit_bytes: int) -> DataFrame:
-    """Pages with the id each refers to (null: it is a response). Grouping keys are 20-byte digests and sizes; one row per
-    digest is joined back, and Spark splits a hot digest's partition."""
+    """Pages with digest, size and the id each refers to (null: it is a response; revisits carry no payload on).
+
+    Digests are grouped among narrow rows. Only pages whose digest may recur (told by a broadcast bitmap of fixed size) are
+    joined with their group; Spark splits a hot digest's partition. Other payloads go straight to the writers."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     groups = rows.groupBy("digest", "size").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes))
-    joined = rows.join(groups.drop("n"), ["digest", "size"], "left")
+    groups = table(groups.drop("n"), "warc-groups")
+    marked = mark_maybe(rows, groups, "digest")
+    again = marked.filter("maybe").drop("maybe").join(groups, ["digest", "size"], "left")
+    alone = marked.filter("not maybe").drop("maybe").withColumn("original", F.lit(None).cast("long"))
     refers = F.when(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    planned = again.unionByName(alone).withColumn("refers_to", refers)
+    return planned.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, block_lines: int = 300) -> DataFrame:
@@ -112,8 +119,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             at = 0
             for b in batches:
                 for r in b.to_pylist():
-                    payload = r["payload"]
-                    raw = record_bytes(r["page_id"], r["url"], payload, payload_digest(payload), len(payload), r["refers_to"])
+                    digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
+                    raw = record_bytes(r["page_id"], r["url"], r["payload"] or b"", digest, r["size"], r["refers_to"])
                     lines.append((r["key"], "" if r["page_id"] is None else str(r["page_id"]), at, len(raw)))
                     at += len(raw)
                     yield raw
