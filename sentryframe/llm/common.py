@@ -43,3 +43,9 @@ def sized_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 def in_training(id_col: str = "doc_id"):
     """True for rows whose crc32(id as text) mod 5 is not 0; the others are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows that each stand for much work (a block to read) over the cores: a stated number of partitions is not coalesced."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism, 10_000)), *keys)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import spread, table
 from .encoding import encoder, small_batches
 from .files import list_files, read_range, write_whole
 
@@ -71,7 +71,7 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u
     files = list_files(spark, folder, glob).filter("length > 0")
     blocks = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * step).alias("at"), F.least(F.lit(step), F.col("length") - F.col("block") * step).cast("long").alias("size"))
-    found = table(scan_blocks(blocks.repartition("path", "block"), end_id, dtype), "blocks")
+    found = table(scan_blocks(spread(blocks, "path", "block"), end_id, dtype), "blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last_end = F.col("first") + F.element_at("ends", -1) + 1
     stitched = found.select(

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 from .exact_dedup import mark_maybe
 from .files import read_range, write_whole
 
@@ -170,7 +170,7 @@ def read_archives(directory: DataFrame) -> DataFrame:
                 rows = pd.DataFrame([parse_record(x) for x in _members(raw, ends)], columns=names)
                 yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return directory.repartition("index_file", "offset").mapInPandas(work, RECORD)
+    return spread(directory, "index_file", "offset").mapInPandas(work, RECORD)
 
 
 def find_blocks(directory: DataFrame, keys: DataFrame, slice_rows: int = 200_000) -> DataFrame:
