@@ -7,8 +7,8 @@
    all documents alike), then by hash. Two similar sets share a shingle within their prefixes. Shingles without a mark are
    in one document only and need no posting. Documents with identical prefix and size are collapsed into one group; groups
    meet at shingles, and only then are members expanded.
-3. Members are linked in rounds. In a round, each shingle's posting list picks two pivots by hash, members of other
-   components than the pivot's are compared with it, and links merge components. Lists within one component drop out, so
+3. Members are linked in rounds. In a round, each shingle's posting list picks two pivots, one from the middle of a group
+   and one by hash; members of other components than the pivot's are compared with it, and links merge components. Lists within one component drop out, so
    large groups of near copies cost rows in proportion to their members. A last pass compares all pairs of members that
    still share a prefix shingle and are in different components, so no component is missed.
 4. A pair must pass the size and position bounds, then a bound on the symmetric difference from the parity bitmaps; all
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, table
+from .common import sized_broadcast, table, without_ids
 from .encoding import small_batches
 
 LEVELS = (2, 16, 256, 4096)
@@ -202,7 +202,7 @@ def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
                         seen.add(gid)
                     # shingles of this set alone make a prefix that no other set has
                     pid = set_key(np.append(prefix, np.uint64(len(s)))) if not alone else gid
-                    out.append((0, gid, pid, len(s), 0))
+                    out.append((0, gid, pid, len(s), alone))
                     if ("p", pid) not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(("p", pid))
@@ -211,7 +211,7 @@ def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
                     continue
                 size = [len(x[0]) for x in tokens]
                 wide = lambda i, t: np.repeat(np.array([x[i] for x in tokens], t), size)
-                kind, gid, pid, n, pos = zip(*out)
+                kind, gid, pid, n, few = zip(*out)
                 token = np.concatenate([x[0] for x in tokens]).view(np.int64) if tokens else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -219,12 +219,13 @@ def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
                         pa.array(np.concatenate([np.array(gid, np.int64), token])),
                         pa.array(np.concatenate([np.array(pid, np.int64), wide(1, np.int64)])),
                         pa.array(np.concatenate([np.array(n, np.int32), wide(2, np.int32)])),
-                        pa.array(np.concatenate([np.array(pos, np.int32), wide(3, np.int32) + np.concatenate([np.arange(z, dtype=np.int32) for z in size] or [np.zeros(0, np.int32)])])),
+                        pa.array(np.concatenate([np.zeros(len(out), np.int32), wide(3, np.int32) + np.concatenate([np.arange(z, dtype=np.int32) for z in size] or [np.zeros(0, np.int32)])])),
+                        pa.array(np.concatenate([np.array(few, np.int32), wide(3, np.int32)])),
                     ],
-                    ["kind", "item", "pid", "n", "pos"],
+                    ["kind", "item", "pid", "n", "pos", "alone"],
                 )
 
-    return docs.mapInArrow(work, "kind int, item long, pid long, n int, pos int")
+    return docs.mapInArrow(work, "kind int, item long, pid long, n int, pos int, alone int")
 
 
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -313,9 +314,14 @@ def _possible(n_a, n_b, pos_a, pos_b):
 
 
 def _star_pairs(lists: DataFrame, round_no: int) -> DataFrame:
-    """Members against two pivots of their list, where components differ."""
-    me = F.struct(F.xxhash64("gid", F.lit(round_no)).alias("h"), "gid", "comp", "n", "pos")
-    pivots = lists.groupBy("token").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").drop("c0", "c1")
+    """Members against two pivots of their list, where components differ.
+
+    The first pivot has the fewest shingles that only it has, so it lies in the middle of a group of near copies (from the
+    second round on a few more than the fewest, to try others); the second is picked by hash."""
+    h = F.xxhash64("gid", F.lit(round_no))
+    middle = F.col("alone") + F.pmod(h, F.lit(1 + 4 * round_no))
+    me = lambda order: F.struct(order.alias("order"), h.alias("h"), "gid", "comp", "n", "pos")
+    pivots = lists.groupBy("token").agg(F.min(me(middle)).alias("lo"), F.min(me(h)).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").drop("c0", "c1")
     met = lists.join(pivots, "token")
     out = []
     for p in ("lo", "hi"):
@@ -356,14 +362,14 @@ def similar_components(docs: DataFrame, k: int = 5, star_rounds: int = 4, broadc
         marks.maps[r.n][r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
     sketch = counted.filter("kind = 0")
     prefixes = table(_prefixes(rows, k, marks), "prefixes")
-    groups = prefixes.filter("kind = 0").select(F.col("item").alias("gid"), "pid", "n").distinct()
-    posted = prefixes.filter("kind = 1").select(F.col("item").alias("token"), "pid", "n", "pos")
+    groups = prefixes.filter("kind = 0").select(F.col("item").alias("gid"), "pid", "n", "alone").distinct()
+    posted = prefixes.filter("kind = 1").select(F.col("item").alias("token"), "pid", "n", "pos", "alone")
     shared = posted.groupBy("token").agg(F.min("pid").alias("p0"), F.max("pid").alias("p1")).filter("p0 != p1").select("token")
     posted = posted.join(shared, "token").distinct()
     # members of one group share their whole prefix: they meet at the group itself
     within = groups.join(groups.groupBy("pid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("pid"), "pid")
-    lists = posted.join(groups.select("gid", "pid"), "pid").select("token", "gid", "n", "pos")
-    lists = table(lists.unionByName(within.select(F.col("pid").alias("token"), "gid", "n", F.lit(0).alias("pos"))), "lists")
+    lists = posted.join(groups.select("gid", "pid"), "pid").select("token", "gid", "n", "pos", "alone")
+    lists = table(lists.unionByName(within.select(F.col("pid").alias("token"), "gid", "n", F.lit(0).alias("pos"), "alone")), "lists")
     wanted = lists.select("gid").distinct()
     found = sketch.join(wanted, "gid").groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("bits"))
     nodes = table(found, "nodes")
@@ -394,5 +400,5 @@ def similar_components(docs: DataFrame, k: int = 5, star_rounds: int = 4, broadc
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which no similar document has a smaller id."""
-    others = similar_components(docs, id_col=id_col, text_col=text_col).filter("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(others, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    others = similar_components(docs, id_col=id_col, text_col=text_col).filter("component_id != doc_id")
+    return without_ids(docs, others.select("doc_id").distinct(), id_col)
