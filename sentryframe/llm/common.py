@@ -49,3 +49,18 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Deals rows that each stand for much work (a block to read) over the cores: a stated number of partitions is not coalesced."""
     n = rows.count()
     return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism, 10_000)), *keys)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base with underscores, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not among ids (one column, distinct). Rows with a null id stay. Columns keep their names."""
+    gone = free_name(docs, "gone")
+    ids = ids.toDF(gone)
+    return docs.join(ids, docs[id_col].cast("long") == ids[gone], "left_anti")

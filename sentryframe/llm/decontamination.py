@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_ids
 from .encoding import small_batches
 from .toxicity import words_of
 
@@ -224,5 +225,4 @@ def hash_of(item) -> int:
 
 def drop_contaminated(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs without a leak. Leaks are pairs, so their ids are made distinct before the join."""
-    ids = leaks.select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(ids, F.col(id_col).cast("long") == F.col("leaked"), "left_anti")
+    return without_ids(docs, leaks.select("doc_id").distinct(), id_col)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, sized_broadcast, table
+from .common import free_name, fresh_path, sized_broadcast, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -131,7 +131,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     path = fresh_path(spark, "dedup-input")
     docs.write.parquet(path)
-    dropped = exact_dedup(spark, path, id_col, text_col).filter("not kept").select(F.col("place").alias("gone"))
+    gone = free_name(docs, "gone")
+    dropped = exact_dedup(spark, path, id_col, text_col).filter("not kept").select(F.col("place").alias(gone))
     landed = spark.read.schema(docs.schema).parquet(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return landed.withColumn("gone", place).join(dropped, "gone", "left_anti").drop("gone").select(docs.columns)
+    return landed.withColumn(gone, place).join(dropped, gone, "left_anti").select(docs.columns)
