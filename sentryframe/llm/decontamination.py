@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import without_ids
-from .encoding import small_batches
+from .encoding import release, small_batches
 from .toxicity import words_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -181,6 +181,7 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_seeds: int, min_s
     sent = context.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         items = sent.value
         known, n = _Known(items.vocabulary), np.zeros(len(items.grams), np.int64)
         for batch in batches:
@@ -204,6 +205,7 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_seeds: int, min_s
     chosen = context.broadcast((seed, (order, first)))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         items, (seed, by_gram) = sent.value, chosen.value
         known = _Known(items.vocabulary)
         for batch in batches:

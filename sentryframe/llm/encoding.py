@@ -137,7 +137,12 @@ def encoder(path: str, specials_as_text: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
-def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 8_000_000):
+def release() -> None:
+    """Frees the worker's encoders; operators that don't encode call it, as Python workers serve one stage after another."""
+    _ENCODERS.clear()
+
+
+def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4_000_000):
     """Slices of an Arrow batch whose texts have about max_bytes together, so that long texts don't pile up."""
     at = text_bytes(batch.column(text))[1]
     group = at[:-1] // max_bytes

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized_broadcast, table, without_ids
-from .encoding import small_batches
+from .encoding import release, small_batches
 
 LEVELS = (2, 16, 256, 4096)
 PARITY_BITS = 2_048
@@ -39,7 +39,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHash(dict):
     """64-bit hashes of words; keeps at most `most`."""
 
-    most = 500_000
+    most = 300_000
 
     def __missing__(self, w: bytes) -> int:
         import xxhash
@@ -104,6 +104,7 @@ def _sketch(docs: DataFrame, k: int, range_bits: int, chunk: int = 2_000_000) ->
     """Rows of kind 0: a document's size, key and bitmap. Rows of kind 1: sorted remainders of the shingles in one hash range."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashed, held, n_held = WordHash(), [], 0
         names = ["kind", "bucket", "doc_id", "n", "gid", "data"]
 
@@ -179,6 +180,7 @@ def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashed, marks, seen = WordHash(), sent.value, set()
         for batch in batches:
             for b in small_batches(batch, "text", 4_000_000):
@@ -230,6 +232,7 @@ def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashed = WordHash()
         for batch in batches:
             for b in small_batches(batch, "text", 4_000_000):

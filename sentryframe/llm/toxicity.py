@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import small_batches
+from .encoding import release, small_batches
 
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8_192, 16_384, 8, 12, 8, 8
 WINDOW, STRIDE = 32, 24
@@ -182,7 +182,7 @@ class _Vocabulary(dict):
 class Scorer:
     """Scores texts; words' inputs are kept between batches up to max_words."""
 
-    def __init__(self, params: dict, prior: float, trained: bool, max_words: int = 150_000):
+    def __init__(self, params: dict, prior: float, trained: bool, max_words: int = 100_000):
         self.p, self.prior, self.trained, self.max_words = params, prior, trained, max_words
         self.known, self.x = _Vocabulary(), np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
 
@@ -330,9 +330,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 def _scored(sent, keep: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = sent.value
         for batch in batches:
-            for b in small_batches(batch, "text", 4_000_000):
+            for b in small_batches(batch, "text", 2_000_000):
                 scores = pa.array(scorer.score(b.column("text").to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, "score"])
 
@@ -344,8 +345,9 @@ def keep_below(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for b in small_batches(batch, text_col, 4_000_000):
+            for b in small_batches(batch, text_col, 2_000_000):
                 yield b.filter(pa.array(sent.value.score(b.column(text_col).to_pylist()) < threshold))
 
     return docs.mapInArrow(work, docs.schema)
