@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut
 from ..config import SOURCE_NAMES, TEST_SOURCES
 from ..functions.decisions import label_value
 
@@ -60,16 +61,27 @@ def shuffled(seed: int, *keys: str):
     return F.sha2(F.concat(F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"), 256)
 
 
-def cap_sources(df: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
-    """Of a source with more than max_rows rows each label keeps its share, rounded half to even.
+def ranked(df: DataFrame, keys: list[str], h: str, order: str = "ord", digits: int = 3) -> DataFrame:
+    """Adds rank: 1, 2, ... per keys in order of the hash column h.
+
+    The hash's leading digits cut each group into 16^digits slots. Slots are ranked apart and shifted by the rows of the slots
+    before (a small table of counts), so a group of any size is spread over many tasks."""
+    cut = df.withColumn("slot", F.substring(h, 1, digits))
+    counts = cut.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("in_slot"))
+    before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*keys, "slot", F.coalesce(F.sum("in_slot").over(before), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(h, order))
+    return cut.withColumn("at", at).join(shift, [*keys, "slot"]).withColumn("rank", F.col("at") + F.col("before")).drop("slot", "at", "before")
 
-    Counts come from a small aggregate that is joined back, so only the ranking sorts rows."""
+
+def cap_sources(df: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
+    """Of a source with more than max_rows rows each label keeps its share, rounded half to even."""
     counts = df.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n_label"))
     share = counts.join(counts.groupBy("source").agg(F.sum("n_label").alias("n_source")), "source")
     keep = F.when(F.col("n_source") > max_rows, F.bround(max_rows / F.col("n_source") * F.col("n_label"))).otherwise(F.col("n_label"))
     bounds = share.select("source", "label", keep.cast("long").alias("keep"))
-    rank = F.row_number().over(Window.partitionBy("source", "label").orderBy(shuffled(seed, "text"), "ord"))
-    return df.join(F.broadcast(bounds), ["source", "label"]).withColumn("rank", rank).filter("rank <= keep").drop("rank", "keep").select(df.columns)
+    rows = ranked(df.withColumn("h", shuffled(seed, "text")), ["source", "label"], "h")
+    return rows.join(F.broadcast(bounds), ["source", "label"]).filter("rank <= keep").select(df.columns)
 
 
 def dedup(df: DataFrame, pool: str = "split_role", order: str = "ord") -> DataFrame:
@@ -81,13 +93,11 @@ def dedup(df: DataFrame, pool: str = "split_role", order: str = "ord") -> DataFr
 
 def split(df: DataFrame, val_fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds split: test for role test; of the rest each label's first max(1, n*f) rows (none of one row) are val."""
-    pool = df.filter("split_role = 'train'")
+    pool = cut(df.filter("split_role = 'train'").select("ord", "label", shuffled(seed, "text", "ord").alias("h")))  # narrow, used twice
     counts = pool.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     n_val = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.floor(F.col("n") * val_fraction))).otherwise(0)
-    # ranking needs one order per label; hash prefixes bound who can be in val, so only they are ranked
-    ranked = pool.select("ord", "label", shuffled(seed, "text", "ord").alias("h"))
-    picked = ranked.join(F.broadcast(counts.select("label", n_val.alias("n_val"))), "label")
-    val = picked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "ord"))).filter("r <= n_val").select("ord", F.lit(True).alias("in_val"))
+    rows = ranked(pool, ["label"], "h")
+    val = rows.join(F.broadcast(counts.select("label", n_val.alias("n_val"))), "label").filter("rank <= n_val").select("ord", F.lit(True).alias("in_val"))
     marked = df.join(val, "ord", "left")
     return marked.withColumn("split", F.when(F.col("split_role") == "test", "test").when(F.coalesce("in_val", F.lit(False)), "val").otherwise("train")).drop("in_val")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut
 from ..config import ATTACK_CALLS, BENIGN_CALLS, ROLES, TIGHTENED_TOOLS
 from ..functions.decisions import conditions_hold, glob_regex, resource_matches
 
@@ -97,17 +98,17 @@ def revoke_cascade(credentials: DataFrame, starts: DataFrame, already: DataFrame
         return df.join(before, "token_id", "left").filter("was_revoked is null or was_revoked > revoked_at").drop("was_revoked")
 
     known = credentials.select("token_id", "issued_at")
-    reached = unless_revoked(starts.join(known, "token_id").filter("issued_at <= revoked_at").groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at"))).checkpoint()
+    reached = cut(unless_revoked(starts.join(known, "token_id").filter("issued_at <= revoked_at").groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at"))))
     frontier = reached
     children = credentials.filter("derived_from is not null").select(F.col("token_id").alias("child"), "derived_from", "issued_at")
     for _ in range(max_depth):
         nxt = frontier.join(children, frontier["token_id"] == children["derived_from"]).filter("issued_at <= revoked_at")
         nxt = unless_revoked(nxt.groupBy(F.col("child").alias("token_id")).agg(F.min("revoked_at").alias("revoked_at")))
         old = reached.select("token_id", F.col("revoked_at").alias("old"))
-        frontier = nxt.join(old, "token_id", "left").filter("old is null or revoked_at < old").drop("old").checkpoint()
+        frontier = cut(nxt.join(old, "token_id", "left").filter("old is null or revoked_at < old").drop("old"))
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier).groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at")).checkpoint()
+        reached = cut(reached.unionByName(frontier).groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at")))
     raise ValueError(f"lineage deeper than {max_depth}, or a cycle")
 
 
@@ -141,7 +142,7 @@ def round_robin(df: DataFrame, mixed: bool = False) -> DataFrame:
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """Adds idx = 0, 1, ... in order of key. Ranges of the key are numbered apart; the ranges' sizes, one row each, are summed."""
     ranged = df.repartitionByRange(F.col(key)).withColumn("range_no", F.spark_partition_id())
-    held = ranged.checkpoint()
+    held = cut(ranged)
     sizes = held.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("range_no", (F.sum("n").over(Window.orderBy("range_no")) - F.col("n")).alias("before"))
     at = F.row_number().over(Window.partitionBy("range_no").orderBy(key)) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut
 from ..config import FILLER, SYNONYMS, TEMPLATES, Calibration
 from ..functions.decisions import normalized, pick
 from .memory import nearest, step
@@ -102,17 +103,17 @@ def red_team_loop(pool: DataFrame, memory: DataFrame, score, embed, n: int, roun
     spark, results = pool.sparkSession, None
     state = pool.select("seed_id", "text", F.expr("cast(array() as array<string>)").alias("evasions"), F.lit(Calibration().start).alias("threshold"), F.lit(0).alias("quiet"))
     for r in range(rounds):
-        done = red_team_round(state.drop("quiet"), memory, score, embed, n, r, seed=seed).checkpoint()
+        done = cut(red_team_round(state.drop("quiet"), memory, score, embed, n, r, seed=seed))
         results = done if results is None else results.unionByName(done)
         new = embed(done.select("seed_id", F.posexplode("evasions").alias("k", "text")))
         added = new.select(F.xxhash64("seed_id", F.lit(r), "k").alias("idx"), "text", normalized(F.col("embedding")).alias("embedding"))
-        memory = memory.select("idx", "text", "embedding").unionByName(added).checkpoint()
+        memory = cut(memory.select("idx", "text", "embedding").unionByName(added))
         last = done.select("seed_id", F.col("evasions").alias("new"), F.col("threshold").alias("t"), "evasion_rate")
         all_ = F.concat("evasions", "new")
         state = state.join(last, "seed_id").select("seed_id", "text", F.slice(all_, F.greatest(F.size(all_) - (carry - 1), F.lit(1)), carry).alias("evasions"), F.col("t").alias("threshold"), F.when(F.col("evasion_rate") < stop_below, F.col("quiet") + 1).otherwise(0).alias("quiet"))
         if stop_after:
             state = state.filter(F.col("quiet") < stop_after)
-        state = state.checkpoint()
+        state = cut(state)
         if state.isEmpty():
             break
     return results if results is not None else spark.createDataFrame([], "seed_id long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BASELINE_TOOLS, SANDBOX_TOOLS, SandboxCaps
+from .policy import small
 
 DOMAIN = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
@@ -38,7 +39,7 @@ def _in_order(*keys: str):
 
 def recipient_known(calls: DataFrame, contacts: DataFrame) -> DataFrame:
     """Adds recipient_known for mail calls (null for others). Without contacts every recipient is unknown."""
-    known = contacts.select(F.col("address").alias("resource")).distinct().withColumn("known", F.lit(True))
+    known = small(contacts.select(F.col("address").alias("resource")).distinct().withColumn("known", F.lit(True)))
     mail = F.col("tool_name").isin("send_email", "forward_email")
     return calls.join(known, "resource", "left").withColumn("recipient_known", F.when(mail, F.col("known").isNotNull())).drop("known")
 
@@ -47,12 +48,12 @@ def object_state(calls: DataFrame, initial: DataFrame | None = None) -> DataFram
     """Adds existed (was the object there before this call) and content (what a read returns).
 
     Writes create, deletes and cancels remove. initial: session_id, resource, content of objects that exist at the start."""
-    spark = calls.sparkSession
     ops = F.when(F.col("tool_name").isin("write_file", "save_note"), "put").when(F.col("tool_name").isin("delete_file", "cancel_event"), "drop")
     rows = calls.withColumn("op", ops).withColumn("content_in", F.coalesce(F.col("params")["content"], F.lit("")))
     if initial is None:
-        initial = spark.createDataFrame([], "session_id string, resource string, content string")
-    rows = rows.join(initial.select("session_id", "resource", F.col("content").alias("initial_content")), ["session_id", "resource"], "left")
+        rows = rows.withColumn("initial_content", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(initial.select("session_id", "resource", F.col("content").alias("initial_content")), ["session_id", "resource"], "left")
     w = _in_order("session_id", "resource").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("op").isNotNull(), F.struct("op", "content_in")), ignorenulls=True).over(w)
     rows = rows.withColumn("last", last)
@@ -82,8 +83,10 @@ def running_domains(calls: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def sandbox(calls: DataFrame, caps: SandboxCaps = SandboxCaps(), initial: DataFrame | None = None, contacts: DataFrame | None = None) -> DataFrame:
-    """Adds safe and notes. All running sums share the session's sort; per-order and per-object ones need one more each."""
+    """Adds safe and notes. Calls are dealt by session once; the windows per session, per order, per object and per domain are
+    all finer than that, so they need sorts but no further shuffle."""
     spark = calls.sparkSession
+    calls = calls.repartition("session_id")
     if contacts is None:
         contacts = spark.createDataFrame([(c,) for c in caps.contacts], "address string")
     rows = object_state(recipient_known(calls, contacts), initial)
