@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_path
 from ..config import BASELINE_TOOLS, POSITIVE_LABELS, NEGATIVE_LABELS, ROLE_KEYWORDS, SANDBOX_TOOLS, TIGHTENED_TOOLS, RiskWeights
 from ..functions import decisions as D
 from ..operators import audit, corpus, fusion, memory, policy, redteam, registry, report, sequence, text, trust
@@ -658,3 +659,72 @@ def k1_online_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k3_flag_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _calls(spark, sf_dir).withColumn("flagged", (F.col("injection") > 0.7).cast("int"))
     return online.flag_rate(rows).select("call_id", r6("session_history_risk").alias("session_history_risk"))
+
+
+@query(f"WITH {CALLS}, {TAGGED}, {HISTORY} SELECT source_type, source_id, round(max_by(trust, n), 6) AS trust, max(n) AS n_updates FROM folded GROUP BY source_type, source_id")
+def k2_trust_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trust as keyed state of a stream over the events."""
+    calls = views.confirmations(trust.tagged(views.tool_calls(spark, sf_dir, stream=True)))
+    done = online.run_to_table(online.trust_stream(calls.select("source_type", "source_id", "ts", "call_id", "outcome")), ("source_type", "source_id"), "n_updates")
+    return done.select("source_type", "source_id", r6("trust").alias("trust"), "n_updates")
+
+
+@query(f"WITH {CALLS}, r AS (SELECT call_id, sum(amount) OVER (PARTITION BY session_id ORDER BY ts, call_id) AS s FROM calls WHERE tool_name = 'run_code') SELECT call_id, s > 60 AS over_cap FROM r")
+def k2_cap_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compute cap as keyed state of a stream over the events."""
+    calls = views.tool_calls(spark, sf_dir, stream=True).filter("tool_name = 'run_code'")
+    rows = calls.select(F.col("session_id").alias("key"), "ts", "call_id", sequence.param("timeout_seconds").alias("amount"))
+    return online.run_to_table(online.cap_stream(rows, 60.0)).select("call_id", F.col("over").alias("over_cap"))
+
+
+@query(ORACLE_SQL["k1_online_scoring"])
+def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scoring over the events as a stream."""
+    calls = views.tool_calls(spark, sf_dir, stream=True)
+    done = online.run_to_table(online.score_stream(calls, tables.default_policies(spark)).select("call_id", "blended", "action"))
+    return done.select("call_id", r6("blended").alias("blended"), "action")
+
+
+# ---- sources and sinks ----
+@query(f"WITH {NAMED} SELECT ord, label, category, source, split_role FROM named")
+def a2_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written as consolidated CSV and read back; ord returns through the text's digest."""
+    path = shared_path(spark, "corpus-csv")
+    c = views.corpus(spark, sf_dir)
+    c.select(F.concat(F.col("ord").cast("string"), F.lit(" "), "text").alias("text"), F.col("label").cast("string").alias("label"), F.col("category").alias("attack_type"), F.col("raw_source").alias("source_dataset"), F.lit("train").alias("split")).write.option("header", True).option("escape", '"').csv(path)
+    rows = tables.read_csv(spark, path).withColumn("ord", F.substring_index("text", " ", 1).cast("long"))
+    return rows.select("ord", "label", "category", "source", "split_role")
+
+
+@query(f"WITH {UNIQUE} SELECT ord, source FROM uniq")
+def a3_cached_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deduplicated corpus, built and written on the first call of its path, then read."""
+    path = shared_path(spark, "corpus")
+    for _ in range(2):
+        df = tables.cached(spark, path, lambda: corpus.dedup(corpus.name_sources(views.corpus(spark, sf_dir))))
+    return df.select("ord", "source")
+
+
+@query(f"WITH {_ENTRIES} SELECT log_id, count(*) AS n_entries, TRUE AS intact FROM entries GROUP BY log_id")
+def a5_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit chains appended as JSON lines, read back and verified."""
+    path = shared_path(spark, "audit")
+    tables.write_audit(audit.append(_entries(spark, sf_dir)), path)
+    return audit.verify(tables.read_audit(spark, path)).select("log_id", "n_entries", "intact")
+
+
+@query(ORACLE_SQL["i2_frontier"])
+def a6_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier written as CSV with a header and read back."""
+    path = shared_path(spark, "frontier")
+    tables.write_results(report.frontier(_labelled(spark, sf_dir)), path, "csv")
+    return spark.read.option("header", True).schema("threshold double, asr double, utility double").csv(path)
+
+
+@query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS label, coalesce(d.lang, 'unknown') AS category FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL")
+def b1_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with other column names (prompt, is_injection, type) brought to the corpus columns."""
+    other = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels"), "doc_id")
+    other = other.select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("prompt"), F.when(F.col("toxic") == 1, "Attack").otherwise("benign").alias("is_injection"), F.col("lang").alias("type"))
+    rows = corpus.normalize(other, "documents")
+    return rows.select(F.substring_index("text", " ", 1).cast("long").alias("doc_id"), "label", "category")

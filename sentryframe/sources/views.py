@@ -13,9 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. As a pattern, the path may also be one file."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """One agent call per event; see the module plans.views_sql for the same view in SQL."""
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = (read_stream if stream else read)(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     kind, k, value = F.col("event_type"), F.col("k"), F.col("value")
     by = lambda **kw: F.coalesce(*[F.when(kind == n, c) for n, c in kw.items()])
     lit = F.lit

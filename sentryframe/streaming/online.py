@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..checkpoints import shared_path
 from ..config import BASE_TRUST, UNKNOWN_TRUST, Calibration, FusionConfig
 from ..operators import fusion, policy, sequence
 
@@ -34,6 +35,36 @@ def windowed_flag_rate(flags: DataFrame, late: str = "1 hour", size: str = "1 da
     return kept.groupBy(F.window("ts", size), key).agg(F.avg(F.col("flagged").cast("double")).alias("flag_rate"), F.count(F.lit(1)).alias("n"))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Runs a stream until it has caught up with its files; the rows it wrote, or with keys the last (by order) of each key.
+
+    Each micro-batch replaces a folder of its own, so a repeated one changes nothing. State is in RocksDB."""
+    spark = stream.sparkSession
+    out = shared_path(spark, "stream")
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if not query.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order or "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
 class TrustProcessor(StatefulProcessor):
     """Adaptive trust per source: state is the trust and the number of updates."""
 
