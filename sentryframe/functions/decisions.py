@@ -128,10 +128,6 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def pseudo_score(text: Column) -> Column:
     """A reproducible stand-in for a detector's score, from the text's SHA-256."""
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..config import Calibration
-from ..functions.decisions import dot, normalized
+from ..functions.decisions import normalized
 
 BLOCK_ROWS = 20_000
 
@@ -17,23 +22,41 @@ def remember(memory: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, memory: DataFrame, key: str = "id") -> DataFrame:
-    """key, similarity and text of the most similar memory entry (the smallest idx on ties); (0.0, null) without memory.
-
-    Exact. Memory is packed into blocks of BLOCK_ROWS entries and sent to the tasks one block at a time, each task keeping the
-    best of a block per query, so a large memory means more passes, not a larger broadcast."""
-    q = queries.select(key, normalized(F.col("embedding")).alias("q"))
-    n = memory.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    best = None
+    """key, similarity and text of the most similar memory entry (the smallest idx on ties); (0.0, null) without memory or vector.
+
+    Exact. Memory is taken in blocks of at most BLOCK_ROWS entries; each is sent to the tasks as one matrix, and every Arrow
+    batch of queries is one matrix product. A large memory means more passes, not a larger broadcast."""
+    blocks = max(1, -(-memory.count() // BLOCK_ROWS))
+    q, best = queries.select(key, "embedding"), None
+    schema = StructType([queries.schema[key], StructField("similarity", DoubleType()), StructField("idx", LongType()), StructField("text", StringType())])
     for k in range(blocks):
         part = memory if blocks == 1 else memory.filter(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == k)
-        packed = part.groupBy().agg(F.collect_list(F.struct("idx", "text", "embedding")).alias("entries"))  # at most a block
-        score = F.transform("entries", lambda e: F.struct(dot(F.col("q"), e["embedding"]).alias("similarity"), (-e["idx"]).alias("order"), e["text"].alias("text")))
-        top = q.join(F.broadcast(packed)).select(key, F.array_max(score).alias("top"))
+        top = q.mapInArrow(_best_of(q.sparkSession, sorted(part.select("idx", "text", "embedding").collect()), key), schema)
         best = top if best is None else best.unionByName(top)
     if blocks > 1:
-        best = best.groupBy(key).agg(F.max("top").alias("top"))
-    return best.select(key, F.coalesce("top.similarity", F.lit(0.0)).alias("similarity"), F.col("top.text").alias("text"))
+        best = best.groupBy(key).agg(F.max_by(F.struct("similarity", "idx", "text"), F.struct("similarity", -F.col("idx"))).alias("top")).select(key, "top.*")
+    return best.select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text")
+
+
+def _best_of(spark: SparkSession, entries: list, key: str):
+    sent = spark.sparkContext.broadcast((np.array([e.embedding for e in entries], np.float64), np.array([e.idx for e in entries], np.int64), [e.text for e in entries]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, idx, texts = sent.value
+        for b in batches:
+            vectors = b.column("embedding").to_pylist()
+            have = [i for i, v in enumerate(vectors) if v is not None and len(idx)]
+            similarity, at = np.zeros(len(b)), np.full(len(b), -1)
+            if have:
+                v = np.array([vectors[i] for i in have], np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                scores = np.round(v @ matrix.T, 12)
+                at[have] = scores.argmax(1)
+                similarity[have] = scores.max(1)
+            found = at >= 0
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(similarity, mask=~found), pa.array(idx[at] if len(idx) else at, pa.int64(), mask=~found), pa.array([texts[i] if i >= 0 else None for i in at.tolist()], pa.string())], [key, "similarity", "idx", "text"])
+
+    return work
 
 
 def screen(queries: DataFrame, memory: DataFrame, threshold: float = 0.9, key: str = "id") -> DataFrame:
