@@ -7,6 +7,8 @@ vector operations on their bytes; each distinct piece is encoded once per worker
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 import numpy as np
@@ -130,16 +132,27 @@ class Encoder:
         return ids, np.append(0, ends)[done]
 
 
+def settle() -> None:
+    """Gives memory that is free inside the worker back to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+    if trim is not None:
+        trim(0)
+
+
 def encoder(path: str, specials_as_text: bool = False) -> Encoder:
     key = (path, specials_as_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, specials_as_text)
+    settle()
     return _ENCODERS[key]
 
 
 def release() -> None:
     """Frees the worker's encoders; operators that don't encode call it, as Python workers serve one stage after another."""
     _ENCODERS.clear()
+    gc.collect()
+    settle()
 
 
 def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4_000_000):
