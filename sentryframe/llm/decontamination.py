@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds join passages of documents to test items, Smith-Waterman scores them.
 
 Test items are cut into segments (long ones into overlapping segments of `segment` words). A first pass over the documents
-counts in how many each n-gram of the items occurs. An item's seeds are its n-grams in at most `rare_share` of the
-documents, and its `min_seeds` rarest ones in any case, so a passage that half the corpus repeats has seeds, too. A second
-pass finds the seeds in each whole text, lines up segment and text at each seed, and aligns them by Smith-Waterman over
-words (match 2, mismatch -1, gap -1); many alignments are computed at once, one row of all matrices per step. The score is
-the alignment's share of the segment's best possible one; pairs of at least `min_score` are leaks.
+counts in how many each n-gram of the items occurs. Every n-gram is a seed: those in at most `rare_share` of the documents
+without condition; where a segment meets a text in frequent ones only, it is left out if so few of its words are in the
+window that no alignment can reach `min_score` (each word matches once at most, so this drops no leak). So edited and
+partial copies of a passage that half the corpus repeats have seeds, too; only a copy without one whole n-gram has none.
+A second pass finds the seeds in each whole text, lines up segment and text at each seed, and aligns them by Smith-Waterman
+over words (match 2, mismatch -1, gap -1); many alignments are computed at once, one row of all matrices per step. The score
+is the alignment's share of the segment's best possible one; pairs of at least `min_score` are leaks.
 
 The items are a stated query set. They are sent to the tasks in blocks of at most `block_words` words, with both passes
 made per block, so a benchmark of any size works. Texts are never shuffled.
@@ -50,6 +52,8 @@ class Items:
     of_gram: np.ndarray  # per occurrence: place in grams
     segment: np.ndarray  # per occurrence
     place: np.ndarray  # per occurrence: word offset in the segment
+    flat: np.ndarray  # the words of all segments
+    size: np.ndarray  # words of each segment
 
 
 def hashes(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +89,7 @@ def index_items(rows: list[tuple[int, str]], n: int = 4, segment: int = 64) -> I
     gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
     grams, of_gram = np.unique(gram, return_inverse=True)
     whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return Items(vocabulary, item, words, n, grams, of_gram, whole(seg), whole(place))
+    return Items(vocabulary, item, words, n, grams, of_gram, whole(seg), whole(place), whole(words), np.array(list(map(len, words)), np.int64))
 
 
 def text_hits(items: Items, known: _Known, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,28 +126,52 @@ def smith_waterman(segments: list[np.ndarray], windows: list[np.ndarray]) -> tup
     return best, end
 
 
-def align_batch(items: Items, texts: list[str | None], seed: np.ndarray, by_gram: tuple[np.ndarray, np.ndarray], known: _Known, min_score: float) -> list[tuple]:
+def reachable(items: Items, seg: np.ndarray, present: np.ndarray, min_score: float) -> np.ndarray:
+    """Which of some segments have enough words among those present to reach min_score."""
+    n = items.size[seg]
+    before = np.cumsum(n) - n
+    at = np.repeat((np.cumsum(items.size) - items.size)[seg] - before, n) + np.arange(n.sum())
+    return np.add.reduceat(present[items.flat[at]].astype(np.int64), before) >= min_score * n if len(seg) else np.zeros(0, bool)
+
+
+def align_batch(items: Items, texts: list[str | None], rare: np.ndarray, by_gram: tuple[np.ndarray, np.ndarray], known: _Known, min_score: float) -> list[tuple]:
     """(text, item, score, seeds, first word, last word) of the pairs found in some texts."""
     order, first = by_gram
     jobs = []
     for i, text in enumerate(texts):
         ids, at, gram = text_hits(items, known, text)
-        ok = seed[gram]
-        at, gram = at[ok], gram[ok]
         if not len(at):
             continue
         n = first[gram + 1] - first[gram]
         occ = order[np.repeat(first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         seg, begin = items.segment[occ], np.repeat(at, n) - items.place[occ]
+        present = np.zeros(len(items.vocabulary) + 1, bool)
+        present[ids] = True
+        present[0] = False
+        met, of_met = np.unique(seg, return_inverse=True)
+        few = np.bincount(of_met, np.repeat(rare[gram], n)) > 0
+        few[~few] = reachable(items, met[~few], present, min_score)
+        ok = few[of_met]
+        seg, begin, sure = seg[ok], begin[ok], np.repeat(rare[gram], n)[ok]
+        if not len(seg):
+            continue
         by = np.lexsort((begin, seg))
-        seg, begin = seg[by], begin[by]
-        size = np.array([len(items.words[s]) for s in seg])
+        seg, begin, sure = seg[by], begin[by], sure[by]
+        size = items.size[seg]
+        present[:] = False
         slack = np.maximum(8, size // 2)
         new = np.append(True, (seg[1:] != seg[:-1]) | (begin[1:] - begin[:-1] > size[1:] + 2 * slack[1:]))
         edges = [*np.flatnonzero(new).tolist(), len(seg)]
         for x, y in zip(edges, edges[1:]):
             lo, hi = max(0, int(begin[x] - slack[x])), min(len(ids), int(begin[y - 1] + size[x] + slack[x]))
-            jobs.append((i, int(seg[x]), y - x, lo, ids[lo:hi]))
+            window = ids[lo:hi]
+            if not sure[x:y].any():
+                present[window[window > 0]] = True
+                enough = reachable(items, seg[x : x + 1], present, min_score)[0]
+                present[window] = False
+                if not enough:
+                    continue
+            jobs.append((i, int(seg[x]), y - x, lo, window))
     jobs.sort(key=lambda j: (len(j[4]), len(items.words[j[1]])))
     best: dict[tuple, tuple] = {}
     k = 0
@@ -160,7 +188,7 @@ def align_batch(items: Items, texts: list[str | None], seed: np.ndarray, by_gram
     return [(*k, *v) for k, v in sorted(best.items(), key=lambda x: x[0][0])]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.5, rare_share: float = 2e-4, min_rare: int = 20, min_seeds: int = 12, segment: int = 64, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: float = 0.5, rare_share: float = 2e-4, min_rare: int = 20, segment: int = 64, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, n_seeds, word_start, word_end of every leak."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -172,11 +200,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: flo
         block = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = index_items(sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), n, segment)
         if len(items.grams):
-            found = found.unionByName(_block_leaks(rows, items, max(min_rare, int(rare_share * n_docs)), min_seeds, min_score))
+            found = found.unionByName(_block_leaks(rows, items, max(min_rare, int(rare_share * n_docs)), min_score))
     return found
 
 
-def _block_leaks(rows: DataFrame, items: Items, most: int, min_seeds: int, min_score: float) -> DataFrame:
+def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) -> DataFrame:
     context = rows.sparkSession.sparkContext
     sent = context.broadcast(items)
 
@@ -194,23 +222,18 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_seeds: int, min_s
     in_docs = np.zeros(len(items.grams), np.int64)
     for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # no more rows than grams in the block
         in_docs[r.gram] = r.n
-    seed = in_docs <= most
-    item_of = np.array([hash_of(i) for i in items.item])[items.segment]
-    by = np.lexsort((in_docs[items.of_gram], item_of))
-    starts = np.append(True, item_of[by][1:] != item_of[by][:-1])
-    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(starts, np.arange(len(by)), 0))
-    seed[items.of_gram[by[rank < min_seeds]]] = True
+    rare = in_docs <= most
     order = np.argsort(items.of_gram, kind="stable")
     first = np.searchsorted(items.of_gram[order], np.arange(len(items.grams) + 1))
-    chosen = context.broadcast((seed, (order, first)))
+    chosen = context.broadcast((rare, (order, first)))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        items, (seed, by_gram) = sent.value, chosen.value
+        items, (rare, by_gram) = sent.value, chosen.value
         known = _Known(items.vocabulary)
         for batch in batches:
             for b in small_batches(batch, "text"):
-                got = align_batch(items, b.column("text").to_pylist(), seed, by_gram, known, min_score)
+                got = align_batch(items, b.column("text").to_pylist(), rare, by_gram, known, min_score)
                 if got:
                     i, item, score, hits, start, end = zip(*got)
                     yield pa.RecordBatch.from_arrays(
@@ -221,10 +244,6 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_seeds: int, min_s
     return rows.mapInArrow(align, PAIR)
 
 
-def hash_of(item) -> int:
-    return -1 if item is None else int(item)
-
-
 def drop_contaminated(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs without a leak. Leaks are pairs, so their ids are made distinct before the join."""
     return without_ids(docs, leaks.select("doc_id").distinct(), id_col)

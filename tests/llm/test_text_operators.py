@@ -334,6 +334,23 @@ def test_leaks_of_a_passage_in_most_documents(spark):
     assert {r.doc_id for r in leaks.collect()} == {i for i in range(300) if i % 3}
 
 
+def test_leaks_of_edited_copies_of_a_frequent_passage(spark):
+    rng = random.Random(8)
+    item = WORDS[100:138]
+    texts = [(i, " ".join([f"n{i}", *item])) for i in range(40)]
+    for i in range(40, 80):
+        broken = rng.sample(range(38), 4 + i % 3)
+        words = [w + "x" if k in broken else w for k, w in enumerate(item)] if i % 4 else item[i // 8 :][:24]
+        texts.append((i, " ".join(["a", "b", *words, "c"])))
+    texts.append((99, " ".join(["a", *item[8:22], "b"])))
+    best = {i: brute_align(item, t.split()) / 76 for i, t in texts}
+    whole = {i for i, t in texts if any(" ".join(item[k : k + 4]) in t for k in range(35))}
+    want = {(i, 1, best[i]) for i in whole if best[i] >= 0.5}
+    assert len(want) > 70 and 99 not in {i for i, _, _ in want}
+    leaks = decontamination.find_leaks(docs_of(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), min_rare=5)
+    assert {(r.doc_id, r.item_id, r.score) for r in leaks.collect()} == want
+
+
 # ---- WARC ----
 def test_warc(spark):
     urls = ["http://B.example.com/x?q=1", "https://a.example.com:8443/", "not a url", None, "http://[bad", "http://b.example.com/x?q=1"]
