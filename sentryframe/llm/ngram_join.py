@@ -281,19 +281,34 @@ def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return table(_similar(near.join(of("a"), "a").join(of("b"), "b")), "links")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node of the edges (a, b): labels spread to neighbours and jump to their label's label."""
-    both = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = table(spread.join(target, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) != F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest node reachable from each node of the edges (a, b).
+
+    Edges are contracted until none is left: every node hooks to its smallest neighbour; two nodes that hook to each other
+    (no longer ring is possible) take the smaller one as root; hooks are followed to their roots by doubling, and edges
+    become edges between roots. Each root has a node besides itself, so at most half of the nodes are left, whatever their
+    order along a chain. A component's smallest node always is a root, so it is the last one."""
+    rest = table(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    ends = table(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
+    labels = ends.select("node", F.col("node").alias("label"))
+    while not rest.isEmpty():
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")), "hooks")
+        back = least.select(F.col("node").alias("least"), F.col("least").alias("back"))
+        root = F.when(F.col("back") == F.col("node"), F.least("node", "least")).otherwise(F.col("back"))
+        hooks = table(least.join(back, "least").select("node", root.alias("root")), "hooks")
+        while True:
+            above = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = table(hooks.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "hooks")
+            hooks = jumped.select("node", "root")
+            if jumped.filter("moved").isEmpty():
+                break
+        of = lambda s: hooks.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        ends = rest.join(of("a"), "a").join(of("b"), "b").filter("root_a != root_b")
+        rest = table(ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
+        new = labels.join(hooks.select(F.col("node").alias("label"), "root"), "label", "left")
+        labels = table(new.select("node", F.coalesce("root", "label").alias("label")), "labels")
+    return labels
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -145,6 +145,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, -5: -5, 200: -5}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    rng = random.Random(4)
+    ids = [rng.getrandbits(63) - (1 << 62) for _ in range(1000)]
+    edges = list(zip(ids, ids[1:])) + [(7, 7)]
+    got = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: min(ids) for i in ids} | {7: 7}
+
+
 # ---- PII ----
 def test_pii_equals_plain_expressions(spark):
     rng = random.Random(2)
