@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..config import Calibration
 from ..functions.decisions import normalized
@@ -92,7 +93,11 @@ def calibrate(outcomes: DataFrame, c: Calibration = Calibration(), key: str = "k
 
 
 def restore(history: DataFrame, starts: DataFrame, default: float = 0.5) -> DataFrame:
-    """The threshold as it was before each session: history (key, seq, threshold), starts (key, start_seq)."""
-    seen = starts.join(history, "key", "left")
-    inside = F.col("seq") < F.col("start_seq")
-    return seen.groupBy("key", "start_seq").agg(F.coalesce(F.max_by(F.when(inside, F.col("threshold")), F.when(inside, F.col("seq"))), F.lit(default)).alias("threshold"))
+    """The threshold as it was before each session: history (key, seq, threshold), starts (key, start_seq).
+
+    One sort of starts and history per key; a start comes before a row with the same seq. The last row counts, even if null."""
+    rows = history.filter("key is not null and seq is not null").select("key", "seq", F.lit(1).alias("kind"), F.struct("threshold").alias("last"))
+    asked = starts.select("key", F.col("start_seq").alias("seq"), F.lit(0).alias("kind")).distinct().withColumn("last", F.lit(None).cast(rows.schema["last"].dataType))
+    w = Window.partitionBy("key").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = asked.unionByName(rows).withColumn("seen", F.last("last", ignorenulls=True).over(w)).filter("kind = 0")
+    return seen.select("key", F.col("seq").alias("start_seq"), F.coalesce("seen.threshold", F.lit(default)).alias("threshold"))

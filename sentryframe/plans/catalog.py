@@ -480,6 +480,15 @@ def j2_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.restore(history, starts).withColumn("threshold", r6("threshold"))
 
 
+@query(f"WITH {CALLS}, s AS (SELECT user_id AS key, session_id, min(call_id) AS start_seq FROM calls GROUP BY user_id, session_id) SELECT s.key, s.start_seq, round(coalesce(h.value / 100, 0.5), 6) AS threshold FROM s ASOF LEFT JOIN calls h ON s.key = h.user_id AND s.start_seq > h.call_id")
+def j2_restore_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's real start against the whole history."""
+    calls = _calls(spark, sf_dir)
+    history = calls.select(F.col("user_id").alias("key"), F.col("call_id").alias("seq"), (F.col("value") / 100).alias("threshold"))
+    starts = calls.groupBy(F.col("user_id").alias("key"), "session_id").agg(F.min("call_id").alias("start_seq"))
+    return memory.restore(history, starts).withColumn("threshold", r6("threshold"))
+
+
 _UNIT = "unit AS (SELECT vec_id, label, [x::DOUBLE / greatest(sqrt(list_sum([y::DOUBLE * y::DOUBLE FOR y IN embedding])), 1e-9) FOR x IN embedding] AS v FROM embeddings)"
 
 

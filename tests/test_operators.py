@@ -277,3 +277,12 @@ def test_detector_metrics(spark):
     tied = spark.createDataFrame([(1, 0.8), (0, 0.5), (1, 0.5), (0, 0.1)], "label int, score double")
     assert one(text.roc_auc(tied)).auc == 0.875
     assert one(text.roc_auc(df.filter("label = 1"))).auc is None
+
+
+def test_restore_takes_the_last_row_before_a_start_without_pairs(spark):
+    history = spark.createDataFrame([(1, 1, 0.1), (1, 3, 0.3), (1, 5, None), (2, 1, 0.9), (None, 1, 0.7)], "key long, seq long, threshold double")
+    starts = spark.createDataFrame([(1, 1), (1, 3), (1, 4), (1, 4), (1, 9), (3, 5), (None, 5)], "key long, start_seq long")
+    out = memory.restore(history, starts)
+    got = {(r.key, r.start_seq): r.threshold for r in out.collect()}
+    assert got == {(1, 1): 0.5, (1, 3): 0.1, (1, 4): 0.3, (1, 9): 0.5, (3, 5): 0.5, (None, 5): 0.5} and out.count() == 6
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
