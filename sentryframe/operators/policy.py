@@ -81,12 +81,13 @@ def authorize_steps(calls: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
-def revoke_cascade(credentials: DataFrame, starts: DataFrame, already: DataFrame | None = None, strict: bool = False, max_depth: int = 64) -> DataFrame:
+def revoke_cascade(credentials: DataFrame, starts: DataFrame, already: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Tokens revoked by revoking others: token_id, revoked_at (the earliest).
 
     credentials: token_id, derived_from, issued_at. starts: token_id, revoked_at. Children follow their parent if they were
     issued by then. A token in already (token_id, revoked_at) by that time is skipped with all below it, unless strict.
-    One generation per step, each written to the checkpoint folder; only newly reached tokens go on."""
+    One generation per step, each written to the checkpoint folder; only tokens that are newly reached, or earlier than
+    before, go on, so any depth and any cycle comes to an end."""
     spark = credentials.sparkSession
     if already is None:
         already = spark.createDataFrame([], "token_id string, revoked_at timestamp")
@@ -101,7 +102,7 @@ def revoke_cascade(credentials: DataFrame, starts: DataFrame, already: DataFrame
     reached = cut(unless_revoked(starts.join(known, "token_id").filter("issued_at <= revoked_at").groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at"))))
     frontier = reached
     children = credentials.filter("derived_from is not null").select(F.col("token_id").alias("child"), "derived_from", "issued_at")
-    for _ in range(max_depth):
+    while True:
         nxt = frontier.join(children, frontier["token_id"] == children["derived_from"]).filter("issued_at <= revoked_at")
         nxt = unless_revoked(nxt.groupBy(F.col("child").alias("token_id")).agg(F.min("revoked_at").alias("revoked_at")))
         old = reached.select("token_id", F.col("revoked_at").alias("old"))
@@ -109,7 +110,6 @@ def revoke_cascade(credentials: DataFrame, starts: DataFrame, already: DataFrame
         if frontier.isEmpty():
             return reached
         reached = cut(reached.unionByName(frontier).groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at")))
-    raise ValueError(f"lineage deeper than {max_depth}, or a cycle")
 
 
 def govern(calls: DataFrame, policies: DataFrame, credentials: DataFrame, revoke_at: float = 0.8, tighten_at: float = 0.5, lineage: bool = True) -> DataFrame:

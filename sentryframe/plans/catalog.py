@@ -206,6 +206,18 @@ def e7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.revoke_cascade(c, c.filter("user_id in (1, 2)").select("token_id", at("10")), c.filter("user_id = 5").select("token_id", at("05"))).select("token_id")
 
 
+_TRIGGERS = "first AS (SELECT token_id, min(ts) AS revoked_at FROM calls WHERE injection >= 0.98 GROUP BY token_id)"
+
+
+@query(f"WITH RECURSIVE {CALLS}, {CREDENTIALS}, {_TRIGGERS}, before AS (SELECT token_id, min(ts) AS was FROM calls WHERE k = 99 GROUP BY token_id), walk AS (SELECT f.token_id, f.revoked_at FROM first f JOIN creds c USING (token_id) LEFT JOIN before b USING (token_id) WHERE c.issued_at <= f.revoked_at AND (was IS NULL OR was > f.revoked_at) UNION SELECT c.token_id, w.revoked_at FROM walk w JOIN creds c ON c.derived_from = w.token_id LEFT JOIN before b ON b.token_id = c.token_id WHERE c.issued_at <= w.revoked_at AND (was IS NULL OR was > w.revoked_at)) SELECT token_id, min(revoked_at) AS revoked_at FROM walk GROUP BY token_id")
+def e7_cascade_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token whose risk reaches the limit starts a cascade; tokens revoked before by hand (k = 99) stop it."""
+    calls = _calls(spark, sf_dir)
+    first = lambda rows: rows.groupBy("token_id").agg(F.min("ts").cast("timestamp").alias("revoked_at"))
+    out = policy.revoke_cascade(views.credentials(spark, sf_dir), first(calls.filter("injection >= 0.98")), first(calls.filter("k = 99")))
+    return out.select("token_id", F.col("revoked_at").cast("timestamp_ntz").alias("revoked_at"))
+
+
 _TIGHT = ", ".join(f"({quoted(r)}, {quoted(t)})" for r, tools in TIGHTENED_TOOLS.items() for t in tools)
 
 
@@ -216,6 +228,13 @@ def e8_govern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.govern(calls, tables.default_policies(spark), c, revoke_at=0.98, lineage=False).select("call_id", "governed")
 
 
+@query(f"WITH RECURSIVE {AUTHORIZED}, {CREDENTIALS}, {_TRIGGERS}, walk AS (SELECT token_id, revoked_at FROM first UNION SELECT c.token_id, w.revoked_at FROM walk w JOIN creds c ON c.derived_from = w.token_id WHERE c.issued_at <= w.revoked_at), gone AS (SELECT token_id, min(revoked_at) AS revoked_at FROM walk GROUP BY token_id) SELECT call_id, CASE WHEN ts >= issued_at + to_seconds(ttl_seconds) THEN 'credential_expired' WHEN revoked_at <= ts THEN 'credential_revoked' WHEN violation <> 'none' THEN violation WHEN injection >= 0.5 AND (role, tool_name) NOT IN ({_TIGHT}) THEN 'tightened' ELSE 'none' END AS governed FROM decided JOIN creds USING (token_id) LEFT JOIN gone USING (token_id)")
+def e8_govern_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls with real expiries; tokens derived from a revoked one are revoked with it."""
+    calls = _calls(spark, sf_dir).withColumn("risk", F.col("injection"))
+    return policy.govern(calls, tables.default_policies(spark), policy.issue(views.credentials(spark, sf_dir)), revoke_at=0.98).select("call_id", "governed")
+
+
 def _scenario_sql() -> str:
     from ..config import ATTACK_CALLS, BENIGN_CALLS
 

@@ -116,3 +116,11 @@ def test_round_robin_reaches_all_scenarios_when_mixed(spark):
 def test_numbered_follows_the_order(spark):
     df = spark.createDataFrame([(x,) for x in (5, 1, 9, 3)], "x int")
     assert [(r.x, r.idx) for r in policy.numbered(df, "x").orderBy("x").collect()] == [(1, 0), (3, 1), (5, 2), (9, 3)]
+
+
+def test_cascade_of_any_depth_and_a_cycle(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(f"t{i}", f"t{i - 1}" if i else "t69", t0) for i in range(70)]
+    creds = spark.createDataFrame(rows, "token_id string, derived_from string, issued_at timestamp").coalesce(1)
+    got = policy.revoke_cascade(creds, spark.createDataFrame([("t0", t0)], "token_id string, revoked_at timestamp").coalesce(1)).collect()
+    assert {r.token_id for r in got} == {f"t{i}" for i in range(70)} and len(got) == 70
