@@ -4,7 +4,8 @@ For each language a suffix automaton of a labelled sample is built. It walks alo
 the phrase began occurs in the sample; where it gets stuck, a phrase ends and the next begins. Few, long phrases mean that
 text and sample share their language. Phrases are normalised by the number of characters parsed.
 
-The automata are dense tables, so a batch of texts is walked in lockstep: texts are dealt into lanes of `lane` characters
+Every letter of the samples has its own code. The automata are dense tables for the `alphabet` most frequent letters and
+sorted (state, code) keys for all others, so a batch of texts is walked in lockstep: texts are dealt into lanes of `lane` characters
 (a new lane begins a new phrase, for all languages alike) and every step moves all lanes in all languages at once. Whole
 texts are parsed.
 
@@ -29,35 +30,49 @@ from .encoding import small_batches
 OTHER, DIGIT, SPACE = 1, 2, 3
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Dense transition table (states x width) of the automaton of all substrings; 0, the root, stands for no transition."""
+def suffix_automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The automaton of all substrings: its dense transition table (states x width) for codes under width, and (state, code,
+    next) of the others; 0, the root, stands for no transition."""
     n = 2 * len(codes) + 2
     move = np.zeros((n, width), np.int32)
     link, length = [-1] * n, [0] * n
+    other: dict[int, dict[int, int]] = {}
+
+    def get(p: int, c: int) -> int:
+        return int(move[p, c]) if c < width else other.get(p, {}).get(c, 0)
+
+    def put(p: int, c: int, q: int) -> None:
+        if c < width:
+            move[p, c] = q
+        else:
+            other.setdefault(p, {})[c] = q
+
     last, size = 0, 1
     for c in codes.tolist():
         cur, size = size, size + 1
         length[cur] = length[last] + 1
         p = last
-        while p != -1 and not move[p, c]:
-            move[p, c] = cur
+        while p != -1 and not get(p, c):
+            put(p, c, cur)
             p = link[p]
         if p == -1:
             link[cur] = 0
         else:
-            q = int(move[p, c])
+            q = get(p, c)
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
                 clone, size = size, size + 1
                 length[clone], link[clone] = length[p] + 1, link[q]
                 move[clone] = move[q]
-                while p != -1 and move[p, c] == q:
-                    move[p, c] = clone
+                if q in other:
+                    other[clone] = dict(other[q])
+                while p != -1 and get(p, c) == q:
+                    put(p, c, clone)
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return move[:size]
+    return move[:size], [(p, c, q) for p, to in other.items() for c, q in to.items()]
 
 
 class CrossParser:
@@ -67,35 +82,55 @@ class CrossParser:
         self.langs, self.lane = sorted(samples), lane
         points = [self._points(samples[g].lower()) for g in self.langs]
         seen, counts = np.unique(np.concatenate(points), return_counts=True) if points else (np.zeros(0, np.uint32), np.zeros(0))
-        self.code_of = np.full(0x110000, OTHER, np.uint8)
+        self.code_of = np.full(0x110000, OTHER, np.int32)
+        self.width = code = 4 + alphabet
         for x, _ in sorted(zip(seen.tolist(), counts.tolist()), key=lambda t: (-t[1], t[0])):
-            if chr(x).isalpha() and alphabet > 0:
-                self.code_of[x], alphabet = 4 + alphabet, alphabet - 1
+            if chr(x).isalpha():
+                self.code_of[x], code = code - alphabet, code + 1
         for x in range(0x3100):
             if chr(x).isspace():
                 self.code_of[x] = SPACE
             elif chr(x).isdigit():
                 self.code_of[x] = DIGIT
-        self.width = int(self.code_of.max()) + 1
-        tables, self.roots, base = [], [], 0
+        self.n_codes = max(code - alphabet, self.width)
+        tables, keys, nexts, self.roots, base = [], [], [], [], 0
         for p in points:
-            t = suffix_automaton(self.code_of[p], self.width)
+            t, other = suffix_automaton(self.code_of[p], self.width)
+            other = np.array(other, np.int64).reshape(-1, 3)
+            keys.append((other[:, 0] + base) * self.n_codes + other[:, 1])
+            nexts.append(other[:, 2] + base)
             t[t > 0] += base
             tables.append(t)
             self.roots.append(base)
             base += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(self.roots, np.int64)
+        keys, nexts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, nexts))
+        by = np.argsort(keys)
+        self.keys, self.nexts = keys[by], nexts[by].astype(np.int32)
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
+    def _next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """States (languages x lanes) after the codes c; 0 where there is no transition."""
+        wide = c >= self.width
+        if not wide.any():
+            return self.table[state * np.int32(self.width) + c]
+        out = self.table[state * np.int32(self.width) + np.where(wide, 0, c)]
+        out[:, wide] = 0
+        if len(self.keys):
+            key = state[:, wide].astype(np.int64) * self.n_codes + c[wide]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[:, wide] = np.where(self.keys[at] == key, self.nexts[at], 0)
+        return out
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (languages x texts) and characters of the texts."""
         points = [self._points(t.lower()) for t in texts]
         size = np.fromiter(map(len, points), np.int64, len(points))
-        codes = self.code_of[np.concatenate(points)] if points else np.zeros(0, np.uint8)
+        codes = self.code_of[np.concatenate(points)] if points else np.zeros(0, np.int32)
         n = -(-size // self.lane)
         text = np.repeat(np.arange(len(texts)), n)
         at = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * self.lane
@@ -106,19 +141,20 @@ class CrossParser:
         k, lanes = len(self.langs), len(order)
         state = np.repeat(self.roots[:, None], lanes, 1).astype(np.int32)
         count = np.zeros((k, lanes), np.int32)
-        root_row = self.table.reshape(-1, self.width)[self.roots] if k else np.zeros((0, self.width), np.int32)
+        roots = self.roots[:, None].astype(np.int32)
+        root_row = self._next(np.repeat(roots, self.n_codes, 1), np.arange(self.n_codes))
         live = np.searchsorted(-length, -np.arange(self.lane), "left")  # lanes that are longer than t
         for t in range(self.lane):
             m = int(live[t])
             if not m:
                 break
             c = codes[begin[:m] + t]
-            step = self.table[state[:, :m] * np.int32(self.width) + c]
+            step = self._next(state[:, :m], c)
             stuck = step == 0
             count[:, :m] += stuck
             again = root_row[:, c]
             # a character the sample lacks is a phrase of its own
-            np.copyto(step, np.where(again == 0, self.roots[:, None].astype(np.int32), again), where=stuck)
+            np.copyto(step, np.where(again == 0, roots, again), where=stuck)
             state[:, :m] = step
         out = np.zeros((k, len(texts)), np.int64)
         for g in range(k):

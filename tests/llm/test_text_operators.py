@@ -228,6 +228,15 @@ def test_language_edges(spark):
     assert language.sample(d.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))) == {}
 
 
+def test_language_tells_languages_of_one_large_script_apart():
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    text = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    parser = language.CrossParser({"a": text(letters[:300], 3000), "b": text(letters[300:], 3000), "en": "the cat sat on the mat " * 20})
+    tests = [("b", text(letters[300:], 40)) if i % 2 else ("a", text(letters[:300], 40)) for i in range(40)] + [("en", "the mat sat")]
+    assert parser.predict([t for _, t in tests])[0] == [g for g, _ in tests]
+
+
 # ---- toxicity ----
 def test_gradients():
     rng = np.random.default_rng(0)
