@@ -49,6 +49,13 @@ def best_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
     return where, n
 
 
+def first_id(round_no: int, partition: int) -> int:
+    """The first bin number of a task: the round in the highest bits, 24 bits for the partition, 34 for its bins."""
+    if not (0 <= partition < 1 << 24 and 0 <= round_no < 32):
+        raise ValueError("more partitions or rounds than bin numbers can tell apart")
+    return round_no << 58 | partition << 34
+
+
 def _emit(sizes: np.ndarray, counts: np.ndarray, pieces: pa.Array, limit: int, slack: int, first: int) -> tuple[pa.RecordBatch, int]:
     """Packs items (each with `counts` pieces in a row) and gives one row per bin."""
     where, n = best_fit(sizes, limit)
@@ -79,7 +86,7 @@ def cut(at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def _first_round(docs: DataFrame, tokenizer_path: str, limit: int, slack: int, end_id: int, per_task: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, first, held, n_held = encoder(tokenizer_path), TaskContext.get().partitionId() << 40, [], 0
+        enc, first, held, n_held = encoder(tokenizer_path), first_id(0, TaskContext.get().partitionId()), [], 0
 
         def flush():
             nonlocal first, held, n_held
@@ -106,7 +113,7 @@ def _first_round(docs: DataFrame, tokenizer_path: str, limit: int, slack: int, e
 
 def _next_round(bins: DataFrame, parts: int, round_no: int, limit: int, slack: int, per_task: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, n_held = (round_no << 56) | (TaskContext.get().partitionId() << 32), [], 0
+        first, held, n_held = first_id(round_no, TaskContext.get().partitionId()), [], 0
 
         def flush():
             nonlocal first, held, n_held
