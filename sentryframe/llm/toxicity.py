@@ -8,7 +8,7 @@ texts are read whole.
 Labels are per document, so training picks windows: first those with the most telling words by log-odds, then, in later
 rounds, the highest windows under the network itself (for label 0 as hard negatives). It runs on a bounded sample of
 labelled rows: at most `max_positive` with label 1 and `max_negative` with label 0, by a hash of their id, none of
-over `max_chars` characters.
+over `max_chars` characters. One task trains on it; the driver gets the weights alone.
 
 Cases: null and empty texts get the sample's share of label 1, but under 0.5; with one label only, that share is every
 score; null labels are not learned; a text of fewer words than a window is one padded window; repeated rows get equal
@@ -17,6 +17,7 @@ scores; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +180,31 @@ class _Vocabulary(dict):
         return i
 
 
+def run_windows(p: dict, x: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and logit of every window of texts given as rows of x, the words' inputs."""
+    text, start, full, at, before = [], [], [], [], 0
+    for i, w in enumerate(ids):
+        if len(w):
+            s = window_starts(len(w))
+            text += [i] * len(s)
+            start += s
+            full += [min(WINDOW, len(w))] * len(s)
+            at += [before] * len(s)
+            before += len(w)
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    words = np.append(np.concatenate(ids), np.zeros(WINDOW, np.int32))
+    text, start, full, at = np.array(text), np.array(start), np.array(full), np.array(at)
+    logit, steps = np.empty(len(text), np.float32), np.arange(WINDOW)[:, None]
+    for whole in (True, False):
+        which = np.flatnonzero((full == WINDOW) == whole)
+        for k in range(0, len(which), 2_048):
+            c = which[k : k + 2_048]
+            used, index = np.unique(words[at[c] + start[c] + steps], return_inverse=True)
+            logit[c] = forward(p, x[used], index.reshape(WINDOW, -1), None if whole else steps < full[c])
+    return text, start, logit
+
+
 class Scorer:
     """Scores texts; words' inputs are kept between batches up to max_words."""
 
@@ -193,33 +219,12 @@ class Scorer:
         """Text, start and logit of every window."""
         if len(self.known) > self.max_words:
             self.known, self.x = _Vocabulary(), self.x[:0]
-        old, ids, text, start, full, n_before = len(self.known), [], [], [], [], 0
-        number = self.known.__getitem__
-        for i, t in enumerate(texts):
-            w = words_of(t)
-            if w:
-                ids.append(np.fromiter(map(number, w), np.int32, len(w)))
-                s = window_starts(len(w))
-                text += [i] * len(s)
-                start += [n_before + k for k in s]
-                full += [min(WINDOW, len(w))] * len(s)
-                n_before += len(w)
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        old, number = len(self.known), self.known.__getitem__
+        ids = [np.fromiter(map(number, w), np.int32, len(w)) for w in map(words_of, texts)]
         if len(self.known) > old:
             fresh = [w for w, _ in zip(reversed(self.known), range(len(self.known) - old))][::-1]
             self.x = np.concatenate([self.x, inputs(self.p, word_features(fresh))])
-        ids, text, start, full = np.append(np.concatenate(ids), np.zeros(WINDOW, np.int32)), np.array(text), np.array(start), np.array(full)
-        logit = np.empty(len(text), np.float32)
-        steps = np.arange(WINDOW)[:, None]
-        for whole in (True, False):
-            which = np.flatnonzero((full == WINDOW) == whole)
-            for k in range(0, len(which), 2_048):
-                c = which[k : k + 2_048]
-                index = ids[start[c] + steps]
-                used, index = np.unique(index, return_inverse=True)
-                logit[c] = forward(self.p, self.x[used], index.reshape(WINDOW, -1), None if whole else steps < full[c])
-        return text, start, logit
+        return run_windows(self.p, self.x, ids)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
@@ -232,43 +237,44 @@ class Scorer:
         return out
 
 
-def _log_odds(docs: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
-    """How telling each word and each five-byte word beginning is, from the numbers of documents of each label that hold it."""
-    counts: dict[bytes, list[int]] = {}
-    for w, label in zip(docs, y.tolist()):
-        for f in {*w, *(x[:5] + b"*" for x in w if len(x) > 5)}:
-            counts.setdefault(f, [0, 0])[label] += 1
+def _telling(ids: list[np.ndarray], y: np.ndarray, vocabulary: list[bytes]) -> np.ndarray:
+    """How telling each word is for label 1: the log-odds of the word or of its first five bytes, from the documents of each label that hold it."""
+    stems = _Vocabulary()
+    stem = np.fromiter((stems[w[:5]] if len(w) > 5 else -1 for w in vocabulary), np.int64, len(vocabulary))
+    by_word, by_stem = np.zeros((2, len(vocabulary))), np.zeros((2, len(stems) + 1))
+    for words, label in zip(ids, y.tolist()):
+        u = np.unique(words)
+        by_word[label, u] += 1
+        by_stem[label, np.unique(stem[u])] += 1  # the last column takes words without a stem
     one, zero = int(y.sum()) + 1, len(y) - int(y.sum()) + 1
-    return {f: float(np.log((b + 0.1) / one) - np.log((a + 0.1) / zero)) for f, (a, b) in counts.items() if a + b > 1}
+    odds = lambda n: np.where(n.sum(0) > 1, np.log((n[1] + 0.1) / one) - np.log((n[0] + 0.1) / zero), 0)
+    return np.maximum(np.maximum(odds(by_word), 0), np.where(stem >= 0, odds(by_stem)[stem], 0))
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1, rate: float = 0.01, seed: int = 7) -> Scorer:
     """Trains the network on windows picked from labelled texts."""
     y = np.array(labels, np.int64)
     prior = min(0.49, float(y.mean())) if len(y) else 0.0
-    docs = [words_of(t) for t in texts]
     p = init_params(seed)
     if len(y) == 0 or y.min() == y.max():
         return Scorer(p, prior if len(y) else 0.0, False)
-    odds, rng = _log_odds(docs, y), np.random.default_rng(seed)
-    vocabulary = _Vocabulary()
-    ids = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in docs]
-    del docs
+    rng, vocabulary = np.random.default_rng(seed), _Vocabulary()
+    ids = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in map(words_of, texts)]
     words = list(vocabulary)
-    parts = [word_features(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
-    own, grams, count = (np.concatenate([x[j] for x in parts]).astype(np.int32) for j in range(3))
+    telling = _telling(ids, y, words)
+    parts = [word_features(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    own, grams, count = (np.concatenate([x[j].astype(np.int32) for x in parts]) if parts else np.zeros(0, np.int32) for j in range(3))
+    del vocabulary, words, parts
     begin = np.cumsum(count) - count
-    telling = np.array([max(odds.get(w, 0), odds.get(w[:5] + b"*", 0) if len(w) > 5 else 0) for w in vocabulary])
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for round_no in range(rounds):
         if round_no:
-            scorer, by_doc = Scorer(p, prior, True, 60_000), {}
-            for first in range(0, len(texts), 300):
-                text, start, logit = scorer.window_logits(texts[first : first + 300])
-                before = np.cumsum([0, *map(len, ids[first : first + 300])])
-                for i, s, v in zip(text.tolist(), start.tolist(), logit.tolist()):
-                    by_doc.setdefault(first + i, []).append((v, s - int(before[i])))
+            x, by_doc = _all_inputs(p, own, grams, count), {}
+            for first in range(0, len(ids), 300):
+                for i, s, v in zip(*(a.tolist() for a in run_windows(p, x, ids[first : first + 300]))):
+                    by_doc.setdefault(first + i, []).append((v, s))
+            del x
         picked = []
         for i, w in enumerate(ids):
             if not len(w):
@@ -307,18 +313,41 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1,
     return Scorer(p, prior, True)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_positive: int = 1_200, max_negative: int = 3_000, max_chars: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample of training rows, chosen by a hash of the id.
+def _all_inputs(p: dict, own: np.ndarray, grams: np.ndarray, count: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """The input vectors of all words, some at a time."""
+    edge = np.append(0, np.cumsum(count))
+    parts = [inputs(p, (own[k : k + step], grams[edge[k] : edge[min(k + step, len(own))]], count[k : k + step])) for k in range(0, len(own), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_positive: int = 1_200, max_negative: int = 3_000, max_chars: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and toxic of a bounded sample of training rows, chosen by a hash of the id, in one partition.
 
     Ids are chosen among narrow rows (id and length); only the chosen ones, a bounded number, fetch their texts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    narrow = rows.select("doc_id", F.length("text").alias("chars")).filter(F.col("chars") <= max_chars).select("doc_id").join(labels.select("doc_id", "toxic").filter("toxic in (0, 1)"), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = rows.select("doc_id", F.length("text").alias("chars")).filter(F.col("chars") <= max_chars).select("doc_id").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)"), "doc_id")
     chosen = None
     for label, n in ((1, max_positive), (0, max_negative)):
         some = narrow.filter(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy("toxic", "doc_id", "text").limit(max_positive + max_negative).collect()
-    return [r.text for r in got], [r.toxic for r in got]
+    return rows.join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= max_chars).orderBy("toxic", "doc_id", "text").limit(max_positive + max_negative).select("text", "toxic")
+
+
+def fit(rows: DataFrame) -> Scorer:
+    """Trains in one task on a bounded sample (text, toxic); only the weights (about 1 MB) come to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        texts, labels = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            labels += b.column("toxic").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["scorer"])
+        del texts
+        release()
+
+    got = rows.coalesce(1).mapInArrow(work, "scorer binary").collect()
+    return pickle.loads(got[0].scorer) if got else train([], [])
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
