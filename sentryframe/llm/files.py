@@ -34,5 +34,9 @@ def read_range(uri: str, start: int, length: int) -> bytes:
 
 
 def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """path and length of the files; their content is not read."""
+    """path and length of the files; their content is not read. A folder that no task has made has no files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(conf).exists(where):
+        return spark.createDataFrame([], "path string, length long")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")

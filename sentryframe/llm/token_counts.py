@@ -2,8 +2,8 @@
 
 A flat file is nothing but ids, each document closed by an end-of-document id. Files are cut into blocks of equal size
 wherever documents end; each task reads its block's range and finds all end ids with one vector comparison. A document may
-begin blocks earlier: a running maximum over the blocks of its file (one small row a block) gives the last end before each
-block, and a running sum gives the documents before it.
+begin blocks earlier: a prefix scan over the blocks of its file, in two levels and over one narrow row a block, gives the
+last end before each block (a running maximum) and the documents before it (a running sum).
 
 Cases: null text is empty (one end id); a file without a closing end id gives a last row with closed = false; documents
 with equal ids stay apart; empty files and tables give no rows; a null doc_id is carried along.
@@ -64,7 +64,7 @@ def scan_blocks(blocks: DataFrame, end_id: int, dtype: str) -> DataFrame:
     return blocks.mapInPandas(work, "path string, block long, first long, n_ids long, ends array<int>")
 
 
-def count_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_bytes: int = 4 << 20, glob: str = "*.bin") -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_bytes: int = 4 << 20, glob: str = "*.bin", run_blocks: int = 4_096) -> DataFrame:
     """Per document: path, doc_no (from 0 in its file), start, n_tokens (with the end id), closed."""
     width = np.dtype(dtype).itemsize
     step = block_bytes // width * width
@@ -72,14 +72,10 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u
     blocks = files.select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * step).alias("at"), F.least(F.lit(step), F.col("length") - F.col("block") * step).cast("long").alias("size"))
     found = table(scan_blocks(spread(blocks, "path", "block"), end_id, dtype), "blocks")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last_end = F.col("first") + F.element_at("ends", -1) + 1
-    stitched = found.select(
-        "path", "block", "first", "n_ids", "ends",
-        F.coalesce(F.max(F.when(F.size("ends") > 0, last_end)).over(before), F.lit(0)).alias("open_from"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs_before"),
-        F.lead("block").over(Window.partitionBy("path").orderBy("block")).isNull().alias("final"),
-    )
+    sums = found.select("path", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, last_end).alias("last_end"))
+    carried = table(_carry(sums, run_blocks), "carried")
+    stitched = found.join(carried, ["path", "block"])
     ended = stitched.select("path", "first", "open_from", "docs_before", "ends", F.posexplode("ends").alias("k", "place")).select(
         "path",
         (F.col("docs_before") + F.col("k")).alias("doc_no"),
@@ -93,5 +89,25 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u
     return ended.unionByName(rest).select("path", "doc_no", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), "closed")
 
 
+def _carry(sums: DataFrame, group: int) -> DataFrame:
+    """What each block gets from those before it in its file: open_from, docs_before; and whether it is the final one.
+
+    A prefix scan in two levels over one narrow row a block: runs of `group` blocks apart, then the totals of the runs, so
+    that a single huge file is not one task."""
+    rows = sums.withColumn("run", F.expr(f"block div {group}"))
+    inner = Window.partitionBy("path", "run").orderBy("block")
+    outer = Window.partitionBy("path").orderBy("run")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("path", "run").agg(F.sum("n").alias("n"), F.max("last_end").alias("last_end"))
+    runs = runs.select("path", "run", F.sum("n").over(upto(outer)).alias("n_run"), F.max("last_end").over(upto(outer)).alias("end_run"), F.lead("run").over(outer).isNull().alias("last_run"))
+    own = rows.select("path", "run", "block", F.sum("n").over(upto(inner)).alias("n_own"), F.max("last_end").over(upto(inner)).alias("end_own"), F.lead("block").over(inner).isNull().alias("last_own"))
+    return own.join(runs, ["path", "run"]).select(
+        "path", "block",
+        F.coalesce("end_own", "end_run", F.lit(0)).alias("open_from"),
+        (F.coalesce("n_own", F.lit(0)) + F.coalesce("n_run", F.lit(0))).alias("docs_before"),
+        (F.col("last_own") & F.col("last_run")).alias("final"),
+    )
+
+
 def shard_of(path: F.Column) -> F.Column:
     return F.regexp_extract(path, r"shard-(\d+)\.bin$", 1).cast("int")

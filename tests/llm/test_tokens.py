@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sentryframe.llm import packing, token_counts, token_files
+from sentryframe.llm import packing, queries, token_counts, token_files
 from sentryframe.llm.common import fresh_path
 from sentryframe.llm.encoding import Encoder
 
@@ -115,6 +115,13 @@ def test_packing_of_large_items_ends(spark, docs):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_bin_numbers_of_rounds_and_partitions_never_meet():
+    first = [packing.first_id(r, p) for r in range(13) for p in (0, 1, 65_535, 65_536, 65_537, (1 << 24) - 1)]
+    assert all(b - a >= 1 << 34 for a, b in zip(first, first[1:])) and first[-1] + (1 << 34) < 1 << 63
+    with pytest.raises(ValueError):
+        packing.first_id(0, 1 << 24)
+
+
 def test_best_fit():
     where, n = packing.best_fit(np.array([5, 4, 3, 3, 2, 1]), 6)
     fill = np.bincount(where, [5, 4, 3, 3, 2, 1])
@@ -125,14 +132,33 @@ def test_best_fit():
 def test_token_counts(spark, docs, plain, block):
     folder = fresh_path(spark, "flat")
     listed = token_counts.write_flat(docs, folder, PATH, 50256)
-    counts = token_counts.count_tokens(spark, folder, 50256, block_bytes=block).withColumn("shard", token_counts.shard_of(F.col("path")))
+    counts = token_counts.count_tokens(spark, folder, 50256, block_bytes=block, run_blocks=3).withColumn("shard", token_counts.shard_of(F.col("path")))
     assert counts.filter("not closed").count() == 0
     got = sorted((str(r.doc_id), r.n_tokens) for r in listed.join(counts, ["shard", "doc_no"]).collect())
-    enc = Encoder(PATH, specials_as_text=True)
-    want = [(str(r.doc_id), len(enc.encode(pa.array([r.text], pa.string()))[0])) for r in docs.collect()]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    want = [(str(r.doc_id), len(library.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect()]
     assert got == sorted(want)
 
 
+def test_token_counts_of_no_rows(spark, docs):
+    folder = fresh_path(spark, "flat")
+    assert token_counts.write_flat(docs.limit(0), folder, PATH, 50256).count() == 0
+    assert token_counts.count_tokens(spark, folder, 50256).count() == 0
+
+
+def test_op7_query_counts_every_document(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted((r.doc_id, r.n_tokens, r.closed) for r in queries.op7_token_counts(spark, sf_dir).collect())
+    assert got == sorted((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids) + 1, True) for r in texts)
+
+
 def test_token_counts_of_an_unclosed_file(spark, tmp_path):
     for name, ids in (("a.bin", [1, 2, 9, 9, 3]), ("b.bin", []), ("c.bin", [4, 4, 4, 4, 4, 9])):
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
