@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account")
 BASE = KINDS[:4]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -127,7 +129,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         type_ = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in (s for batch in batches for s in small_batches(batch, "text")):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t or "")] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, type_)], ["doc_id", "spans"])
 
@@ -139,7 +141,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The texts with each span replaced by its kind in angle brackets; where spans overlap, the first and longest is named."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in small_batches(batch, "text")):
             out = []
             for t in b.column("text").to_pylist():
                 parts, at = [], 0
