@@ -9,8 +9,10 @@ sorted (state, code) keys for all others, so a batch of texts is walked in locks
 (a new lane begins a new phrase, for all languages alike) and every step moves all lanes in all languages at once. Whole
 texts are parsed.
 
-The sample is bounded: at most `docs_per_lang` documents (by a hash of their id) and `chars_total` characters over all
-languages. Cases: null text, or one without a letter, is `und` with score 0; ties go to the first language in order; with
+The sample is bounded: per language at most `docs_per_lang` documents of at most `max_chars` characters each and
+`chars_per_lang` together. They are whole texts, taken by a hash of their row; a language of longer texts only gets its
+shortest. `dense_bytes` bounds the
+dense tables: with many languages fewer letters are dense, which changes nothing but speed. Cases: null text, or one without a letter, is `und` with score 0; ties go to the first language in order; with
 no labelled text every prediction is `und`; null labels are not learned; repeated rows give repeated results; an empty
 table gives no rows.
 """
@@ -78,9 +80,10 @@ def suffix_automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, list[tu
 class CrossParser:
     """Languages, the map from characters to codes, and one table of all automata one after another."""
 
-    def __init__(self, samples: dict[str, str], alphabet: int = 60, lane: int = 256):
+    def __init__(self, samples: dict[str, str], alphabet: int = 60, lane: int = 256, dense_bytes: int = 96 << 20):
         self.langs, self.lane = sorted(samples), lane
         points = [self._points(samples[g].lower()) for g in self.langs]
+        alphabet = max(0, min(alphabet, dense_bytes // (8 * max(1, sum(map(len, points)))) - 4))
         seen, counts = np.unique(np.concatenate(points), return_counts=True) if points else (np.zeros(0, np.uint32), np.zeros(0))
         self.code_of = np.full(0x110000, OTHER, np.int32)
         self.width = code = 4 + alphabet
@@ -175,18 +178,18 @@ class CrossParser:
         return langs, score
 
 
-def sample(labelled: DataFrame, docs_per_lang: int = 300, chars_total: int = 120_000) -> dict[str, str]:
-    """Sample text per language. labelled has doc_id, text and lang of training rows only. Ids are chosen first, from narrow rows."""
-    rows = labelled.filter("lang is not null and text is not null")
-    key = F.xxhash64("doc_id")
-    first = Window.partitionBy("lang").orderBy("k", "doc_id")
-    chosen = rows.select("lang", "doc_id", key.alias("k")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= docs_per_lang).select("doc_id", "lang", "r")
-    texts = rows.select("doc_id", "lang", F.substring("text", 1, 4 * chars_total // docs_per_lang).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    got: dict[str, list[str]] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.r, r.text)):
-        got.setdefault(r.lang, []).append(r.text)
-    each = chars_total // max(1, len(got))
-    return {g: "\n".join(t)[:each] for g, t in got.items()}
+def sample(labelled: DataFrame, docs_per_lang: int = 300, chars_per_lang: int = 30_000, max_chars: int = 3_000) -> dict[str, str]:
+    """Sample text per language. labelled has doc_id, text and lang of training rows only. Rows are chosen first, as narrow ones."""
+    rows = labelled.filter("lang is not null and length(text) > 0").select("doc_id", "lang", "text", F.length("text").alias("chars"), F.xxhash64("doc_id", "text").alias("k"))
+    fits = F.col("chars") <= max_chars
+    order = Window.partitionBy("lang").orderBy(F.when(fits, F.col("k")).asc_nulls_last(), "chars", "k", "doc_id")
+    ranked = rows.select("lang", "doc_id", "k", "chars").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
+    chosen = ranked.withColumn("upto", F.sum("chars").over(Window.partitionBy("lang").orderBy("r"))).filter((F.col("r") == 1) | (F.col("upto") <= chars_per_lang))
+    texts = rows.select("doc_id", "lang", "k", "text").join(F.broadcast(chosen.select("doc_id", "lang", "k", "r").distinct()), ["doc_id", "lang", "k"])
+    got: dict[str, dict[int, str]] = {}
+    for r in texts.select("lang", "r", "text").distinct().collect():  # within the bounds above
+        got.setdefault(r.lang, {})[r.r] = r.text
+    return {g: "\n".join(t for _, t in sorted(of.items())) for g, of in got.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
