@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, a laptop) a temporary one is made."""
+    """The folder named in spark.checkpoint.dir. Only where it is unset and the master is local (tests, a laptop) a temporary one is made."""
     jsc = spark.sparkContext._jsc.sc()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else "file://" + tempfile.mkdtemp(prefix="sentryframe-")
+        if jsc.getCheckpointDir().isDefined():
+            path = jsc.getCheckpointDir().get()
+        elif jsc.isLocal():
+            path = "file://" + tempfile.mkdtemp(prefix="sentryframe-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -40,6 +45,28 @@ def sized_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def filter_bits(n_keys: int, most: int = 1 << 28) -> int:
+    """Bits of a bitmap in which so many keys fill a sixteenth at most; never over `most` (32 MB), which only lets more rows through."""
+    return min(most, max(1 << 20, 1 << (16 * n_keys - 1).bit_length()))
+
+
+def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """Adds maybe: false where the row's key is surely not among keys, of which there are n_keys. Told by a broadcast bitmap of filter_bits."""
+    bits = filter_bits(n_keys)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  bitmap functions count from 1
+    maps = keys.select(slot(F.col(key)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
+    marked = rows.withColumn("slot", slot(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("bit", F.bitmap_bit_position("slot"))
+    byte = F.conv(F.hex(F.substring(F.col("map"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = marked.join(F.broadcast(maps), "bucket", "left")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return found.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("slot", "bucket", "bit", "map")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """The rows whose key may be among keys: most other rows never reach a shuffle."""
+    return mark_maybe(rows, keys, key, n_keys).filter("maybe").drop("maybe")
+
+
 def in_training(id_col: str = "doc_id"):
     """True for rows whose crc32(id as text) mod 5 is not 0; the others are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0

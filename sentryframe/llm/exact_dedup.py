@@ -2,9 +2,11 @@
 
 A stream over the files keeps one state row per digest, in RocksDB on the executors' disks with checkpoints in the shared
 folder, and without expiry: the digest, the smallest id seen, the place of that row's content (file and row number) and
-the number of rows. Each micro-batch writes the rows of the digests it touched. When the stream has caught up, every hit
-(a row that shares a digest with another) is compared with the whole text its digest points to; digests with unequal texts
-are grouped by digest and text instead.
+the number of rows. The files are read in at least `batches` micro-batches of equal size (a file is never split), so copies
+of texts from earlier batches meet them in the state alone. Each micro-batch writes the rows of the digests it touched. When
+the stream has caught up, every hit (a row that shares a digest with another) is compared with the whole text its digest
+points to; digests with unequal texts are grouped by digest and text instead. Rows that share no digest are done in place:
+neither they nor their texts are shuffled.
 
 Cases: null text counts as empty; a null id never stays where the group has an id (else the smallest place stays); rows
 with equal ids and texts are copies of each other and one of them stays; an empty table gives no rows; other columns are
@@ -16,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, fresh_path, sized_broadcast, table
+from .common import free_name, fresh_path, mark_maybe, maybe_in, sized_broadcast, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WORD_BITS = 32_768
+KEEP = "struct<no_id:boolean,id:long,place:struct<file:string,row:long>>"
 
 
 def normal_text(text: Column) -> Column:
@@ -38,11 +40,12 @@ def _rows(source: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     return source.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), digest(normal).alias("digest"), normal.alias("normal"))
 
 
-def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, max_bytes: int = 1 << 40, max_files: int | None = None) -> DataFrame:
-    """Runs the stream until it has caught up with the files under path; gives the state: digest, keep, group_size."""
+def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None) -> DataFrame:
+    """Runs the stream until it has caught up with the files under path; gives what each micro-batch wrote: batch, digest, keep, group_size."""
     schema = spark.read.parquet(path).schema
+    total = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     reader = spark.readStream.schema(schema)
-    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max(1, -(-total // batches)))
     rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest)  # as a pattern, the path may also be one file
     state = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     out = fresh_path(spark, "dedup-state")
@@ -63,31 +66,15 @@ def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    batches = spark.read.schema(f"batch long, {_ddl(state)}").parquet(out) if query.lastProgress else spark.createDataFrame([], f"batch long, {_ddl(state)}")
-    if query.lastProgress and query.lastProgress["batchId"] == 0:
-        return batches.drop("batch")
-    latest = batches.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last"))
-    return latest.select("digest", "last.keep", "last.group_size")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    ddl = f"batch long, digest string, keep {KEEP}, group_size long"
+    return spark.read.schema(ddl).parquet(out) if query.lastProgress else spark.createDataFrame([], ddl)
 
 
-def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """Adds maybe: false where the row's key is surely not among keys. Told by a bitmap of fixed size, which is broadcast."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  bitmap functions count from 1
-    maps = keys.select(slot(F.col(key)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
-    marked = rows.withColumn("slot", slot(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("bit", F.bitmap_bit_position("slot"))
-    byte = F.conv(F.hex(F.substring(F.col("map"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = marked.join(F.broadcast(maps), "bucket", "left")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
-    return found.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("slot", "bucket", "bit", "map")
-
-
-def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """The rows whose key may be among keys: most other rows never reach a shuffle."""
-    return mark_maybe(rows, keys, key, bits).filter("maybe").drop("maybe")
+def repeated(written: DataFrame) -> DataFrame:
+    """digest, keep, group_size of the digests of several rows, as the state had them last."""
+    more = written.filter("group_size > 1")  # a digest's count only grows, so its last row is among these
+    latest = more.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last"))
+    return latest.select("digest", "last.keep", "last.group_size")
 
 
 def _scan(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
@@ -95,44 +82,64 @@ def _scan(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFra
     return spark.read.parquet(path).select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.col(text_col).alias("text"))
 
 
-def unequal_hits(scan: DataFrame, rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The hits with their whole texts, and the digests of which some hit's text differs from the text the state points to.
+def hit_texts(scan: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits with their whole normal texts. Their places select the texts, so other texts are read but not moved."""
+    texts = maybe_in(scan.select("place", "text"), hits, "place", hits.count())
+    return table(texts.join(hits.select("id", "place", "digest", F.col("keep.place").alias("keep_place")), "place").withColumn("normal", normal_text(F.col("text"))).drop("text"), "hit-texts")
 
-    Hits are found among narrow rows; their places then select the texts, so other texts are read but not moved."""
-    groups = state.filter("group_size > 1").select("digest", F.col("keep.place").alias("keep_place"))
-    places = table(rows.join(groups, "digest"), "hits")
-    texts = maybe_in(scan.select("place", "text"), places, "place")
-    hits = table(texts.join(places, "place").select("id", "place", "digest", "keep_place", normal_text(F.col("text")).alias("normal")), "hit-texts")
-    kept = hits.filter("place = keep_place").select(F.col("digest").alias("d"), F.col("normal").alias("kept_text"))
-    return hits, hits.filter("place != keep_place").join(kept, F.col("digest") == F.col("d")).filter("normal != kept_text").select("digest").distinct()
 
+def unequal_digests(texts: DataFrame) -> DataFrame:
+    """The digests of which some hit's text differs from the text the state points to."""
+    kept = texts.filter("place = keep_place").select(F.col("digest").alias("d"), F.col("normal").alias("kept_text"))
+    # written before it is made distinct: so Spark may split a hot digest's partition of the join
+    return table(texts.filter("place != keep_place").join(kept, F.col("digest") == F.col("d")).filter("normal != kept_text").select("digest"), "unequal").distinct()
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, max_bytes: int = 1 << 40, max_files: int | None = None) -> DataFrame:
+
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None) -> DataFrame:
     """One row per row of the files: id, place, keep_id, group_size, kept, digest."""
-    state = run_stream(spark, path, id_col, text_col, digest, max_bytes, max_files)
+    groups = table(repeated(run_stream(spark, path, id_col, text_col, digest, batches, max_files)), "repeated")
     scan = _scan(spark, path, id_col, text_col)
-    rows = table(scan.select("id", "place", digest(normal_text(F.col("text"))).alias("digest")), "digests")
-    hits, unequal = unequal_hits(scan, rows, state)
-    bad = table(unequal, "unequal")
-    n_bad = bad.count()
+    rows = mark_maybe(scan.select("id", "place", digest(normal_text(F.col("text"))).alias("digest")), groups, "digest", groups.count())
+    rows = table(rows, "digests")
+    looked = table(rows.filter("maybe").drop("maybe").join(groups, "digest", "left"), "looked")
+    single = rows.filter("not maybe").drop("maybe").unionByName(looked.filter("keep is null").drop("keep", "group_size"))
+    alone = single.select("id", "place", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    hits = looked.filter("keep is not null")
     columns = ["id", "place", F.col("keep.id").alias("keep_id"), "group_size", (F.col("place") == F.col("keep.place")).alias("kept"), "digest"]
-    result = rows.join(state, "digest").select(columns)
+    texts = hit_texts(scan, hits)
+    bad = table(unequal_digests(texts), "unequal")
+    n_bad = bad.count()
     if not n_bad:
-        return result
+        return alone.unionByName(hits.select(columns))
     bad = sized_broadcast(bad, n_bad, 100_000)
-    apart = hits.join(bad, "digest").drop("keep_place")
+    apart = texts.join(bad, "digest")
     regrouped = apart.groupBy("digest", "normal").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     again = apart.join(regrouped, ["digest", "normal"]).select(columns)
-    return result.join(bad, "digest", "left_anti").unionByName(again)
+    return alone.unionByName(hits.select(columns).join(bad, "digest", "left_anti")).unionByName(again)
+
+
+def scanned_folder(docs: DataFrame) -> str | None:
+    """The folder of Parquet files of which docs is a plain scan, whole and unchanged; None if docs is anything else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    files = sorted(docs.inputFiles())
+    folders = {f.rpartition("/")[0] for f in files}
+    if len(folders) != 1:
+        return None
+    folder = folders.pop()
+    return folder if sorted(docs.sparkSession.read.parquet(folder).inputFiles()) == files else None
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a DataFrame that stay, with its columns. A stream needs files that can be read again, so docs is written first."""
+    """The rows of a DataFrame that stay, with its columns. A stream needs files that can be read again: docs is written unless it is a plain scan."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "dedup-input")
-    docs.write.parquet(path)
+    path = scanned_folder(docs)
+    if path is None:
+        path = fresh_path(spark, "dedup-input")
+        docs.write.parquet(path)
     gone = free_name(docs, "gone")
-    dropped = exact_dedup(spark, path, id_col, text_col).filter("not kept").select(F.col("place").alias(gone))
+    dropped = table(exact_dedup(spark, path, id_col, text_col).filter("not kept").select(F.col("place").alias(gone)), "dropped")
     landed = spark.read.schema(docs.schema).parquet(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return landed.withColumn(gone, place).join(dropped, gone, "left_anti").select(docs.columns)
