@@ -45,7 +45,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scorer(spark: SparkSession, sf_dir: str) -> toxicity.Scorer:
     """Trained on labelled rows of documents that are not held out."""
     training = read_table(spark, sf_dir, "documents").filter(in_training())
-    return toxicity.train(*toxicity.sample(training, read_table(spark, sf_dir, "labels")))
+    return toxicity.fit(toxicity.sample(training, read_table(spark, sf_dir, "labels")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc.write_archives(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Archives every page, then looks the URL key of every page up through the index and reads what it finds."""
+    pages = read_table(spark, sf_dir, "pages")
+    directory = warc.write_archives(pages, fresh_path(spark, "warc"))
+    records = warc.captures(directory, pages.select(warc.url_key_of("url").alias("key")).distinct())
+    return warc.checked(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = r"""

@@ -4,8 +4,9 @@ Pages are range-partitioned and sorted by URL key (the host's parts reversed, th
 one .warc.gz file in which every record is a gzip member of its own. Of records with equal payloads (by SHA-1 and size) the
 one with the smallest id is a response and the others are revisits that name it. The index lines come out in key order:
 each partition packs them into gzip blocks of `block_lines`, and the directory has one row per block: its first and last
-key, file, offset and length. A lookup finds its block by binary search in the directory, unpacks it, finds its line by
-binary search there, and reads the record's range. Keys may recur over several blocks; a lookup reads all of them.
+key, file, offset and length. A lookup finds its archives and then its blocks by binary search in the directory, unpacks
+them, finds its lines by binary search there, and reads the records' ranges. Keys may recur over several blocks and
+archives; a lookup reads all of them. Revisits carry the digest and size of the response they name; `checked` compares them.
 
 Cases: null html is an empty payload; null or malformed URLs get the key `-)/` and are archived like others; a null id is
 written as an empty one and never serves as the original if the group has an id; rows with equal ids are records apart;
@@ -28,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, table
-from .exact_dedup import mark_maybe
+from .common import mark_maybe, table
 from .files import read_range, write_whole
 
 DATE = "2024-01-01T00:00:00Z"
@@ -92,14 +92,14 @@ def parse_record(raw: bytes) -> dict:
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit_bytes: int) -> DataFrame:
     """Pages with digest, size and the id each refers to (null: it is a response; revisits carry no payload on).
 
-    Digests are grouped among narrow rows. Only pages whose digest may recur (told by a broadcast bitmap of fixed size) are
+    Digests are grouped among narrow rows. Only pages whose digest may recur (told by a broadcast bitmap) are
     joined with their group; Spark splits a hot digest's partition. Other payloads go straight to the writers."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     groups = rows.groupBy("digest", "size").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes))
     groups = table(groups.drop("n"), "warc-groups")
-    marked = mark_maybe(rows, groups, "digest")
+    marked = mark_maybe(rows, groups, "digest", groups.count())
     again = marked.filter("maybe").drop("maybe").join(groups, ["digest", "size"], "left")
     alone = marked.filter("not maybe").drop("maybe").withColumn("original", F.lit(None).cast("long"))
     refers = F.when(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
@@ -149,74 +149,109 @@ def index_lines(r) -> list[list[str]]:
     return [x.rsplit(" ", 5) for x in gzip.decompress(read_range(r.index_file, r.offset, r.length)).decode().split("\n")]
 
 
-def _members(raw: bytes, ends: list[int]) -> Iterator[bytes]:
-    for a, b in zip([0, *ends], ends):
-        yield zlib.decompress(raw[a:b], 31)
-
-
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """Every record, through the index: a block's records lie side by side, so each block is one range of one archive."""
+def find_archives(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and index_file of the archives that may hold each key, by binary search among their first and last keys.
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        for f in frames:
-            for r in f.itertuples():
-                lines = index_lines(r)
-                raw = read_range(r.warc_file, r.warc_start, r.warc_stop - r.warc_start)
-                ends = [int(x[3]) + int(x[4]) - r.warc_start for x in lines]
-                rows = pd.DataFrame([parse_record(x) for x in _members(raw, ends)], columns=names)
-                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return spread(directory, "index_file", "offset").mapInPandas(work, RECORD)
+    There is one archive for each task that wrote, so their list, which all tasks get, doesn't grow with the pages in it."""
+    rows = directory.groupBy("index_file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()
+    rows.sort(key=lambda r: (r["first"], r["last"], r.index_file))
+    sent = directory.sparkSession.sparkContext.broadcast(([r["first"] for r in rows], [r["last"] for r in rows], [r.index_file for r in rows]))
 
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last, files = sent.value
+        for f in frames:
+            found = [(k, x) for k in f["key"] for x in files[bisect_left(last, k) : bisect_right(first, k)]]
+            yield pd.DataFrame(found, columns=["key", "index_file"])
 
-def find_blocks(directory: DataFrame, keys: DataFrame, slice_rows: int = 200_000) -> DataFrame:
-    """keys (with a column key) and the directory rows of the blocks that may hold them, found by binary search.
-
-    The directory is sparse, but it grows with the corpus: it is searched in slices of about slice_rows rows, each sorted
-    and sent to all tasks."""
-    spark, names = directory.sparkSession, directory.columns
-    n = max(1, -(-directory.count() // slice_rows))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*keys.schema, *directory.schema])
-    out = None
-    for i in range(n):
-        rows = directory.filter(F.pmod(F.xxhash64("index_file", "offset"), F.lit(n)) == i).toPandas().sort_values(["first_key", "last_key"], ignore_index=True)
-        sent = spark.sparkContext.broadcast(rows)
+    return keys.select("key").mapInPandas(search, "key string, index_file string")
 
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            d = sent.value
-            first, last = d["first_key"].tolist(), d["last_key"].tolist()
-            for f in frames:
-                spans = [range(bisect_left(last, k), bisect_right(first, k)) for k in f["key"]]
-                at = [j for s in spans for j in s]
-                left = f.loc[f.index.repeat([len(s) for s in spans])].reset_index(drop=True)
-                yield pd.concat([left, d.iloc[at].reset_index(drop=True)], axis=1)
 
-        found = keys.mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.select(*keys.columns, *names)
+def find_blocks(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """The directory rows of the blocks that may hold some of the keys (distinct, in a column key), with these in asked.
 
+    Keys meet their archive's part of the directory in one task, which finds each key's blocks by binary search. A key that
+    fills many blocks, or archives, is found in each of them. directory is what one call of write_archives returned."""
+    spots = find_archives(directory, keys)
+    columns = [c.split()[0] for c in DIRECTORY.split(", ")]
+    both = directory.withColumn("asked", F.lit(None).cast("string")).unionByName(spots.select("index_file", F.col("key").alias("asked")), allowMissingColumns=True)
+    n = max(1, directory.select("index_file").distinct().count())
+    dealt = both.repartition(n, "index_file").sortWithinPartitions("index_file", F.col("asked").asc_nulls_first(), "offset")
 
-def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of each asked URL: its blocks by the directory, its lines by binary search in each, one range per record."""
-    keys = urls.select(F.col(url_col).cast("string").alias("asked"), url_key_of(url_col).alias("key")).distinct()
-    hits = find_blocks(directory, keys)
-    schema = "asked string, " + RECORD + ", html binary"
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, first, last = None, [], [], []
+        for f in frames:
+            for file, g in f.groupby("index_file", sort=False):
+                if file != now:
+                    now, rows, first, last = file, [], [], []
+                fresh = g["asked"].isna()
+                for r in g.loc[fresh, columns].itertuples(index=False):
+                    rows.append(tuple(r))
+                    first.append(r.first_key)
+                    last.append(r.last_key)
+                asked: dict[int, list[str]] = {}
+                for k in g.loc[~fresh, "asked"]:
+                    for j in range(bisect_left(last, k), bisect_right(first, k)):
+                        asked.setdefault(j, []).append(k)
+                if asked:
+                    out = pd.DataFrame([rows[j] for j in asked], columns=columns).astype({c: "int64" for c in ("n_lines", "offset", "length", "warc_start", "warc_stop")})
+                    yield out.assign(asked=list(asked.values()))
+
+    return dealt.mapInPandas(search, DIRECTORY + ", asked array<string>")
+
+
+def _runs(lines: list[list[str]], take: list[int], most: int) -> Iterator[list[int]]:
+    """Lines whose records lie side by side, as long as they have `most` bytes or fewer together."""
+    run: list[int] = []
+    for i in take:
+        if run and (i != run[-1] + 1 or int(lines[i][3]) + int(lines[i][4]) - int(lines[run[0]][3]) > most):
+            yield run
+            run = []
+        run.append(i)
+    if run:
+        yield run
+
+
+def captures(directory: DataFrame, keys: DataFrame, payload: bool = False, most: int = 8 << 20) -> DataFrame:
+    """key, the columns of RECORD, and html (null unless payload, and for revisits) of each capture of the keys.
+
+    Archives and blocks are found by binary search in the directory, lines by binary search in the unpacked block; records
+    that lie side by side are one range read."""
+    schema = f"key string, {RECORD}, html binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
         for f in frames:
-            for _, g in f.groupby(["index_file", "offset"]):
-                lines = index_lines(next(g.itertuples()))
+            for r in f.itertuples():
+                lines = index_lines(r)
                 of = [x[0] for x in lines]
-                out = []
-                for q in g.itertuples():
-                    for x in lines[bisect_left(of, q.key) : bisect_right(of, q.key)]:
-                        r = parse_record(zlib.decompress(read_range(x[5], int(x[3]), int(x[4])), 31))
-                        out.append(r | {"asked": q.asked, "html": r["payload"] if r["record_type"] == "response" else None})
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return hits.repartition("index_file", "offset").mapInPandas(work, schema)
+                take = sorted({i for k in r.asked for i in range(bisect_left(of, k), bisect_right(of, k))})
+                for run in _runs(lines, take, most):
+                    begin = int(lines[run[0]][3])
+                    raw = read_range(r.warc_file, begin, int(lines[run[-1]][3]) + int(lines[run[-1]][4]) - begin)
+                    out = []
+                    for i in run:
+                        at = int(lines[i][3]) - begin
+                        rec = parse_record(zlib.decompress(raw[at : at + int(lines[i][4])], 31))
+                        out.append(rec | {"key": of[i], "html": rec["payload"] if payload and rec["record_type"] == "response" else None})
+                    yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    n = max(1, min(directory.count(), 4 * directory.sparkSession.sparkContext.defaultParallelism, 10_000))
+    return find_blocks(directory, keys).repartition(n, "index_file", "offset").mapInPandas(work, schema)
+
+
+def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The captures of each asked URL, with their payloads."""
+    asked = urls.select(F.col(url_col).cast("string").alias("asked"), url_key_of(url_col).alias("key")).distinct()
+    return captures(directory, asked.select("key").distinct(), payload=True).join(asked, "key").drop("key")
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """The records; fails if a revisit's digest and size are not those of the response it names."""
+    records = table(records, "warc-records")
+    known = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("found")).distinct()
+    again = records.filter("record_type = 'revisit'").join(known, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    sure = F.when(F.col("found"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("no such response for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string"))
+    return records.filter("record_type = 'response'").unionByName(again.withColumn("record_type", sure).select(records.columns))

@@ -288,8 +288,13 @@ def test_toxicity_edges(spark):
     assert toxicity.window_starts(32) == [0] and toxicity.window_starts(33) == [0, 1]
     starts = toxicity.window_starts(1000)
     assert starts[-1] == 1000 - toxicity.WINDOW and max(np.diff(starts)) <= toxicity.STRIDE
-    texts, labels = toxicity.sample(docs_of(spark, [(1, "a"), (2, None), (3, "b")]), spark.createDataFrame([(1, 1), (2, 0), (3, None), (3, 0)], "doc_id long, toxic int"))
-    assert sorted(zip(texts, labels)) == [("a", 1), ("b", 0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (3, 0)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs_of(spark, [(1, "a"), (2, None), (3, "b")]), labels)
+    assert sorted(map(tuple, rows.collect())) == [("a", 1), ("b", 0)]
+    none = toxicity.fit(toxicity.sample(docs_of(spark, []), labels))
+    assert none.score(["a"]).tolist() == [0.0] and toxicity.score(docs_of(spark, []), none).count() == 0
+    twice = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, [(1, "a b"), (2, "a b")]), toxicity.fit(rows)).collect()}
+    assert twice[1] == twice[2]
 
 
 # ---- decontamination ----
@@ -369,13 +374,19 @@ def test_leaks_of_edited_copies_of_a_frequent_passage(spark):
 
 
 # ---- WARC ----
+def archived(df, folder, **options):
+    directory = warc.write_archives(df, folder, **options)
+    keys = df.select(warc.url_key_of("url").alias("key")).distinct()
+    return directory, warc.checked(warc.captures(directory, keys).drop("key", "html"))
+
+
 def test_warc(spark):
     urls = ["http://B.example.com/x?q=1", "https://a.example.com:8443/", "not a url", None, "http://[bad", "http://b.example.com/x?q=1"]
     pages = [(i, urls[i % len(urls)], ["<p>é</p>", "", None, "long " * 50_000][i % 4] if i < 20 else f"page {i}", "x") for i in range(60)]
     pages += [(None, "http://n.example/", "<p>é</p>", "x"), (7, urls[1], "seven", "x"), (7, urls[1], "seven", "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string")
-    directory = warc.write_archives(df, fresh_path(spark, "warc"), block_lines=7)
-    got = warc.read_archives(directory).collect()
+    directory, records = archived(df, fresh_path(spark, "warc"), block_lines=7)
+    got = records.collect()
     first = {}
     for i, _, h, _ in pages:
         b = (h or "").encode()
@@ -390,13 +401,34 @@ def test_warc(spark):
     asked = spark.createDataFrame([("http://b.example.com:80/x?q=1",), ("http://nowhere/",)], "url string")
     found = warc.lookup(directory, asked).collect()
     assert {r.page_id for r in found} == {i for i, u, _, _ in pages if u and u.lower().startswith("http://b.")}
-    assert warc.read_archives(warc.write_archives(df.limit(0), fresh_path(spark, "warc"))).count() == 0
+    html = dict((i, h) for i, _, h, _ in pages)
+    assert all(bytes(r.html).decode() == (html[r.page_id] or "") for r in found if r.record_type == "response")
+    none, records = archived(df.limit(0), fresh_path(spark, "warc"))
+    assert records.count() == none.count() == warc.lookup(none, asked).count() == 0
 
 
 def test_warc_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
-    got = warc.read_archives(warc.write_archives(df, fresh_path(spark, "warc"), min_revisit_bytes=3)).collect()
-    assert {r.page_id: r.record_type for r in got} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    _, records = archived(df, fresh_path(spark, "warc"), min_revisit_bytes=3)
+    assert {r.page_id: r.record_type for r in records.collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_warc_wrong_revisits_are_found(spark):
+    rows = [(1, "u", 3, "A", "response", None), (2, "u", 3, "A", "revisit", 1), (3, "u", 4, "A", "revisit", 1)]
+    with pytest.raises(Exception, match="no such response for page 3"):
+        warc.checked(spark.createDataFrame(rows, warc.RECORD)).collect()
+
+
+def test_op10_query_takes_every_page(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    first = {}
+    for r in sorted(pages, key=lambda r: r.page_id):
+        first.setdefault(r.html or "", r.page_id)
+    want = []
+    for r in pages:
+        b, o = (r.html or "").encode(), first[r.html or ""]
+        want.append((r.page_id, len(b), warc.payload_digest(b), *(("response", None) if o == r.page_id else ("revisit", o))))
+    assert sorted(map(tuple, queries.op10_warc(spark, sf_dir).collect()), key=str) == sorted(want, key=str)
 
 
 def test_url_keys():
@@ -405,11 +437,12 @@ def test_url_keys():
     assert warc.url_key(None) == warc.url_key("junk") == "-)/"
 
 
-def test_blocks_are_found_in_slices(spark):
+def test_blocks_are_found_by_binary_search(spark):
     keys = sorted(f"com,h{i:03d})/" for i in range(100))
-    rows = [(keys[i], keys[i + 9], 10, "f", i, 1, "w", 0, 1) for i in range(0, 100, 10)]
+    rows = [(keys[i], keys[i + 9], 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(0, 100, 10)]
+    rows += [("com,i)/", "com,i)/", 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(100, 200, 10)]  # one key over many blocks and files
     d = table(spark.createDataFrame(rows, warc.DIRECTORY), "directory")
-    asked = spark.createDataFrame([(k,) for k in [*keys[::7], "com,zzz)/", "a"]], "key string")
-    for n in (3, 1000):
-        got = sorted((r.key, r.offset) for r in warc.find_blocks(d, asked, n).collect())
-        assert got == [(k, keys.index(k) // 10 * 10) for k in keys[::7]]
+    asked = spark.createDataFrame([(k,) for k in [*keys[::7], "com,i)/", "com,zzz)/", "a", "com,h0095)/"]], "key string")
+    got = sorted((k, r.offset) for r in warc.find_blocks(d, asked).collect() for k in r.asked)
+    want = [(k, keys.index(k) // 10 * 10) for k in keys[::7]] + [("com,i)/", i) for i in range(100, 200, 10)]
+    assert got == sorted(want + [(k, i) for k, i in [("com,h0095)/", 0)] if keys[0] <= k <= keys[9]])
