@@ -1,22 +1,25 @@
 """Grouped prefix join: documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more, and their components.
 
-1. Every document becomes its set's size, a key of the set (equal sets are one node from here on) and a parity bitmap.
-   The same pass counts all shingles: tasks send sorted 32-bit remainders per hash range, so each range is counted alone,
-   and the shingles in at least 2, 16, 256 and 4096 documents are marked in bitmaps of bounded size.
-2. All sets are put into one global order: by how many of these marks a shingle has (a false mark only moves a shingle, for
-   all documents alike), then by hash. Two similar sets share a shingle within their prefixes. Shingles without a mark are
-   in one document only and need no posting. Documents with identical prefix and size are collapsed into one group; groups
-   meet at shingles, and only then are members expanded.
-3. Members are linked in rounds. In a round, each shingle's posting list picks two pivots, one from the middle of a group
-   and one by hash; members of other components than the pivot's are compared with it, and links merge components. Lists within one component drop out, so
-   large groups of near copies cost rows in proportion to their members. A last pass compares all pairs of members that
-   still share a prefix shingle and are in different components, so no component is missed.
-4. A pair must pass the size and position bounds, then a bound on the symmetric difference from the parity bitmaps; all
-   that pass are compared by their whole sets.
+1. A pass over the texts gives each document its set's size, keys and a parity bitmap; equal sets are one node from here
+   on. Documents are taken in chunks; a chunk sends the distinct shingles of its sets to their hash ranges. Each range is
+   counted alone and tells every chunk which of its shingles other chunks or sets have, and how common they are. Nothing of
+   this is broadcast or passes the driver.
+2. A set's shingles are put into one global order, rare ones first. Two similar sets share a shingle within their prefixes.
+   Shingles of one set alone need no posting. Sets with identical prefix and size are collapsed into one group, and only
+   groups are posted.
+3. Groups that meet at a shingle are paired and filtered by size and place; only pairs that may be similar are expanded to
+   members. Members are linked in rounds. In a round, each shingle's list picks two groups as pivots, one from the middle
+   of a crowd and one by hash; other groups' members are compared with one member of the pivot, and links merge components.
+   Lists and groups within one component drop out, so large groups of near copies cost rows in proportion to their members.
+   A last pass pairs all groups that still share a prefix shingle and are not in one component, so no link is missed; its
+   lists are split by bands of size, and the smaller side by place, so that impossible pairs don't meet.
+4. A pair of members must pass a bound on the symmetric difference from the parity bitmaps; all that pass are compared by
+   their whole sets.
 
 Cases: null and empty texts have empty sets and are linked with nothing; a text of fewer words than a shingle is one
 shingle; repeated rows are equal sets; a null id never names a component unless all its ids are null; empty tables give
-no rows. Sets and shingles are identified by 64-bit hashes.
+no rows. Shingles are told apart by 64-bit hashes; sets by a 64-bit key, and if a second key shows that two different sets
+have one key, all is done again with other keys.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, table, without_ids
+from .common import maybe_in, table, without_ids
 from .encoding import release, small_batches
 
-LEVELS = (2, 16, 256, 4096)
 PARITY_BITS = 2_048
+#: What a chunk keeps of each document: set is the place of its set in the chunk, -1 if the set is empty.
+DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i4"), ("set", "<i4"), ("gid", "<i8"), ("check", "<i8")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,10 +71,10 @@ def shingles(text: str | None, k: int, hashed: WordHash) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])]
 
 
-def set_key(s: np.ndarray) -> int:
+def set_key(s: np.ndarray, seed: int = 0, bits: int = 64) -> int:
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed) & ((1 << bits) - 1)).view(np.int64))
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -86,158 +91,210 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-class Marks:
-    """Bitmaps of the shingles in at least LEVELS documents. A shingle's bit is given by the leading bits of its hash."""
+def commonness(times: np.ndarray) -> np.ndarray:
+    """0 for shingles that occur once, else four steps for each doubling."""
+    return np.where(times > 1, np.floor(4 * np.log2(np.maximum(times, 1))) - 3, 0).astype(np.uint8)
 
-    def __init__(self, bits: list[int]):
-        self.bits, self.maps = bits, [np.zeros(1 << max(0, b - 3), np.uint8) for b in bits]
 
-    def level(self, s: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), np.int8)
-        for b, m in zip(self.bits, self.maps):
-            at = (s >> np.uint64(64 - b)).astype(np.int64)
-            out += (m[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return out
+def _stable_order(key: np.ndarray) -> np.ndarray:
+    """Order of keys under 2^32, ties by place: one sort of plain integers is faster than an argsort."""
+    return (np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _sketch(docs: DataFrame, k: int, range_bits: int, chunk: int = 2_000_000) -> DataFrame:
-    """Rows of kind 0: a document's size, key and bitmap. Rows of kind 1: sorted remainders of the shingles in one hash range."""
+def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int, chunk: int) -> DataFrame:
+    """Kind 0: a chunk of documents with, in the order of their tokens, the sets that hold them. Kind 1: the chunk's distinct tokens in one hash range.
+
+    A token is the leading bits of a shingle's hash: those of its range and 32 more, 48 in all at most."""
+    width = min(48, range_bits + 32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashed, held, n_held = WordHash(), [], 0
-        names = ["kind", "bucket", "doc_id", "n", "gid", "data"]
+        hashed, part, chunk_no = WordHash(), TaskContext.get().partitionId() << 32, 0
+        rows, sets, place = [], [], {}
+        held = 0
 
         def flush():
-            nonlocal held, n_held
-            if n_held:
-                all_ = np.sort(np.concatenate(held))
-                ranges = (all_ >> np.uint64(64 - range_bits)).astype(np.int64)
-                rest = ((all_ << np.uint64(range_bits)) >> np.uint64(32)).astype("<u4")
-                edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])), len(all_))
-                data = [rest[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-                m = len(data)
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(ranges[edges[:-1]]), none, pa.nulls(m, pa.int32()), none, pa.array(data, pa.binary())], names)
-            held, n_held = [], 0
+            nonlocal rows, sets, place, held, chunk_no
+            if not rows:
+                return
+            this = part + chunk_no
+            of = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+            both = np.sort(((np.concatenate(sets) >> np.uint64(64 - width)) << np.uint64(16)) | of) if sets else of
+            token = both >> np.uint64(16)
+            new = np.append(True, token[1:] != token[:-1])[: len(token)]
+            begins = np.flatnonzero(new)
+            value, times = token[begins], np.minimum(np.diff(np.append(begins, len(token))), 255).astype(np.uint8)
+            ranges, rest = (value >> np.uint64(width - range_bits)).astype(np.int64), (value & np.uint64((1 << (width - range_bits)) - 1)).astype("<u4")
+            edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(ranges)]), len(ranges))
+            m = len(edges) - 1
+            data = [(both & np.uint64(0xFFFF)).astype("<u2").tobytes(), *(rest[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
+            extra = [np.packbits(new).tobytes(), *(times[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
+            none = [None] * m
+            columns = [
+                pa.array(np.append(0, np.ones(m)).astype(np.int32)),
+                pa.array(np.append(this * 0x9E3779B1 % ((1 << 31) - 1) % (1 << range_bits), ranges[edges[:-1]]).astype(np.int64)),
+                pa.array(np.full(m + 1, this)),
+                pa.array(data, pa.binary()),
+                pa.array(extra, pa.binary()),
+                pa.array([np.array(rows, DOC).tobytes(), *none], pa.binary()),
+                pa.array([b"".join(map(parity, sets)), *none], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "chunk", "data", "extra", "docs", "bits"])
+            rows, sets, place, held, chunk_no = [], [], {}, 0, chunk_no + 1
 
         for batch in batches:
             for b in small_batches(batch, "text", 4_000_000):
-                sets = [shingles(t, k, hashed) for t in b.column("text").to_pylist()]
-                n = np.array([len(s) for s in sets], np.int32)
-                gid = np.array([set_key(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(gid & ((1 << range_bits) - 1)), b.column("doc_id"), pa.array(n), pa.array(gid), pa.array([parity(s) for s in sets], pa.binary())], names)
-                held += sets
-                n_held += int(n.sum())
-                if n_held >= chunk:
-                    yield from flush()
+                for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                    s = shingles(t, k, hashed)
+                    gid, at = set_key(s, seed, key_bits), -1
+                    if len(s):
+                        at = place.setdefault(gid, len(sets))
+                        if at == len(sets):
+                            sets.append(s)
+                            held += len(s)
+                    rows.append((i or 0, i is None, len(s), at, gid, set_key(s, seed + 1)))
+                    if held >= chunk or len(sets) >= 60_000 or len(rows) >= 200_000:
+                        yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(work, "kind int, bucket long, doc_id long, n int, gid long, data binary")
+    return docs.mapInArrow(work, "kind int, key long, chunk long, data binary, extra binary, docs binary, bits binary")
 
 
-def _count_ranges(sketch: DataFrame, range_bits: int, bits: list[int]) -> DataFrame:
-    """Passes rows of kind 0 on; turns each hash range's remainders into its slices of the bitmaps (n: level)."""
+def _count_ranges(sketch: DataFrame) -> DataFrame:
+    """Passes chunks on; tells each chunk which of its tokens in a range are not alone (docs: a mask), these tokens (data) and how common they are (extra)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "key", "chunk", "data", "extra", "docs", "bits"]
         now, held = None, []
 
         def flush():
             nonlocal held
-            if held:
-                all_ = np.sort(np.concatenate(held))
-                begins = np.flatnonzero(np.append(True, all_[1:] != all_[:-1]))
-                times, value = np.diff(np.append(begins, len(all_))), all_[begins].astype(np.uint64)
-                rows = []
-                for level, (least, b) in enumerate(zip(LEVELS, bits)):
-                    at = (value[times >= least] >> np.uint64(32 - (b - range_bits))).astype(np.int64)
-                    slice_ = np.zeros(1 << (b - range_bits), bool)
-                    slice_[at] = True
-                    if len(at):
-                        rows.append((1, now, None, level, None, np.packbits(slice_, bitorder="little").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "doc_id", "n", "gid", "data"])
+            if not held:
+                return
+            chunks, rest, times = zip(*held)
+            edges = np.cumsum([0, *map(len, rest)])
+            rest, times = np.concatenate(rest), np.concatenate(times).astype(np.int64)
+            order = _stable_order(rest)
+            ordered = rest[order]
+            begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            level = np.empty(len(rest), np.uint8)
+            level[order] = np.repeat(commonness(np.add.reduceat(times[order], begins)), np.diff(np.append(begins, len(rest))))
             held = []
+            for k in range(0, len(chunks), 500):
+                some = list(zip(chunks, edges, edges[1:]))[k : k + 500]
+                shared = [(level[a:b] > 0) for _, a, b in some]
+                columns = [
+                    pa.array(np.ones(len(some), np.int32)),
+                    pa.array(np.full(len(some), now, np.int64)),
+                    pa.array(np.array([c for c, _, _ in some], np.int64)),
+                    pa.array([rest[a:b][s].tobytes() for s, (_, a, b) in zip(shared, some)], pa.binary()),
+                    pa.array([level[a:b][s].tobytes() for s, (_, a, b) in zip(shared, some)], pa.binary()),
+                    pa.array([np.packbits(s).tobytes() for s in shared], pa.binary()),
+                    pa.array([len(s).to_bytes(4, "little") for s in shared], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            if (kind == 0).any():
-                yield b.filter(pa.array(kind == 0))
-            some = b.filter(pa.array(kind == 1))
-            for bucket, data in zip(some.column("bucket").to_pylist(), some.column("data").to_pylist()):
-                if bucket != now:
+            whole = b.column("kind").to_numpy() == 0
+            if whole.any():
+                yield b.filter(pa.array(whole))
+            some = b.filter(pa.array(~whole))
+            for key, c, data, extra in zip(*(some.column(x).to_pylist() for x in ("key", "chunk", "data", "extra"))):
+                if key != now:
                     yield from flush()
-                    now = bucket
-                held.append(np.frombuffer(data, "<u4"))
+                    now = key
+                held.append((c, np.frombuffer(data, "<u4"), np.frombuffer(extra, np.uint8)))
         yield from flush()
 
-    ordered = sketch.repartition("bucket").sortWithinPartitions("kind", "bucket")
-    return ordered.mapInArrow(work, "kind int, bucket long, doc_id long, n int, gid long, data binary")
+    ordered = sketch.repartition("key").sortWithinPartitions("kind", "key", "chunk")
+    return ordered.mapInArrow(work, sketch.schema)
+
+
+PREFIXES = "kind int, item long, pid long, n int, pos int, alone int, doc_id long, bits binary"
+
+
+def _prefixes(counted: DataFrame, range_bits: int) -> DataFrame:
+    """Kind 0: a set with its group (identical prefix and size). Kind 1: a group's prefix tokens that others have. Kind 2: a document with its set (pid: the second key)."""
+    rest_bits = min(48, range_bits + 32) - range_bits
+
+    def rows(kind: int, **columns) -> pa.RecordBatch:
+        n = len(columns["item"])
+        arrays = []
+        for name, type_ in (("item", pa.int64()), ("pid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("alone", pa.int32()), ("doc_id", pa.int64()), ("bits", pa.binary())):
+            v = columns.get(name)
+            arrays.append(pa.nulls(n, type_) if v is None else v.cast(type_) if isinstance(v, pa.Array) else pa.array(v, type_))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *arrays], ["kind", "item", "pid", "n", "pos", "alone", "doc_id", "bits"])
+
+    def finish(whole: dict, parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        docs = np.frombuffer(whole["docs"], DOC)
+        ids = pa.array(docs["id"], mask=docs["null"] > 0)
+        for a in range(0, len(docs), 20_000):
+            d = docs[a : a + 20_000]
+            yield rows(2, item=d["gid"], pid=d["check"], n=d["n"], doc_id=ids.slice(a, len(d)))
+        of = np.frombuffer(whole["data"], "<u2").astype(np.int64)
+        if not len(of):
+            return
+        sets, lead = np.unique(docs["set"], return_index=True)
+        lead = lead[sets >= 0]
+        n, gid = docs["n"][lead].astype(np.int64), docs["gid"][lead]
+        which = np.cumsum(np.unpackbits(np.frombuffer(whole["extra"], np.uint8), count=len(of))) - 1
+        mask = np.concatenate([np.unpackbits(np.frombuffer(p["docs"], np.uint8), count=int.from_bytes(p["bits"], "little")) for p in parts]).astype(bool)
+        token = np.concatenate([(np.int64(p["key"]) << rest_bits) | np.frombuffer(p["data"], "<u4").astype(np.int64) for p in parts])
+        level = np.concatenate([np.frombuffer(p["extra"], np.uint8) for p in parts])
+        shared = np.flatnonzero(mask[which])
+        at = (np.cumsum(mask) - 1)[which[shared]]
+        of = of[shared]
+        alone = n - np.bincount(of, minlength=len(n))
+        keep = prefix_length(n) - alone
+        order = _stable_order((of << 8) | level[at])
+        of, token = of[order], token[at[order]]
+        begin = np.searchsorted(of, np.arange(len(n)))
+        pos = np.arange(len(of)) - begin[of]
+        prefix = pos < keep[of]
+        of, token, pos = of[prefix], token[prefix], pos[prefix]
+        begin, end = np.searchsorted(of, np.arange(len(n))), np.searchsorted(of, np.arange(len(n)), "right")
+        posted = np.flatnonzero(end > begin)
+        if not len(posted):
+            return
+        # a token of this set alone makes a prefix that no other set has
+        pid = gid.copy()
+        for i in posted[alone[posted] == 0].tolist():
+            pid[i] = set_key(np.append(token[begin[i] : end[i]], n[i]))
+        bits = [whole["bits"][i * (PARITY_BITS // 8) : (i + 1) * (PARITY_BITS // 8)] for i in posted.tolist()]
+        for a in range(0, len(posted), 5_000):
+            p = posted[a : a + 5_000]
+            yield rows(0, item=gid[p], pid=pid[p], n=n[p], alone=alone[p], doc_id=ids.take(pa.array(lead[p])), bits=bits[a : a + 5_000])
+        first = np.zeros(len(n), bool)
+        first[posted[np.unique(pid[posted], return_index=True)[1]]] = True
+        take = np.flatnonzero(first[of])
+        for a in range(0, len(take), 50_000):
+            t = take[a : a + 50_000]
+            yield rows(1, item=token[t], pid=pid[of[t]], n=n[of[t]], pos=pos[t] + alone[of[t]], alone=alone[of[t]])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, parts = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == 0:
+                    if whole is not None:
+                        yield from finish(whole, parts)
+                    whole, parts = r, []
+                else:
+                    parts.append(r)
+        if whole is not None:
+            yield from finish(whole, parts)
 
-def _prefixes(docs: DataFrame, k: int, marks: Marks) -> DataFrame:
-    """Rows of kind 0: a set and its group (identical prefix and size). Rows of kind 1: a group's prefix shingles that others may have."""
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    return counted.repartition("chunk").sortWithinPartitions("chunk", "kind", "key").mapInArrow(work, PREFIXES)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        hashed, marks, seen = WordHash(), sent.value, set()
-        for batch in batches:
-            for b in small_batches(batch, "text", 4_000_000):
-                out: list[tuple] = []
-                tokens = []
-                for t in b.column("text").to_pylist():
-                    s = shingles(t, k, hashed)
-                    if not len(s):
-                        continue
-                    level, p = marks.level(s), prefix_length(len(s))
-                    shared = np.flatnonzero(level)
-                    alone = len(s) - len(shared)
-                    if alone >= p:
-                        continue
-                    order = np.lexsort((s[shared], level[shared]))[: p - alone]
-                    prefix = s[shared[order]]
-                    gid = set_key(s)
-                    if gid in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(gid)
-                    # shingles of this set alone make a prefix that no other set has
-                    pid = set_key(np.append(prefix, np.uint64(len(s)))) if not alone else gid
-                    out.append((0, gid, pid, len(s), alone))
-                    if ("p", pid) not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(("p", pid))
-                        tokens.append((prefix, pid, len(s), alone))
-                if not out:
-                    continue
-                size = [len(x[0]) for x in tokens]
-                wide = lambda i, t: np.repeat(np.array([x[i] for x in tokens], t), size)
-                kind, gid, pid, n, few = zip(*out)
-                token = np.concatenate([x[0] for x in tokens]).view(np.int64) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.array(kind, np.int32), np.ones(len(token), np.int32)])),
-                        pa.array(np.concatenate([np.array(gid, np.int64), token])),
-                        pa.array(np.concatenate([np.array(pid, np.int64), wide(1, np.int64)])),
-                        pa.array(np.concatenate([np.array(n, np.int32), wide(2, np.int32)])),
-                        pa.array(np.concatenate([np.zeros(len(out), np.int32), wide(3, np.int32) + np.concatenate([np.arange(z, dtype=np.int32) for z in size] or [np.zeros(0, np.int32)])])),
-                        pa.array(np.concatenate([np.array(few, np.int32), wide(3, np.int32)])),
-                    ],
-                    ["kind", "item", "pid", "n", "pos", "alone"],
-                )
-
-    return docs.mapInArrow(work, "kind int, item long, pid long, n int, pos int, alone int")
-
-
-def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
+
+def _whole_sets(docs: DataFrame, k: int, seed: int, key_bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashed = WordHash()
         for batch in batches:
             for b in small_batches(batch, "text", 4_000_000):
                 sets = [shingles(t, k, hashed) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s, seed, key_bits) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", "elements"])
 
     return docs.mapInArrow(work, "gid long, elements binary")
 
@@ -331,88 +388,121 @@ def _possible(n_a, n_b, pos_a, pos_b):
     return (4 * least >= 3 * F.greatest(n_a, n_b)) & (7 * F.least(rest_a, rest_b) >= 3 * (n_a + n_b))
 
 
-def _star_pairs(lists: DataFrame, round_no: int) -> DataFrame:
-    """Members against two pivots of their list, where components differ.
+def _states(members: DataFrame, labels: DataFrame | None, round_no: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their components; per group its lowest and highest component and one member, picked by hash."""
+    if labels is None:
+        members = members.withColumn("comp", F.col("gid"))
+    else:
+        members = table(members.join(labels, "gid", "left").withColumn("comp", F.coalesce("comp", "gid")), "members")
+    one = F.struct(F.xxhash64("gid", F.lit(round_no)).alias("h"), "gid", "comp")
+    return members, table(members.groupBy("pid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(one).alias("one")), "groups")
+
+
+def _star_groups(posted: DataFrame, states: DataFrame, round_no: int) -> DataFrame:
+    """Groups (pid) and a member (one) of a pivot that they meet and may be similar to, unless they are in its component.
 
-    The first pivot has the fewest shingles that only it has, so it lies in the middle of a group of near copies (from the
-    second round on a few more than the fewest, to try others); the second is picked by hash."""
-    h = F.xxhash64("gid", F.lit(round_no))
+    A list's first pivot has the fewest shingles that only it has, so it lies in the middle of near copies (from the second
+    round on a few more than the fewest, to try others); its second is picked by hash. A group of several components also
+    meets its own member."""
+    lists = posted.join(states, "pid")
+    h = F.xxhash64("pid", F.lit(round_no))
     middle = F.col("alone") + F.pmod(h, F.lit(1 + 4 * round_no))
-    me = lambda order: F.struct(order.alias("order"), h.alias("h"), "gid", "comp", "n", "pos")
-    pivots = lists.groupBy("token").agg(F.min(me(middle)).alias("lo"), F.min(me(h)).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").drop("c0", "c1")
-    met = lists.join(pivots, "token")
+    me = lambda order: F.struct(order.alias("order"), h.alias("h"), "pid", "n", "pos", "one")
+    pivots = lists.groupBy("token").agg(F.min(me(middle)).alias("lo"), F.min(me(h)).alias("hi"), F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low != high").drop("low", "high")
+    met = lists.join(table(pivots, "pivots"), "token")  # a table, so that Spark may split a hot token's list
     out = []
     for p in ("lo", "hi"):
-        ok = (F.col("comp") != F.col(f"{p}.comp")) & _possible(F.col("n"), F.col(f"{p}.n"), F.col("pos"), F.col(f"{p}.pos"))
-        out.append(F.when(ok, F.struct(F.least("gid", f"{p}.gid").alias("a"), F.greatest("gid", f"{p}.gid").alias("b"))))
-    pairs = met.select(F.explode(F.array_distinct(F.array_compact(F.array(*out)))).alias("p"))
-    return pairs.select("p.a", "p.b").distinct()
+        apart = (F.col("c0") != F.col(f"{p}.one.comp")) | (F.col("c1") != F.col(f"{p}.one.comp"))
+        ok = (F.col("pid") != F.col(f"{p}.pid")) & apart & _possible(F.col("n"), F.col(f"{p}.n"), F.col("pos"), F.col(f"{p}.pos"))
+        out.append(F.when(ok, F.col(f"{p}.one")))
+    across = met.select("pid", F.explode(F.array_distinct(F.array_compact(F.array(*out)))).alias("one"))
+    within = states.filter("c0 != c1").select("pid", "one")
+    return across.unionByName(within).select("pid", "one.gid", "one.comp").toDF("pid", "one", "one_comp").distinct()
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of members of different components that share a prefix shingle and may be similar."""
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
-    rest = table(lists.join(mixed, "token"), "mixed")
-    left, right = rest.alias("l"), rest.alias("r")
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & (F.col("l.comp") != F.col("r.comp"))
-    on &= _possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
-    return left.join(right, on).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct()
+def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of sets from pairs of a group and a set."""
+    met = pairs.join(members.select("pid", "gid", "comp"), "pid").filter("comp != one_comp")
+    return met.select(F.least("gid", "one").alias("a"), F.greatest("gid", "one").alias("b")).distinct()
 
 
-def _with_comp(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("gid"))
-    return lists.join(labels, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
+def _all_groups(posted: DataFrame, states: DataFrame) -> DataFrame:
+    """All pairs of groups that share a prefix token, may be similar and are not in one component.
 
+    Sizes of similar sets differ by a third at most, so a group meets those of its own band of sizes and of the next; as the
+    smaller of a pair it does so only by tokens in its first seventh."""
+    lists = posted.join(states.drop("one"), "pid")
+    mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low != high").select("token")
+    rest = table(lists.join(table(mixed, "mixed"), "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))), "mixed")
+    small = rest.filter("7 * (n - pos) >= 6 * n").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    left, right = small.alias("l"), rest.alias("r")
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band"))
+    on &= (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.pid") < F.col("r.pid")))
+    on &= (F.least("l.c0", "r.c0") != F.greatest("l.c1", "r.c1")) & _possible(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos"))
+    across = left.join(right, on).select(F.col("l.pid").alias("p"), F.col("r.pid").alias("q"))
+    return across.unionByName(states.filter("c0 != c1").select(F.col("pid").alias("p"), F.col("pid").alias("q"))).distinct()
 
-def similar_components(docs: DataFrame, k: int = 5, star_rounds: int = 4, broadcast_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
-    size = tokens.bit_length()
-    range_bits = min(20, max(6, size - 20))
-    bits = [min(28, max(20, size + 1)), *[min(24, max(20, size - 3))] * 3]
-    counted = table(_count_ranges(_sketch(rows, k, range_bits), range_bits, bits), "sketch")
-    marks = Marks(bits)
-    for r in counted.filter("kind = 1").select("bucket", "n", "data").collect():  # bitmaps of bounded size
-        part = np.frombuffer(r.data, np.uint8)
-        marks.maps[r.n][r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
-    sketch = counted.filter("kind = 0")
-    prefixes = table(_prefixes(rows, k, marks), "prefixes")
-    groups = prefixes.filter("kind = 0").select(F.col("item").alias("gid"), "pid", "n", "alone").distinct()
+
+def _all_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    of = lambda s, p: members.select(F.col("pid").alias(p), F.col("gid").alias(s), F.col("comp").alias(f"comp_{s}"))
+    met = pairs.join(of("x", "p"), "p").join(of("y", "q"), "q").filter("comp_x != comp_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posted groups at tokens that others have (token, pid, n, pos, alone), and members of groups that may be similar to anything (pid, gid)."""
     posted = prefixes.filter("kind = 1").select(F.col("item").alias("token"), "pid", "n", "pos", "alone")
-    shared = posted.groupBy("token").agg(F.min("pid").alias("p0"), F.max("pid").alias("p1")).filter("p0 != p1").select("token")
-    posted = posted.join(shared, "token").distinct()
-    # members of one group share their whole prefix: they meet at the group itself
-    within = groups.join(groups.groupBy("pid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("pid"), "pid")
-    lists = posted.join(groups.select("gid", "pid"), "pid").select("token", "gid", "n", "pos", "alone")
-    lists = table(lists.unionByName(within.select(F.col("pid").alias("token"), "gid", "n", F.lit(0).alias("pos"), "alone")), "lists")
-    wanted = lists.select("gid").distinct()
-    found = sketch.join(wanted, "gid").groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("data").alias("bits"))
-    nodes = table(found, "nodes")
+    shared = table(posted.groupBy("token").agg(F.min("pid").alias("p0"), F.max("pid").alias("p1")).filter("p0 != p1").select("token"), "shared")
+    posted = table(posted.join(shared, "token").distinct(), "posted")
+    members = prefixes.filter("kind = 0").select("pid", F.col("item").alias("gid")).distinct()
+    several = members.groupBy("pid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("pid")
+    return posted, table(members.join(posted.select("pid").unionByName(several).distinct(), "pid"), "members")
+
+
+def links_of(prefixes: DataFrame, rows: DataFrame, k: int, star_rounds: int, seed: int, key_bits: int) -> DataFrame | None:
+    """Component labels (gid, comp) of the sets that have a similar one; None if there are none."""
+    posted, members = _candidates(prefixes)
+    own = prefixes.filter("kind = 0").select(F.col("item").alias("gid"), "doc_id", "n", "bits")
+    least = own.groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = table(least.join(members.select("gid").distinct(), "gid"), "nodes")
     n_nodes = nodes.count()
+    if not n_nodes:
+        return None
+    # a null id doesn't tell the row, so those rows all come along
+    some = maybe_in(rows.filter("doc_id is not null"), nodes, "doc_id", n_nodes).unionByName(rows.filter("doc_id is null"))
+    sets = maybe_in(_whole_sets(some, k, seed, key_bits), nodes, "gid", n_nodes).dropDuplicates(["gid"])
+    sets = table(sets.join(nodes.select("gid"), "gid", "left_semi"), "sets")
     labels = None
-    if n_nodes:
-        ids = sized_broadcast(nodes.select("doc_id").distinct(), n_nodes, broadcast_ids)
-        sets = _whole_sets(rows.join(ids, "doc_id"), k).join(nodes.select("gid"), "gid").dropDuplicates(["gid"])
-        sets = table(sets, "sets")
-        for round_no in range(star_rounds):
-            links = _verify(_star_pairs(_with_comp(lists, labels), round_no), nodes, sets)
-            if links.isEmpty():
-                break
-            labels = _merge(labels, links)
-        links = _verify(_all_pairs(_with_comp(lists, labels)), nodes, sets)
-        if not links.isEmpty():
-            labels = _merge(labels, links)
-    keyed = sketch.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "gid")
-    if labels is not None:
-        keyed = keyed.join(labels, "gid", "left")
+    for round_no in range(star_rounds):
+        own, states = _states(members, labels, round_no)
+        links = _verify(_with_members(_star_groups(posted, states, round_no), own), nodes, sets)
+        if links.isEmpty():
+            break
+        labels = _merge(labels, links)
+    own, states = _states(members, labels, star_rounds)
+    links = _verify(_all_members(_all_groups(posted, states), own), nodes, sets)
+    return labels if links.isEmpty() else _merge(labels, links)
+
+
+def similar_components(docs: DataFrame, k: int = 5, star_rounds: int = 4, chunk: int = 1 << 20, key_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6).bit_length()  # of the number of shingles, about
+    range_bits = min(20, max(8, size - 22))
+    for seed in range(64):
+        found = table(_prefixes(_count_ranges(_sketch(rows, k, range_bits, 2 * seed, key_bits, chunk)), range_bits), "prefixes", "kind")
+        keyed = found.filter("kind = 2").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("item").alias("gid"), F.col("pid").alias("check"))
+        if keyed.groupBy("gid").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 != c1").isEmpty():
+            break
     else:
-        keyed = keyed.withColumn("comp", F.lit(None).cast("long"))
+        raise RuntimeError("no keys tell all sets apart")
+    labels = links_of(found, rows, k, star_rounds, 2 * seed, key_bits)
+    keyed = keyed.drop("check")
+    keyed = keyed.join(labels, "gid", "left") if labels is not None else keyed.withColumn("comp", F.lit(None).cast("long"))
     keyed = keyed.withColumn("comp", F.coalesce("comp", "gid"))
     least = keyed.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("first"))
-    linked = keyed.filter("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    linked = keyed.filter("n_shingles > 0").join(table(least, "least"), "comp")  # a table, so that Spark may split a hot component
+    linked = linked.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
     return linked.unionByName(keyed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

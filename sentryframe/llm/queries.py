@@ -84,6 +84,31 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.shingles)
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, min(page_id) AS original FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p JOIN g USING (html)
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
@@ -96,4 +121,4 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op9_ngram_join": OP9_SQL, "op10_warc": OP10_SQL}

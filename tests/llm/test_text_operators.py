@@ -117,10 +117,42 @@ def test_ngram_join(spark, seed):
         texts.append(" ".join(chain))
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(spark, rows), chunk=[1 << 20, 400, 3_000][seed]).collect()}
     assert got == brute_components(rows)
 
 
+def test_ngram_join_when_keys_of_sets_collide(spark):
+    """With keys of 10 bits some of 70 sets get the same one, so the first keys are given up."""
+    rng = random.Random(3)
+    base = rng.choices(WORDS, k=60)
+    rows = [(i, " ".join(edited(rng, base, 1 + i % 3) if i % 2 else rng.choices(WORDS, k=30))) for i in range(70)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs_of(spark, rows), key_bits=10).collect()}
+    assert got == brute_components(rows)
+
+
+def test_ngram_join_links_through_rows_without_an_id(spark):
+    chain = [" ".join(WORDS[a : a + 60]) for a in (0, 4, 8)]
+    d = docs_of(spark, [(1, chain[0]), (None, chain[1]), (2, chain[2]), (3, "x y z")])
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_components(d).collect()} == {1: 1, None: 1, 2: 1, 3: 3}
+
+
+def test_groups_that_cannot_be_similar_are_never_paired(spark):
+    rng = random.Random(5)
+    posts = [(t, p, 20 + 7 * p, rng.randrange(0, 6 + p), 0) for p in range(40) for t in rng.sample(range(12), 4)]
+    posted = table(spark.createDataFrame(posts, "token long, pid long, n int, pos int, alone int"), "posted")
+    one = "struct<h:long,gid:long,comp:long>"
+    states = table(spark.createDataFrame([(p, p // 2, p // 2, (0, p, p // 2)) for p in range(40)], f"pid long, c0 long, c1 long, one {one}"), "states")
+    want = set()
+    for t, p, n, i, _ in posts:
+        for u, q, m, j, _ in posts:
+            if t == u and p < q and p // 2 != q // 2 and 4 * n >= 3 * m and 7 * min(n - i, m - j) >= 3 * (n + m):
+                want.add((p, q))
+    got = sorted((r.p, r.q) for r in ngram_join._all_groups(posted, states).collect())
+    assert got == sorted(want) and len(want) < 200
+    for r in ngram_join._star_groups(posted, states, 0).collect():
+        assert (min(r.pid, r.one), max(r.pid, r.one)) in want
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Near copies of one text that are not all similar to each other, with exact copies among them."""
     rng = random.Random(9)
