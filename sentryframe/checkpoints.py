@@ -17,6 +17,8 @@ def _folder(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     path = spark.conf.get("spark.checkpoint.dir", None) or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
     if not path:
+        if not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sentryframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -19,10 +19,27 @@ def payload(df: DataFrame, *columns: str):
 
 
 def chain_heads(entries: DataFrame) -> DataFrame:
-    """The last hash and length of each chain. entries: log_id, seq, payload. A chain is folded in one row of its log."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-    head = F.aggregate(steps, F.lit(GENESIS), lambda h, x: F.sha2(F.concat(h, x["payload"]).cast("binary"), 256))
-    return entries.groupBy("log_id").agg(head.alias("head"), F.count(F.lit(1)).alias("n_entries"))
+    """The last hash and length of each chain. entries: log_id, seq, payload. Like append, a task keeps one hash, however long a log is."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, h, n = None, GENESIS, 0
+        for f in frames:
+            done = []
+            for x, p in zip(f["log_id"], f["payload"]):
+                if x != log:
+                    if n:
+                        done.append((log, h, n))
+                    log, h, n = x, GENESIS, 0
+                h, n = hashlib.sha256((h + p).encode()).hexdigest(), n + 1
+            yield pd.DataFrame(done, columns=["log_id", "head", "n_entries"])
+        if n:
+            yield pd.DataFrame([(log, h, n)], columns=["log_id", "head", "n_entries"])
+
+    return _by_log(entries).mapInPandas(work, "log_id string, head string, n_entries long")
+
+
+def _by_log(entries: DataFrame) -> DataFrame:
+    return entries.select("log_id", "seq", "payload").repartition("log_id").sortWithinPartitions("log_id", "seq")
 
 
 def append(entries: DataFrame) -> DataFrame:
@@ -42,8 +59,7 @@ def append(entries: DataFrame) -> DataFrame:
                 after.append(h)
             yield f.assign(prev_hash=before, hash=after)
 
-    ordered = entries.select("log_id", "seq", "payload").repartition("log_id").sortWithinPartitions("log_id", "seq")
-    return ordered.mapInPandas(work, "log_id string, seq long, payload string, prev_hash string, hash string")
+    return _by_log(entries).mapInPandas(work, "log_id string, seq long, payload string, prev_hash string, hash string")
 
 
 def verify(chained: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..checkpoints import cut
 from ..config import SOURCE_NAMES, TEST_SOURCES
 from ..functions.decisions import label_value
+from .policy import small, unused
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -61,17 +62,18 @@ def shuffled(seed: int, *keys: str):
     return F.sha2(F.concat(F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"), 256)
 
 
-def ranked(df: DataFrame, keys: list[str], h: str, order: str = "ord", digits: int = 3) -> DataFrame:
-    """Adds rank: 1, 2, ... per keys in order of the hash column h.
+def ranked(df: DataFrame, keys: list[str], h: str, order: str = "ord", digits: int = 3, rank: str = "rank") -> DataFrame:
+    """Adds rank (or another column name): 1, 2, ... per keys in order of the hash column h.
 
     The hash's leading digits cut each group into 16^digits slots. Slots are ranked apart and shifted by the rows of the slots
     before (a small table of counts), so a group of any size is spread over many tasks."""
-    cut = df.withColumn("slot", F.substring(h, 1, digits))
-    counts = cut.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("in_slot"))
-    before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*keys, "slot", F.coalesce(F.sum("in_slot").over(before), F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(h, order))
-    return cut.withColumn("at", at).join(shift, [*keys, "slot"]).withColumn("rank", F.col("at") + F.col("before")).drop("slot", "at", "before")
+    slot, at, before = unused(df, "slot", "at", "before")
+    cut = df.withColumn(slot, F.substring(h, 1, digits))
+    counts = cut.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("in_slot"))
+    upto = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*keys, slot, F.coalesce(F.sum("in_slot").over(upto), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(*keys, slot).orderBy(h, order))
+    return cut.withColumn(at, place).join(shift, [*keys, slot]).withColumn(rank, F.col(at) + F.col(before)).drop(slot, at, before)
 
 
 def cap_sources(df: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
@@ -79,9 +81,10 @@ def cap_sources(df: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
     counts = df.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n_label"))
     share = counts.join(counts.groupBy("source").agg(F.sum("n_label").alias("n_source")), "source")
     keep = F.when(F.col("n_source") > max_rows, F.bround(max_rows / F.col("n_source") * F.col("n_label"))).otherwise(F.col("n_label"))
-    bounds = share.select("source", "label", keep.cast("long").alias("keep"))
-    rows = ranked(df.withColumn("h", shuffled(seed, "text")), ["source", "label"], "h")
-    return rows.join(F.broadcast(bounds), ["source", "label"]).filter("rank <= keep").select(df.columns)
+    h, rank, most = unused(df, "h", "rank", "keep")
+    bounds = share.select("source", "label", keep.cast("long").alias(most))  # a row for each source and label
+    rows = ranked(df.withColumn(h, shuffled(seed, "text")), ["source", "label"], h, rank=rank)
+    return rows.join(small(bounds), ["source", "label"]).filter(F.col(rank) <= F.col(most)).select(df.columns)
 
 
 def dedup(df: DataFrame, pool: str = "split_role", order: str = "ord") -> DataFrame:

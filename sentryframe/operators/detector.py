@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from .text import binary_metrics, roc_auc
 
 
@@ -47,5 +48,7 @@ def fit_best(train: DataFrame, val: DataFrame, grid: tuple[tuple[float, int], ..
 
 
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
-    scored = score(model, df)
-    return binary_metrics(scored).join(roc_auc(scored))
+    """One row of metrics. Scores are written once, as narrow rows, and read for both figures."""
+    scored = cut(score(model, df).select("label", "score"))
+    on_one = lambda rows: rows.withColumn("one", F.lit(1))  # noqa: E731  two tables of one row each
+    return on_one(binary_metrics(scored)).join(on_one(roc_auc(scored)), "one").drop("one")

@@ -25,37 +25,64 @@ def remember(memory: DataFrame, new: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, memory: DataFrame, key: str = "id") -> DataFrame:
     """key, similarity and text of the most similar memory entry (the smallest idx on ties); (0.0, null) without memory or vector.
 
-    Exact. Memory is taken in blocks of at most BLOCK_ROWS entries; each is sent to the tasks as one matrix, and every Arrow
-    batch of queries is one matrix product. A large memory means more passes, not a larger broadcast."""
-    blocks = max(1, -(-memory.count() // BLOCK_ROWS))
-    q, best = queries.select(key, "embedding"), None
+    Exact. A memory of at most BLOCK_ROWS entries is sent to the tasks as one matrix, and every Arrow batch of queries is one
+    matrix product. A larger one never leaves the tasks: queries and memory are cut into blocks of about BLOCK_ROWS rows by a
+    hash, each pair of blocks meets in one task, and the best of a query's blocks is kept."""
+    n = memory.count()
     schema = StructType([queries.schema[key], StructField("similarity", DoubleType()), StructField("idx", LongType()), StructField("text", StringType())])
-    for k in range(blocks):
-        part = memory if blocks == 1 else memory.filter(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == k)
-        top = q.mapInArrow(_best_of(q.sparkSession, sorted(part.select("idx", "text", "embedding").collect()), key), schema)
-        best = top if best is None else best.unionByName(top)
-    if blocks > 1:
-        best = best.groupBy(key).agg(F.max_by(F.struct("similarity", "idx", "text"), F.struct("similarity", -F.col("idx"))).alias("top")).select(key, "top.*")
+    q, m = queries.select(key, "embedding"), memory.select("idx", "text", "embedding")
+    if n <= BLOCK_ROWS:
+        best = q.mapInArrow(_best_of(q.sparkSession, sorted(m.limit(BLOCK_ROWS).collect()), key), schema)
+    else:
+        best = _best_in_blocks(q, m, key, schema, -(-n // BLOCK_ROWS))
     return best.select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text")
 
 
+def _best_in_blocks(queries: DataFrame, memory: DataFrame, key: str, schema: StructType, m_blocks: int) -> DataFrame:
+    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("q_block", block(key, q_blocks)).withColumn("m_block", every(m_blocks))
+    m = memory.withColumn("m_block", block("idx", m_blocks)).withColumn("q_block", every(q_blocks))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [key, "similarity", "idx", "text"]
+        entries = sorted(zip(right.column("idx").to_pylist(), right.column("text").to_pylist(), right.column("embedding").to_pylist()), key=lambda e: (e[0], e[1] is not None, e[1]))
+        parts = [pa.record_batch(_top(b, key, *_matrix(entries)), names=names) for b in left.combine_chunks().to_batches(2_000)]
+        empty = [left.column(key).combine_chunks().slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64()), pa.array([], pa.string())]
+        return pa.Table.from_batches(parts) if parts else pa.table(dict(zip(names, empty)))
+
+    tops = q.groupBy("q_block", "m_block").cogroup(m.groupBy("q_block", "m_block")).applyInArrow(meet, schema)
+    best = tops.groupBy(key).agg(F.max_by(F.struct("similarity", "idx", "text"), F.struct("similarity", -F.col("idx"))).alias("top"))
+    return best.select(key, "top.*")
+
+
+def _matrix(entries: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Vectors, ids and texts of (idx, text, embedding) rows."""
+    return np.array([e[2] for e in entries], np.float64), np.array([e[0] for e in entries], np.int64), [e[1] for e in entries]
+
+
+def _top(b: pa.RecordBatch, key: str, matrix: np.ndarray, idx: np.ndarray, texts: list) -> list[pa.Array]:
+    """The keys of a batch and each one's best entry: similarity, idx and text."""
+    vectors = b.column("embedding").to_pylist()
+    have = [i for i, v in enumerate(vectors) if v is not None and len(idx)]
+    similarity, at = np.zeros(len(b)), np.full(len(b), -1)
+    if have:
+        v = np.array([vectors[i] for i in have], np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        scores = np.round(v @ matrix.T, 12)
+        at[have] = scores.argmax(1)
+        similarity[have] = scores.max(1)
+    found = at >= 0
+    return [b.column(key), pa.array(similarity, mask=~found), pa.array(idx[at] if len(idx) else at, pa.int64(), mask=~found), pa.array([texts[i] if i >= 0 else None for i in at.tolist()], pa.string())]
+
+
 def _best_of(spark: SparkSession, entries: list, key: str):
-    sent = spark.sparkContext.broadcast((np.array([e.embedding for e in entries], np.float64), np.array([e.idx for e in entries], np.int64), [e.text for e in entries]))
+    sent = spark.sparkContext.broadcast(_matrix(entries))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, idx, texts = sent.value
         for b in batches:
-            vectors = b.column("embedding").to_pylist()
-            have = [i for i, v in enumerate(vectors) if v is not None and len(idx)]
-            similarity, at = np.zeros(len(b)), np.full(len(b), -1)
-            if have:
-                v = np.array([vectors[i] for i in have], np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                scores = np.round(v @ matrix.T, 12)
-                at[have] = scores.argmax(1)
-                similarity[have] = scores.max(1)
-            found = at >= 0
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(similarity, mask=~found), pa.array(idx[at] if len(idx) else at, pa.int64(), mask=~found), pa.array([texts[i] if i >= 0 else None for i in at.tolist()], pa.string())], [key, "similarity", "idx", "text"])
+            yield pa.RecordBatch.from_arrays(_top(b, key, *sent.value), [key, "similarity", "idx", "text"])
 
     return work
 
@@ -81,15 +108,34 @@ def step(threshold: Column, score: Column, malicious: Column, c: Calibration = C
 
 
 def calibrate(outcomes: DataFrame, c: Calibration = Calibration(), key: str = "key") -> DataFrame:
-    """Final threshold per key. outcomes: key, seq, score, malicious.
-
-    The fold depends on order, so a key is one row; rows that can never move a threshold inside its bounds (malicious at or
-    above the upper bound, benign at or below the lower) are dropped before."""
-    moves = outcomes.filter(F.when(F.col("malicious"), F.col("score") < c.high).otherwise(F.col("score") > c.low))
-    steps = F.array_sort(F.collect_list(F.struct("seq", "score", "malicious")))
-    folded = moves.groupBy(key).agg(F.aggregate(steps, F.lit(c.start), lambda t, x: step(t, x["score"], x["malicious"], c)).alias("threshold"))
-    keys = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("n_outcomes"))
-    return keys.join(folded, key, "left").withColumn("threshold", F.coalesce("threshold", F.lit(c.start)))
+    """Final threshold and number of outcomes per key. outcomes: key, seq, score, malicious.
+
+    The fold depends on order and is serial, but not held in memory: a task reads its keys sorted by seq and keeps one
+    threshold. A null score moves nothing; equal seqs count in order of score and malicious."""
+    kind = outcomes.schema[key]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, t, n = None, c.start, 0
+
+        def rows(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], type_), pa.array([x[1] for x in done], pa.float64()), pa.array([x[2] for x in done], pa.int64())], [key, "threshold", "n_outcomes"])
+
+        for b in batches:
+            type_, done = b.column(key).type, []
+            for k, s, bad in zip(*(b.column(x).to_pylist() for x in (key, "score", "malicious"))):
+                if n and k != now:
+                    done.append((now, t, n))
+                    t, n = c.start, 0
+                now, n = k, n + 1
+                if s is not None:
+                    t = max(c.low, min(c.high, t * c.decay + (1 - c.decay) * (min(s, t) if bad else max(s, t))))
+            yield rows(done)
+        if n:
+            yield rows([(now, t, n)])
+
+    ordered = outcomes.select(key, "seq", F.col("score").cast("double").alias("score"), "malicious").repartition(key).sortWithinPartitions(key, "seq", "score", "malicious")
+    schema = StructType([kind, StructField("threshold", DoubleType()), StructField("n_outcomes", LongType())])
+    return ordered.select(key, "score", "malicious").mapInArrow(work, schema)
 
 
 def restore(history: DataFrame, starts: DataFrame, default: float = 0.5) -> DataFrame:

@@ -21,8 +21,18 @@ def permissions(policies: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcasts configuration tables while they are small; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if len(df.take(MAX_BROADCAST_ROWS + 1)) <= MAX_BROADCAST_ROWS else df
+    """Broadcasts configuration tables while they are small; a larger one is left to a shuffled join. Only a count reaches the driver."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def issue(df: DataFrame) -> DataFrame:
@@ -39,32 +49,33 @@ def authorize(calls: DataFrame, policies: DataFrame, credentials: DataFrame | No
     unknown, tool not permitted, resource, condition.
 
     credentials (token_id, expires_at) and revocations (token_id, revoked_at) need a column token_id in calls. A call is
-    revoked if its token was revoked at or before the call's ts."""
+    revoked if its token was revoked at or before the call's ts. Other columns of calls stay, whatever their names."""
     out = calls
+    expires, revoked, role_known, tool_known, patterns, conditions = own = unused(calls, "expires_at", "revoked_at", "role_known", "tool_known", "patterns", "conditions")
     if credentials is not None:
-        out = out.join(credentials.select("token_id", "expires_at"), "token_id", "left")
+        out = out.join(credentials.select("token_id", F.col("expires_at").alias(expires)), "token_id", "left")
     else:
-        out = out.withColumn("expires_at", F.lit(None).cast("timestamp"))
+        out = out.withColumn(expires, F.lit(None).cast("timestamp"))
     if revocations is not None:
-        firsts = revocations.groupBy("token_id").agg(F.min("revoked_at").alias("revoked_at"))
+        firsts = revocations.groupBy("token_id").agg(F.min("revoked_at").alias(revoked))
         out = out.join(firsts, "token_id", "left")
     else:
-        out = out.withColumn("revoked_at", F.lit(None).cast("timestamp"))
-    known = policies.select("role").distinct().withColumn("role_known", F.lit(True))
-    allowed_tools = permissions(policies).withColumn("tool_known", F.lit(True))
+        out = out.withColumn(revoked, F.lit(None).cast("timestamp"))
+    known = policies.select("role").distinct().withColumn(role_known, F.lit(True))
+    allowed_tools = permissions(policies).select("role", "tool_name", F.col("patterns").alias(patterns), F.col("conditions").alias(conditions), F.lit(True).alias(tool_known))
     out = out.join(small(known), "role", "left").join(small(allowed_tools), ["role", "tool_name"], "left")
     violation = (
-        F.when(F.coalesce(expired_at(F.col("ts"), F.col("expires_at")), F.lit(False)), "credential_expired")
-        .when(F.coalesce(F.col("revoked_at") <= F.col("ts"), F.lit(False)), "credential_revoked")
-        .when(F.col("role_known").isNull(), "unknown_role")
-        .when(F.col("tool_known").isNull(), "tool_not_permitted")
-        .when(~resource_matches(F.col("resource"), F.col("patterns")), "resource_denied")
-        .when(~conditions_hold(F.col("params"), F.col("conditions")), "condition_denied")
+        F.when(F.coalesce(expired_at(F.col("ts"), F.col(expires)), F.lit(False)), "credential_expired")
+        .when(F.coalesce(F.col(revoked) <= F.col("ts"), F.lit(False)), "credential_revoked")
+        .when(F.col(role_known).isNull(), "unknown_role")
+        .when(F.col(tool_known).isNull(), "tool_not_permitted")
+        .when(~resource_matches(F.col("resource"), F.col(patterns)), "resource_denied")
+        .when(~conditions_hold(F.col("params"), F.col(conditions)), "condition_denied")
         .otherwise("none")
     )
     out = out.withColumn("violation", violation).withColumn("allowed", F.col("violation") == "none")
     reason = F.when(F.col("allowed"), "within policy").otherwise(F.format_string("%s: %s calling %s", "violation", "role", "tool_name"))
-    return out.withColumn("reason", reason).drop("role_known", "tool_known", "patterns", "conditions", "expires_at", "revoked_at")
+    return out.withColumn("reason", reason).drop(*own)
 
 
 def authorize_steps(calls: DataFrame, policies: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BASELINE_TOOLS, SANDBOX_TOOLS, SandboxCaps
-from .policy import small
+from .policy import small, unused
 
 DOMAIN = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
@@ -86,7 +86,9 @@ def sandbox(calls: DataFrame, caps: SandboxCaps = SandboxCaps(), initial: DataFr
     """Adds safe and notes. Calls are dealt by session once; the windows per session, per order, per object and per domain are
     all finer than that, so they need sorts but no further shuffle."""
     spark = calls.sparkSession
-    calls = calls.repartition("session_id")
+    mine = ("op", "content_in", "initial_content", "last", "domain", "new_domain", "refunded", "computed", "n_domains", "recipient_known", "existed", "content", "known")
+    theirs = {c: free for c, free in zip(calls.columns, unused(calls, *calls.columns)) if c.lower() in mine}  # set aside under other names
+    calls = calls.withColumnsRenamed(theirs).repartition("session_id")
     if contacts is None:
         contacts = spark.createDataFrame([(c,) for c in caps.contacts], "address string")
     rows = object_state(recipient_known(calls, contacts), initial)
@@ -116,4 +118,4 @@ def sandbox(calls: DataFrame, caps: SandboxCaps = SandboxCaps(), initial: DataFr
         if name not in harmless:
             unsafe = F.coalesce(c, F.lit(False)) if unsafe is None else unsafe | F.coalesce(c, F.lit(False))
     all_notes = F.array_compact(F.array(*[F.when(c, name) for name, c in notes.items()]))
-    return rows.withColumn("safe", ~unsafe).withColumn("notes", all_notes).drop("domain", "new_domain", "refunded", "computed", "n_domains", "recipient_known", "existed", "content")
+    return rows.withColumn("safe", ~unsafe).withColumn("notes", all_notes).drop("domain", "new_domain", "refunded", "computed", "n_domains", "recipient_known", "existed", "content").withColumnsRenamed({free: c for c, free in theirs.items()})

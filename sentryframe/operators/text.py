@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,11 +20,12 @@ def tokens(df: DataFrame, max_length: int = 256) -> DataFrame:
 def pooled(df: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
     """Mean of the tokens' vectors. df: key, token_ids; vectors: token_id, vector.
 
-    Tokens are counted per text first, so a vector is fetched once per text and token, and dimensions are summed with
-    partial aggregates."""
+    Tokens are counted per text first, so a vector is fetched once per text and token; whole vectors are averaged with partial
+    aggregates, one row a text and task, and come apart by dimension only at the end."""
     counted = df.select(key, F.explode("token_ids").alias("token_id")).groupBy(key, "token_id").agg(F.count(F.lit(1)).alias("n"))
-    dims = counted.join(vectors, "token_id").select(key, "n", F.posexplode("vector").alias("dim", "x"))
-    return dims.groupBy(key, "dim").agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("value"))
+    met = counted.join(vectors, "token_id").select(key, "n", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
+    means = met.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("n").cast("double")).alias("mean"))
+    return means.select(key, F.posexplode(vector_to_array("mean")).alias("dim", "value"))
 
 
 def with_role(df: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from ..config import BASE_TRUST, ROLE_SOURCE_TYPE, UNKNOWN_TRUST, MemoryThresholds
 from ..functions.decisions import memory_outcome
+from .policy import unused
 
 DECAY = 0.8
+#: Rows of a source that are summed together. 0.8 to this power is under 1e-24, so of all earlier rows only those of the run before count.
+RUN = 256
 
 
 def _mapped(values: dict, key: Column) -> Column:
@@ -29,14 +32,19 @@ def base_trust(source_type: Column) -> Column:
 def history(confirmed: DataFrame) -> DataFrame:
     """Trust after each confirmation: t = 0.8 t + 0.2 outcome, from the type's base trust.
 
-    confirmed: source_type, source_id, ts, call_id, outcome. The fold is linear: base*d^n + (1-d)*sum(outcome*d^(n-i)). Outcomes
-    further back than 200 steps weigh under 1e-19, below a double's precision, so the window holds 200 of them."""
-    key = Window.partitionBy("source_type", "source_id").orderBy("ts", "call_id")
-    numbered = confirmed.withColumn("n", F.row_number().over(key))
-    recent = F.collect_list(F.col("outcome").cast("double")).over(key.rowsBetween(-199, Window.currentRow))
-    fold = F.aggregate(recent, F.lit(0.0), lambda a, x: a * DECAY + x * (1 - DECAY))
-    trust = base_trust(F.col("source_type")) * F.pow(F.lit(DECAY), F.col("n").cast("double")) + fold
-    return numbered.withColumn("trust", trust)
+    confirmed: source_type, source_id, ts, call_id, outcome. The fold is linear, so it is a running sum of outcomes, each
+    scaled by the decay's power at its place. Sums begin anew with every run of RUN rows, which keeps the powers within a
+    double's range; the sum of the run before is added, faded."""
+    run, place = unused(confirmed, "run", "place")
+    source = ["source_type", "source_id"]
+    d = lambda e: F.pow(F.lit(DECAY), e.cast("double"))
+    numbered = confirmed.withColumn("n", F.row_number().over(Window.partitionBy(*source).orderBy("ts", "call_id")))
+    numbered = numbered.withColumn(run, F.floor((F.col("n") - 1) / RUN)).withColumn(place, F.pmod(F.col("n") - 1, F.lit(RUN)))
+    scaled = F.col("outcome").cast("double") * (1 - DECAY) / d(F.col(place))
+    own = F.sum(scaled).over(Window.partitionBy(*source, run).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) * d(F.col(place))
+    earlier = F.sum(scaled * d(F.lit(RUN - 1))).over(Window.partitionBy(*source).orderBy(run).rangeBetween(-1, -1))
+    before = F.when(F.col(run) == 0, base_trust(F.col("source_type"))).otherwise(earlier + F.when(F.col(run) == 1, base_trust(F.col("source_type")) * d(F.lit(RUN))).otherwise(0.0))
+    return numbered.withColumn("trust", before * d(F.col(place) + 1) + own).drop(run, place)
 
 
 def current(confirmed: DataFrame) -> DataFrame:

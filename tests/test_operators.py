@@ -157,9 +157,42 @@ def test_nearest(spark):
 def test_nearest_in_blocks_equals_one_block(spark, monkeypatch):
     v = spark.range(60).select(F.col("id").alias("idx"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.array(F.sin("id").cast("double"), F.cos("id")).alias("embedding"))
     q = v.select(F.col("idx").alias("id"), F.array(F.sin(F.col("idx") + 0.3), F.cos(F.col("idx") + 0.3)).alias("embedding"))
-    whole = {r.id: r.text for r in memory.nearest(q, v).collect()}
+    q = q.unionByName(q.filter("id < 2").select((F.col("id") + 900).alias("id"), F.lit(None).cast("array<double>").alias("embedding")))
+    whole = {r.id: (r.similarity, r.text) for r in memory.nearest(q, v).collect()}
     monkeypatch.setattr(memory, "BLOCK_ROWS", 7)
-    assert {r.id: r.text for r in memory.nearest(q, v).collect()} == whole
+    assert {r.id: (r.similarity, r.text) for r in memory.nearest(q, v).collect()} == whole
+    assert whole[900] == (0.0, None) and memory.nearest(q.limit(0), v).count() == 0
+
+
+def test_callers_columns_keep_their_names_and_values(spark):
+    own = {"expires_at": "e", "patterns": "p", "slot": "s", "content": "c", "domain": "d", "rank": "r", "known": "k"}
+    calls = spark.createDataFrame([(1, at(1), "s", "email_agent", "send_email", "alice@corp.example.com", {"recipient_count": "1"}, *own.values())], f"call_id long, ts timestamp, session_id string, role string, tool_name string, resource string, params map<string,string>, {', '.join(f'{c} string' for c in own)}")
+    from sentryframe.operators import policy
+    from sentryframe.sources import tables
+
+    for out in (policy.authorize(calls, tables.default_policies(spark)), sequence.sandbox(calls, SandboxCaps())):
+        row = one(out)
+        assert out.columns[: len(calls.columns)] == calls.columns or set(calls.columns) <= set(out.columns)
+        assert {c: row[c] for c in own} == own
+    texts = spark.createDataFrame([(i, f"t{i}", i % 2, "s", "mine", "theirs") for i in range(8)], "ord long, text string, label int, source string, rank string, keep string")
+    capped = corpus.cap_sources(texts, 4)
+    assert capped.columns == texts.columns and {(r["rank"], r.keep) for r in capped.collect()} == {("mine", "theirs")} and capped.count() == 4
+
+
+def test_calibration_and_heads_stream_through_many_keys(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, i, rng.random() if rng.random() > 0.1 else None, rng.random() < 0.5) for k in [None, 1, 2, 3] for i in range(rng.choice([1, 40]))]
+    want = {}
+    for k, _, s, bad in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        t, n = want.get(k, (0.5, 0))
+        if s is not None:
+            t = max(0.2, min(0.8, 0.9 * t + 0.1 * (min(s, t) if bad else max(s, t))))
+        want[k] = (t, n + 1)
+    got = memory.calibrate(spark.createDataFrame(rows, "key long, seq int, score double, malicious boolean").repartition(3)).collect()
+    assert {r.key: (round(r.threshold, 9), r.n_outcomes) for r in got} == {k: (round(t, 9), n) for k, (t, n) in want.items()}
+    assert audit.chain_heads(spark.createDataFrame([], "log_id string, seq long, payload string")).count() == 0
 
 
 def _letters(df):
