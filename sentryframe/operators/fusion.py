@@ -45,12 +45,19 @@ def matrix(df: DataFrame, config: FusionConfig = FusionConfig(), weights: RiskWe
     return out.withColumn("action", F.when(any_on, F.col("action")).otherwise(plain)).withColumn("setting", F.col("s.setting")).drop("s")
 
 
-def run_pipeline(calls: DataFrame, policies: DataFrame, confirmed: DataFrame, caps: SandboxCaps = SandboxCaps(), config: FusionConfig = FusionConfig()) -> DataFrame:
-    """Authorize, check sequences, look trust up, blend, decide, gate memory writes. calls also has injection (the detector's score)."""
+def run_pipeline(calls: DataFrame, policies: DataFrame, confirmed: DataFrame, caps: SandboxCaps = SandboxCaps(), config: FusionConfig = FusionConfig(), flag_at: float | None = None, flag_seconds: int = 86_400) -> DataFrame:
+    """Authorize, check sequences, look trust up, blend, decide, gate memory writes. calls also has injection (the detector's score).
+
+    The session's risk is 0, or with flag_at the share of its calls with a greater injection in the flag_seconds before."""
     scoped = policy.authorize(calls, policies).withColumn("out_of_scope", ~F.col("allowed"))
     checked = sequence.sandbox(scoped, caps).withColumn("twin_unsafe", ~F.col("safe"))
     looked = trust.as_of(trust.tagged(calls), confirmed).select("call_id", "trust")
     usual = sequence.deviation(checked.withColumn("tools", F.array("tool_name"))).withColumn("behavior", F.col("deviation")).drop("tools", "novel_tools", "deviation", "anomalous")
-    signals = usual.join(looked, "call_id").withColumn("session_risk", F.lit(0.0))
+    if flag_at is None:
+        usual = usual.withColumn("session_risk", F.lit(0.0))
+    else:
+        flagged = usual.withColumn("flagged", (F.col("injection") > flag_at).cast("int"))
+        usual = sequence.flag_rate(flagged, flag_seconds).withColumnRenamed("session_history_risk", "session_risk").drop("flagged")
+    signals = usual.join(looked, "call_id")
     decided = fuse_signals(signals, config)
     return trust.gated(decided.withColumn("risk", F.col("injection")))

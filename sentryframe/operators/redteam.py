@@ -13,6 +13,7 @@ from ..config import FILLER, SYNONYMS, TEMPLATES, Calibration
 from ..functions.decisions import normalized, pick
 from .memory import nearest, step
 
+Generator = Callable[[DataFrame, int, int], DataFrame] | None
 ZERO_WIDTH = "​"
 
 
@@ -45,14 +46,14 @@ def in_template(text: Column, *keys: Column) -> Column:
     return F.replace(pick(TEMPLATES, *keys, F.lit("template")), F.lit("{attack}"), text)
 
 
-def dilute(text: Column, *keys: Column) -> Column:
+def dilute(text: Column, *keys: Column, filler: str = FILLER) -> Column:
     """The text before, after or in the middle of one to three copies of harmless filler."""
     times = pick(("1", "2", "3"), *keys, F.lit("times")).cast("int")
-    filler = F.array_join(F.array_repeat(F.lit(FILLER), times), " ")
-    half = F.floor(F.length(filler) / 2).cast("int")
+    around = F.array_join(F.array_repeat(F.lit(filler), times), " ")
+    half = F.floor(F.length(around) / 2).cast("int")
     where = pick(("start", "middle", "end"), *keys, F.lit("where"))
-    middle = F.concat_ws(" ", F.substr(filler, F.lit(1), half), text, F.substr(filler, half + 1))
-    return F.when(where == "start", F.concat_ws(" ", filler, text)).when(where == "end", F.concat_ws(" ", text, filler)).otherwise(middle)
+    middle = F.concat_ws(" ", F.substr(around, F.lit(1), half), text, F.substr(around, half + 1))
+    return F.when(where == "start", F.concat_ws(" ", around, text)).when(where == "end", F.concat_ws(" ", text, around)).otherwise(middle)
 
 
 def variants(pool: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -68,12 +69,16 @@ def variants(pool: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.select("seed_id", "i", "strategy", text.alias("text"))
 
 
-def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], n: int, round_no: int = 0, known_at: float = 0.9, c: Calibration = Calibration(), seed: int = 42) -> DataFrame:
+def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], n: int, round_no: int = 0, known_at: float = 0.9, c: Calibration = Calibration(), seed: int = 42, generate: Generator = None) -> DataFrame:
     """One round for all seed attacks at once. pool: seed_id, text, evasions, threshold.
 
+    generate makes seed_id, i and text of n variants from pool, n and a seed (variants, unless another one is given); of an
+    outside generator's rows those with null or blank text are left out.
+
     Variants near the memory as of the round's start are screened out. The rest are scored, and per seed attack one ordered
     fold of at most n variants goes through them, for the threshold moves with every evasion."""
-    made = embed(variants(pool, n, seed + round_no)).withColumn("id", F.struct("seed_id", "i"))
+    made = variants(pool, n, seed + round_no) if generate is None else generate(pool, n, seed + round_no).select("seed_id", "i", "text").filter("trim(text) != ''")
+    made = embed(made).withColumn("id", F.struct("seed_id", "i"))
     near = nearest(made, memory).select("id", (F.col("similarity") >= known_at).alias("screened"))
     scored = score(made.join(near, "id"))
     per = scored.groupBy("seed_id").agg(
@@ -96,14 +101,14 @@ def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFram
     return end.select("seed_id", F.lit(round_no).alias("round_index"), "n_generated", "n_screened_out", F.col("end.caught").alias("n_caught"), evaded.alias("n_evaded"), F.coalesce(F.try_divide(evaded, evaded + F.col("end.caught")), F.lit(0.0)).alias("evasion_rate"), F.col("end.evaded").alias("evasions"), F.col("end.threshold").alias("threshold"))
 
 
-def red_team_loop(pool: DataFrame, memory: DataFrame, score, embed, n: int, rounds: int, carry: int = 10, stop_below: float = 0.1, stop_after: int | None = None, seed: int = 42) -> DataFrame:
+def red_team_loop(pool: DataFrame, memory: DataFrame, score, embed, n: int, rounds: int, carry: int = 10, stop_below: float = 0.1, stop_after: int | None = None, seed: int = 42, generate: Generator = None) -> DataFrame:
     """Rounds for all seed attacks together; the last `carry` evasions join the next round's bases and all of them the memory.
 
     A seed attack stops when its last stop_after rounds stayed below stop_below. Each round is written to the checkpoint folder."""
     spark, results = pool.sparkSession, None
     state = pool.select("seed_id", "text", F.expr("cast(array() as array<string>)").alias("evasions"), F.lit(Calibration().start).alias("threshold"), F.lit(0).alias("quiet"))
     for r in range(rounds):
-        done = cut(red_team_round(state.drop("quiet"), memory, score, embed, n, r, seed=seed))
+        done = cut(red_team_round(state.drop("quiet"), memory, score, embed, n, r, seed=seed, generate=generate))
         results = done if results is None else results.unionByName(done)
         new = embed(done.select("seed_id", F.posexplode("evasions").alias("k", "text")))
         added = new.select(F.xxhash64("seed_id", F.lit(r), "k").alias("idx"), "text", normalized(F.col("embedding")).alias("embedding"))

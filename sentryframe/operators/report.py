@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.decisions import decide
+from .detector import score_with
 
 
 def metrics(df: DataFrame, by: tuple[str, ...] = ("method",), threshold: float = 0.5) -> DataFrame:
@@ -73,6 +77,12 @@ def evasion_by_version(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("version").agg(F.round(F.avg("evasion_rate"), 6).alias("evasion_rate"))
 
 
+def recheck_with(evasions: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], threshold: float = 0.5) -> DataFrame:
+    """The stored evasions scored by each version's scorer (a DataFrame function that adds score): caught of total per version."""
+    scored = [score_with(evasions, f).select(F.lit(version).alias("version"), "score") for version, f in scorers.items()]
+    return recheck(reduce(DataFrame.unionByName, scored), threshold)
+
+
 def recheck(evasions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Of stored evasions scored by each version: caught of total."""
     return evasions.groupBy("version").agg(F.count_if(F.col("score") >= threshold).alias("caught"), F.count(F.lit(1)).alias("total"))

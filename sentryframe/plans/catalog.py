@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_path
-from ..config import BASELINE_TOOLS, POSITIVE_LABELS, NEGATIVE_LABELS, ROLE_KEYWORDS, SANDBOX_TOOLS, TIGHTENED_TOOLS, RiskWeights
+from ..config import BASELINE_TOOLS, POSITIVE_LABELS, NEGATIVE_LABELS, ROLE_KEYWORDS, TIGHTENED_TOOLS, RiskWeights
 from ..functions import decisions as D
 from ..operators import audit, corpus, fusion, memory, policy, redteam, registry, report, sequence, text, trust
 from ..sources import tables, views
@@ -434,6 +434,14 @@ blended AS (SELECT *, greatest(0.0, least(1.0, {_W['injection']!r}::DOUBLE * inj
 SELECT call_id, violation, safe, round(trust, 6) AS trust, round(b, 6) AS blended, {_decide_sql('b', 'injection')} AS action, CASE WHEN tool_name = 'save_note' THEN CASE WHEN injection >= 0.7 OR trust <= 0.15 THEN 'rejected' WHEN injection >= 0.3 OR trust <= 0.5 THEN 'quarantined' ELSE 'committed' END END AS memory_outcome FROM blended"""
 
 
+@query(ORACLE_SQL["h5_pipeline"].replace("sig AS (SELECT", "past AS (SELECT call_id, coalesce(avg((injection > 0.7)::INT) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS flags FROM calls),\nsig AS (SELECT p.flags,").replace("JOIN look k USING (call_id)", "JOIN look k USING (call_id) JOIN past p USING (call_id)").replace("(1 - trust) +", f"(1 - trust) + {_W['session']!r}::DOUBLE * flags +"))
+def h5_session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with each session's flag rate of the day before as its risk."""
+    calls = _calls(spark, sf_dir)
+    done = fusion.run_pipeline(calls, tables.default_policies(spark), views.confirmations(trust.tagged(calls)), _caps(), flag_at=0.7)
+    return done.select("call_id", "violation", "safe", r6("trust").alias("trust"), r6("blended").alias("blended"), "action", "memory_outcome")
+
+
 # ---- reports ----
 @query(f"WITH {_METHODS} {_metric_sql('method', 'acted')}")
 def i1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,11 +499,12 @@ def j1_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.calibrate(rows).select("key", "n_outcomes", r6("threshold").alias("threshold"))
 
 
-@query("WITH h AS (SELECT user_id AS key, event_id AS seq, value / 100 AS threshold FROM events WHERE event_id % 2 = 0), s AS (SELECT DISTINCT user_id AS key, event_id AS start_seq FROM events WHERE event_id % 101 = 0) SELECT s.key, s.start_seq, round(coalesce(h.threshold, 0.5), 6) AS threshold FROM s ASOF LEFT JOIN h ON s.key = h.key AND s.start_seq > h.seq")
+@query("WITH h AS (SELECT user_id AS key, event_id AS seq, value / 100 AS threshold FROM events), s AS (SELECT DISTINCT user_id AS key, event_id AS start_seq FROM events) SELECT s.key, s.start_seq, round(coalesce(h.threshold, 0.5), 6) AS threshold FROM s ASOF LEFT JOIN h ON s.key = h.key AND s.start_seq > h.seq")
 def j2_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a start, and as a row of the history."""
     e = views.read(spark, sf_dir, "events")
-    history = e.filter("event_id % 2 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("threshold"))
-    starts = e.filter("event_id % 101 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("start_seq"))
+    history = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("threshold"))
+    starts = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("start_seq"))
     return memory.restore(history, starts).withColumn("threshold", r6("threshold"))
 
 
@@ -552,12 +561,12 @@ def _pick_sql(options: tuple[str, ...], key: str) -> str:
     return f"[{', '.join(map(quoted, options))}][('0x' || substr(sha256({key}), 1, 8))::BIGINT % {len(options)} + 1]"
 
 
-def _synonym_sql() -> str:
+def _synonym_sql(keys: str = "id::VARCHAR") -> str:
     from ..config import SYNONYMS
 
     out = "text"
     for w, options in SYNONYMS.items():
-        key = f"id::VARCHAR || '|{w}'"
+        key = f"{keys} || '|{w}'"
         out = f"regexp_replace({out}, '\\b{w}\\b', {_pick_sql(options, key)}, 'gi')"
     return out
 
@@ -573,10 +582,10 @@ def j7b_obfuscations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacks(spark, sf_dir).select("id", *[F.md5(forms[k].cast("binary")).alias(k) for k in ("digits", "dots", "upper", "zero_width")])
 
 
-def _template_sql() -> str:
+def _template_sql(keys: str = "id::VARCHAR") -> str:
     from ..config import TEMPLATES
 
-    return f"replace({_pick_sql(TEMPLATES, 'id::VARCHAR || ' + quoted('|template'))}, '{{attack}}', text)"
+    return f"replace({_pick_sql(TEMPLATES, keys + ' || ' + quoted('|template'))}, '{{attack}}', text)"
 
 
 @query(f"WITH {_ATTACKS} SELECT id, md5({_template_sql()}) AS digest FROM attacks")
@@ -584,23 +593,37 @@ def j7c_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacks(spark, sf_dir).select("id", F.md5(redteam.in_template(F.col("text"), F.col("id")).cast("binary")).alias("digest"))
 
 
-def _dilute_sql() -> str:
+def _dilute_sql(keys: str = "id::VARCHAR", name: str = "x", source: str = "attacks") -> str:
     from ..config import FILLER
 
-    times = _pick_sql(("1", "2", "3"), "id::VARCHAR || '|times'")
-    where = _pick_sql(("start", "middle", "end"), "id::VARCHAR || '|where'")
-    return f"x AS (SELECT id, text, {where} AS place, array_to_string([{quoted(FILLER)} FOR i IN range({times}::INT)], ' ') AS f FROM attacks)"
+    times = _pick_sql(("1", "2", "3"), keys + " || '|times'")
+    where = _pick_sql(("start", "middle", "end"), keys + " || '|where'")
+    return f"{name} AS (SELECT *, {where} AS place, array_to_string([{quoted(FILLER)} FOR z IN range({times}::INT)], ' ') AS f FROM {source})"
+
+
+_DILUTED = "CASE place WHEN 'start' THEN f || ' ' || text WHEN 'end' THEN text || ' ' || f ELSE substr(f, 1, length(f) // 2) || ' ' || text || ' ' || substr(f, length(f) // 2 + 1) END"
 
 
-@query(f"WITH {_ATTACKS}, {_dilute_sql()} SELECT id, md5(CASE place WHEN 'start' THEN f || ' ' || text WHEN 'end' THEN text || ' ' || f ELSE substr(f, 1, length(f) // 2) || ' ' || text || ' ' || substr(f, length(f) // 2 + 1) END) AS digest FROM x")
+def _variants_sql(n: int, seed: int = 42, source: str = "attacks", base: str = "text", mark: str = "") -> str:
+    """variants (id, i, strategy, text) of the base texts; mark is added to the names of the tables."""
+    keys = f"'{seed}|' || id::VARCHAR || '|' || i::VARCHAR"
+    form = _pick_sql(("digits", "dots", "upper", "reverse", "zero_width"), keys + " || '|obfuscation'")
+    forms = "CASE form WHEN 'digits' THEN translate(text, 'eai', '341') WHEN 'dots' THEN array_to_string([w || '.' FOR w IN string_split_regex(text, '\\s+') IF w <> ''], ' ') WHEN 'upper' THEN upper(replace(text, 'ß', 'ss')) WHEN 'reverse' THEN array_to_string(list_reverse(string_split(text, '')), '') ELSE array_to_string(string_split(text, ''), '​') END"
+    drawn = f"based{mark} AS (SELECT id, i, {base.format(keys=keys)} AS text FROM {source}, range({n}) t(i)), drawn{mark} AS (SELECT *, {form} AS form FROM based{mark})"
+    made = f"variants{mark} AS (SELECT id, i, i % 4 AS strategy, CASE i % 4 WHEN 0 THEN {_synonym_sql(keys)} WHEN 1 THEN {forms} WHEN 2 THEN {_template_sql(keys)} ELSE {_DILUTED} END AS text FROM placed{mark})"
+    return f"{drawn}, {_dilute_sql(keys, f'placed{mark}', f'drawn{mark}')}, {made}"
+
+
+@query(f"WITH {_ATTACKS}, {_dilute_sql()} SELECT id, md5({_DILUTED}) AS digest FROM x")
 def j7d_dilute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacks(spark, sf_dir).select("id", F.md5(redteam.dilute(F.col("text"), F.col("id")).cast("binary")).alias("digest"))
 
 
-@query(f"WITH {_ATTACKS} SELECT id AS seed_id, i % 4 AS strategy, count(*) AS n FROM attacks, range(6) t(i) GROUP BY id, i % 4")
+@query(f"WITH {_ATTACKS}, {_variants_sql(8)} SELECT id AS seed_id, i, strategy, md5(text) AS digest FROM variants")
 def j7_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _attacks(spark, sf_dir).select(F.col("id").alias("seed_id"), "text", F.expr("cast(array() as array<string>)").alias("evasions"))
-    return redteam.variants(pool, 6).groupBy("seed_id", F.col("strategy").cast("long").alias("strategy")).agg(F.count(F.lit(1)).alias("n"))
+    made = redteam.variants(pool, 8)
+    return made.select("seed_id", F.col("i").cast("long").alias("i"), F.col("strategy").cast("long").alias("strategy"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def letter_embedding(df: DataFrame) -> DataFrame:
@@ -609,7 +632,27 @@ def letter_embedding(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", F.array(*[count(chr(97 + i)) for i in range(26)]))
 
 
-@query()
+def _letters_sql(name: str, source: str, key: str) -> str:
+    letters = ", ".join(quoted(chr(97 + i)) for i in range(26))
+    counts = f"[(length(text) - length(replace(lower(text), x, '')))::DOUBLE FOR x IN [{letters}]]"
+    return f"{name} AS (SELECT {key}, [y / greatest(sqrt(list_sum([x * x FOR x IN c])), 1e-9) FOR y IN c] AS v FROM (SELECT {key}, {counts} AS c FROM {source}))"
+
+
+def _round_sql(known: str, known_at: float, starts: str, mark: str = "") -> str:
+    """played (id, n, out, caught, evaded, t, texts): a round over variants, screened by known texts, from thresholds starts (id, t)."""
+    screened = f"coalesce(round(n.s, 12) >= {known_at}, FALSE)"
+    return f"""{_letters_sql(f"made{mark}", f"variants{mark}", "id, i")}, {_letters_sql(f"known{mark}", known, "id")},
+near{mark} AS (SELECT q.id, q.i, max(list_dot_product(q.v, m.v)) AS s FROM made{mark} q, known{mark} m GROUP BY q.id, q.i),
+tried{mark} AS (SELECT v.id, v.text, {screened} AS screened, {score_of("v.text")} AS score, row_number() OVER (PARTITION BY v.id, {screened} ORDER BY v.i) AS r FROM variants{mark} v LEFT JOIN near{mark} n ON v.id = n.id AND v.i = n.i),
+fold{mark} AS (SELECT id, 0::BIGINT AS r, t, 0 AS caught, []::VARCHAR[] AS texts FROM {starts} UNION ALL SELECT f.id, x.r, CASE WHEN x.score >= f.t THEN f.t ELSE greatest(0.2, least(0.8, f.t * 0.9 + 0.1 * least(x.score, f.t))) END, f.caught + (x.score >= f.t)::INT, CASE WHEN x.score < f.t THEN list_append(f.texts, x.text) ELSE f.texts END FROM fold{mark} f JOIN tried{mark} x ON x.id = f.id AND x.r = f.r + 1 AND NOT x.screened),
+played{mark} AS (SELECT id, n, out, caught, len(texts) AS evaded, t, texts FROM (SELECT id, max_by(t, r) AS t, max_by(caught, r) AS caught, max_by(texts, r) AS texts FROM fold{mark} GROUP BY id) JOIN (SELECT id, count(*) AS n, count(*) FILTER (screened) AS out FROM tried{mark} GROUP BY id) USING (id))"""
+
+
+_PLAYED = "id AS seed_id, n::INT AS n_generated, out::INT AS n_screened_out, caught::INT AS n_caught, evaded::INT AS n_evaded, round(coalesce(evaded / nullif(evaded + caught, 0), 0), 6) AS evasion_rate"
+_START = "(SELECT id, 0.5::DOUBLE AS t FROM attacks)"
+
+
+@query(f"WITH RECURSIVE {_ATTACKS}, {_variants_sql(8)}, {_round_sql('(SELECT * FROM attacks WHERE id % 5 = 0)', 0.9995, _START)} SELECT {_PLAYED}, round(t, 6) AS threshold FROM played")
 def j8_red_team_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _attacks(spark, sf_dir).select(F.col("id").alias("seed_id"), "text", F.expr("cast(array() as array<string>)").alias("evasions"), F.lit(0.5).alias("threshold"))
     known = letter_embedding(_attacks(spark, sf_dir).filter("id % 5 = 0").withColumnRenamed("id", "idx"))
@@ -618,7 +661,13 @@ def j8_red_team_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("seed_id", "n_generated", "n_screened_out", "n_caught", "n_evaded", r6("evasion_rate").alias("evasion_rate"), r6("threshold").alias("threshold"))
 
 
-@query()
+_BASE = "bases[('0x' || substr(sha256({keys} || '|base'), 1, 8))::BIGINT % len(bases) + 1]"
+
+
+@query(f"""WITH RECURSIVE {_ATTACKS}, {_variants_sql(4)}, {_round_sql("(SELECT id, text FROM attacks WHERE FALSE)", 0.9, _START)},
+grown AS (SELECT id, t, list_prepend(text, texts) AS bases FROM played JOIN attacks USING (id)),
+{_variants_sql(4, 43, "grown", _BASE, "2")}, {_round_sql("(SELECT id, unnest(texts) AS text FROM played)", 0.9, "(SELECT id, t FROM played)", "2")}
+SELECT {_PLAYED}, 0 AS round_index FROM played UNION ALL SELECT {_PLAYED}, 1 FROM played2""")
 def j9_red_team_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _attacks(spark, sf_dir).select(F.col("id").alias("seed_id"), "text")
     empty = letter_embedding(_attacks(spark, sf_dir).filter("id < 0").withColumnRenamed("id", "idx")).select("idx", "text", D.normalized(F.col("embedding")).alias("embedding"))
@@ -667,7 +716,50 @@ def j13_retraining_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.retraining_set(named.filter("split_role = 'train'"), new, named.filter("split_role = 'test'")).select("ord", "label", "category", "source", "split_role")
 
 
+def _share_of_positives(train: DataFrame, val: DataFrame) -> float:
+    """A stand-in for training that SQL can repeat: the threshold is the training rows' share of label 1."""
+    return train.agg(F.avg("label")).first()[0] or 0.0
+
+
+def _judge(threshold: float, test: DataFrame) -> DataFrame:
+    return text.binary_metrics(test.withColumn("score", D.pseudo_score(F.col("text"))), threshold)
+
+
+@query(f"""WITH {SPLIT}, pool AS (SELECT ord, text, label, 'train' AS role FROM parts WHERE split = 'train' UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text, 1, 'train' FROM conversations WHERE text IS NOT NULL UNION ALL SELECT ord, text, label, 'test' FROM parts WHERE split = 'test'),
+once AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY role, sha256(text) ORDER BY ord) = 1),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42' || text || ord::VARCHAR), ord) AS r, count(*) OVER (PARTITION BY label) AS n FROM once WHERE role = 'train'),
+fitted AS (SELECT avg(label) AS t FROM drawn WHERE r > CASE WHEN n > 1 THEN greatest(1, floor(n * 0.1)) ELSE 0 END),
+judged AS (SELECT label, {score_of("text")} >= (SELECT t FROM fitted) AS flagged FROM once WHERE role = 'test'),
+c AS (SELECT count(*) FILTER (label = 1 AND flagged) AS tp, count(*) FILTER (label <> 1 AND flagged) AS fp, count(*) FILTER (label = 1 AND NOT flagged) AS fn FROM judged),
+f AS (SELECT round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c)
+SELECT 'detector' AS model, 'v3' AS version, f1 AS new_metric, 0.1::DOUBLE AS baseline, CASE WHEN f1 < 0.1 - 0.02 THEN 'rejected' ELSE 'promoted' END AS status, CASE WHEN f1 < 0.1 - 0.02 THEN 'v2' ELSE 'v3' END AS current_version, (SELECT count(*) FROM conversations WHERE text IS NOT NULL) AS n_evasions FROM f""")
+def j13_retrain_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cycle over the split corpus: set written and read back, split, fit, judged on the test rows, gated."""
+    new = views.read(spark, sf_dir, "conversations").filter("text is not null").select((F.lit(1000000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    versions = spark.createDataFrame([("detector", "v1", {"f1": 0.05}, "promoted"), ("detector", "v2", {"f1": 0.1}, "promoted")], "model string, version string, metrics map<string,double>, status string")
+    path = shared_path(spark, "retraining-set")
+    stored = lambda df: tables.cached(spark, path, lambda: df)
+    return registry.retrain_cycle(_split(spark, sf_dir), new, versions, _share_of_positives, _judge, stored)
+
+
+@query(f"WITH e AS (SELECT text FROM conversations WHERE text IS NOT NULL), s AS (SELECT 'v1' AS version, {score_of('text')} AS score FROM e UNION ALL SELECT 'v2', {score_of(repr('second ') + ' || text')} FROM e) SELECT version, count(*) FILTER (score >= 0.5) AS caught, count(*) AS total FROM s GROUP BY version")
+def i7_recheck_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts scored by two versions' scorers."""
+    e = views.read(spark, sf_dir, "conversations").filter("text is not null").select("text")
+    by = lambda c: lambda df: df.withColumn("score", D.pseudo_score(c))
+    return report.recheck_with(e, {"v1": by(F.col("text")), "v2": by(F.concat(F.lit("second "), F.col("text")))})
+
+
 # ---- model and streams ----
+@query(f"WITH {PROMPTS} SELECT doc_id, round(score, 6) AS score FROM prompts")
+def d2_batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored by a scorer that the caller gives."""
+    from ..operators import detector
+
+    rows = views.prompts(spark, sf_dir).drop("score")
+    return detector.score_with(rows, lambda df: df.withColumn("score", D.pseudo_score(F.col("text")))).select("doc_id", r6("score").alias("score"))
+
+
 @query()
 def d4_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on train, choose by validation AUC, report on test."""
@@ -705,6 +797,38 @@ def k2_cap_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.run_to_table(online.cap_stream(rows, 60.0)).select("call_id", F.col("over").alias("over_cap"))
 
 
+@query(ORACLE_SQL["j1_calibrate"].replace("SELECT user_id AS key", "SELECT user_id::VARCHAR AS key"))
+def k2_threshold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated threshold as keyed state of a stream over the events."""
+    e = views.read_stream(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), D.pseudo_score(F.col("event_id").cast("string")).alias("score"), (F.col("value") < 50).alias("malicious"))
+    done = online.run_to_table(online.threshold_stream(rows), ("key",), "n_outcomes")
+    return done.select("key", "n_outcomes", r6("threshold").alias("threshold"))
+
+
+@query(f"WITH {CALLS}, {_TRIGGERS} SELECT call_id, coalesce(revoked_at <= ts, FALSE) AS revoked FROM calls LEFT JOIN first USING (token_id)")
+def k2_revocation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that their own risk revokes, as keyed state of a stream over the events."""
+    calls = views.tool_calls(spark, sf_dir, stream=True).withColumn("risk", F.col("injection"))
+    return online.run_to_table(online.revocation_stream(calls, 0.98)).select("call_id", "revoked")
+
+
+@query(f"WITH {CALLS}, {_DOMAINS.replace('user_id', 'session_id')} SELECT call_id, n_domains, n_domains > 5 AS over_cap FROM s")
+def k2_domain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct domains of a session as keyed state of a stream over the events."""
+    calls = views.tool_calls(spark, sf_dir, stream=True).filter("tool_name = 'fetch_url'")
+    rows = calls.select(F.col("session_id").alias("key"), "ts", "call_id", F.regexp_extract(F.coalesce("resource", F.lit("")), sequence.DOMAIN, 1).alias("domain"))
+    return online.run_to_table(online.domain_stream(rows, 5)).select("call_id", F.col("n_domains").cast("long").alias("n_domains"), F.col("over").alias("over_cap"))
+
+
+@query(f"WITH {CALLS} SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, round(avg((injection > 0.7)::INT), 6) AS flag_rate, count(*) AS n FROM calls GROUP BY session_id, date_trunc('day', ts)")
+def k3_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag rates per session and day from a stream over the events, with a watermark that no row of the table misses."""
+    calls = views.tool_calls(spark, sf_dir, stream=True).select("session_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("injection") > 0.7).cast("int").alias("flagged"))
+    done = online.run_to_table(online.windowed_flag_rate(calls, late="3650 days"), ("window", "session_id"), "n")
+    return done.select("session_id", F.col("window.start").cast("timestamp_ntz").alias("day"), r6("flag_rate").alias("flag_rate"), "n")
+
+
 @query(ORACLE_SQL["k1_online_scoring"])
 def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scoring over the events as a stream."""
@@ -714,6 +838,22 @@ def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- sources and sinks ----
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def a1_fallback_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of two paths that exists, with a schema of some of its columns."""
+    found = tables.read_first(spark, [f"{sf_dir}/no-such-corpus.parquet", f"{sf_dir}/documents.parquet"], "doc_id long, lang string, n_chars long")
+    missing = tables.read_first(spark, [f"{sf_dir}/no-such-corpus.parquet"], "doc_id long, lang string, n_chars long")
+    return found.unionByName(missing)
+
+
+@query(f"WITH {AUTHORIZED} SELECT call_id, violation FROM decided")
+def a4_policy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call authorized against policies that are read from one JSON file per role."""
+    path = shared_path(spark, "policies")
+    tables.default_policies(spark).withColumn("file", F.col("role")).write.partitionBy("file").json(path)
+    return policy.authorize(_calls(spark, sf_dir), tables.read_policies(spark, path)).select("call_id", "violation")
+
+
 @query(f"WITH {NAMED} SELECT ord, label, category, source, split_role FROM named")
 def a2_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus written as consolidated CSV and read back; ord returns through the text's digest."""

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from ..checkpoints import shared_path
 from ..config import BASE_TRUST, UNKNOWN_TRUST, Calibration, FusionConfig
 from ..operators import fusion, policy, sequence
+from ..operators.sequence import flag_rate  # noqa: F401  the batch form of windowed_flag_rate
 
 
 def score_stream(calls: DataFrame, policies: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
@@ -23,12 +23,6 @@ def score_stream(calls: DataFrame, policies: DataFrame, config: FusionConfig = F
     return fusion.fuse_signals(ready, config).drop("tools", "novel_tools", "deviation", "anomalous")
 
 
-def flag_rate(flags: DataFrame, seconds: int = 86_400, key: str = "session_id") -> DataFrame:
-    """Adds session_history_risk: the share of flagged calls of the key in the window before each call (0 if none)."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
-    return flags.withColumn("session_history_risk", F.coalesce(F.avg(F.col("flagged").cast("double")).over(w), F.lit(0.0)))
-
-
 def windowed_flag_rate(flags: DataFrame, late: str = "1 hour", size: str = "1 day", key: str = "session_id") -> DataFrame:
     """The streaming form: flag rate per key and tumbling window; rows later than the watermark are dropped."""
     kept = flags.withWatermark("ts", late)
@@ -123,6 +117,51 @@ class CapProcessor(StatefulProcessor):
         pass
 
 
+class RevocationProcessor(StatefulProcessor):
+    """When a token was revoked: the first time that its risk reached the limit. Calls from then on are revoked."""
+
+    revoke_at = 0.8
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("revoked", "revoked_at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(rows))
+        at = df["ts_us"][df["risk"] >= self.revoke_at].min()
+        times = [self.state.get()[0]] if self.state.exists() else []
+        times += [] if pd.isna(at) else [int(at)]
+        if times:
+            self.state.update((min(times),))
+        revoked = df["ts_us"] >= min(times) if times else pd.Series(False, index=df.index)
+        yield pd.DataFrame({"token_id": key[0], "call_id": df["call_id"].to_numpy(), "revoked": revoked.to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+class DomainProcessor(StatefulProcessor):
+    """The distinct domains of a key so far, each an entry of a map, and a verdict per call."""
+
+    cap = 5
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "domain string", "nth int")
+        self.n = handle.getValueState("n", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, out = self.n.get()[0] if self.n.exists() else 0, []
+        for x in pd.concat(list(rows)).sort_values(["ts", "call_id"]).itertuples():
+            if not self.seen.containsKey((x.domain,)):
+                n += 1
+                self.seen.updateValue((x.domain,), (n,))
+            out.append((key[0], x.call_id, n, n > self.cap))
+        self.n.update((n,))
+        yield pd.DataFrame(out, columns=["key", "call_id", "n_domains", "over"])
+
+    def close(self) -> None:
+        pass
+
+
 def trust_stream(confirmed: DataFrame) -> DataFrame:
     """Latest trust per source as confirmations (source_type, source_id, ts, call_id, outcome) arrive. Needs the RocksDB state store."""
     return confirmed.groupBy("source_type", "source_id").transformWithStateInPandas(TrustProcessor(), "source_type string, source_id string, trust double, n_updates long", "Update", "None")
@@ -137,3 +176,18 @@ def cap_stream(amounts: DataFrame, cap: float) -> DataFrame:
     p = CapProcessor()
     p.cap = cap
     return amounts.groupBy("key").transformWithStateInPandas(p, "key string, call_id long, running double, over boolean", "Update", "None")
+
+
+def revocation_stream(calls: DataFrame, revoke_at: float = 0.8) -> DataFrame:
+    """Whether each call's token is revoked by its own risk so far. calls: token_id, ts, call_id, risk."""
+    p = RevocationProcessor()
+    p.revoke_at = revoke_at
+    rows = calls.select("token_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "call_id", "risk")
+    return rows.groupBy("token_id").transformWithStateInPandas(p, "token_id string, call_id long, revoked boolean", "Update", "None")
+
+
+def domain_stream(fetches: DataFrame, cap: int = 5) -> DataFrame:
+    """fetches: key, ts, call_id, domain."""
+    p = DomainProcessor()
+    p.cap = cap
+    return fetches.groupBy("key").transformWithStateInPandas(p, "key string, call_id long, n_domains int, over boolean", "Update", "None")

@@ -78,6 +78,22 @@ def test_cap_stream_equals_batch(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_revocation_stream_equals_batch(spark, sf_dir, tmp_path):
+    calls = views.tool_calls(spark, sf_dir).select("token_id", "ts", "call_id", F.col("injection").alias("risk"))
+    got = {r.call_id: r.revoked for _, r in _replay(spark, calls, lambda s: online.revocation_stream(s, 0.98), tmp_path, "revoked", ("ts", "call_id"))}
+    firsts = calls.filter("risk >= 0.98").groupBy("token_id").agg(F.min("ts").alias("at"))
+    want = {r.call_id: r.revoked for r in calls.join(firsts, "token_id", "left").select("call_id", F.coalesce(F.col("at") <= F.col("ts"), F.lit(False)).alias("revoked")).collect()}
+    assert got == want and any(want.values())
+
+
+def test_domain_stream_equals_batch(spark, sf_dir, tmp_path):
+    calls = views.tool_calls(spark, sf_dir)
+    batch = sequence.running_domains(calls, "user_id")
+    rows = batch.select(F.col("user_id").cast("string").alias("key"), "ts", "call_id", "domain")
+    got = {r.call_id: (r.n_domains, r.over) for _, r in _replay(spark, rows, lambda s: online.domain_stream(s, 2), tmp_path, "domains", ("ts", "call_id"))}
+    assert got == {r.call_id: (r.n_domains, r.n_domains > 2) for r in batch.collect()}
+
+
 def test_scoring_stream_equals_batch(spark, sf_dir, tmp_path):
     calls = views.tool_calls(spark, sf_dir)
     policies = tables.default_policies(spark)
