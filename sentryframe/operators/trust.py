@@ -29,22 +29,40 @@ def base_trust(source_type: Column) -> Column:
     return F.coalesce(_mapped(BASE_TRUST, source_type), F.lit(UNKNOWN_TRUST))
 
 
-def history(confirmed: DataFrame) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of the one right row of the same keys (nulls are equal), null where there is none."""
+    theirs = unused(left, *[f"r_{k}" for k in keys])
+    right = right.withColumnsRenamed(dict(zip(keys, theirs)))
+    on = [left[k].eqNullSafe(right[t]) for k, t in zip(keys, theirs)]
+    return left.join(right, on, "left").drop(*theirs)
+
+
+def _bucket(ts: str, size: str) -> Column:
+    return F.date_trunc(size, F.col(ts).cast("timestamp"))
+
+
+def history(confirmed: DataFrame, bucket: str = "day") -> DataFrame:
     """Trust after each confirmation: t = 0.8 t + 0.2 outcome, from the type's base trust.
 
     confirmed: source_type, source_id, ts, call_id, outcome. The fold is linear, so it is a running sum of outcomes, each
     scaled by the decay's power at its place. Sums begin anew with every run of RUN rows, which keeps the powers within a
-    double's range; the sum of the run before is added, faded."""
-    run, place = unused(confirmed, "run", "place")
+    double's range; the sum of the run before is added, faded. Rows are numbered within buckets of time, which are shifted by
+    the rows before them. So a source of any size is many small windows, never one."""
+    day, at, before, run, place, earlier = unused(confirmed, "day", "at", "before", "run", "place", "earlier")
     source = ["source_type", "source_id"]
     d = lambda e: F.pow(F.lit(DECAY), e.cast("double"))
-    numbered = confirmed.withColumn("n", F.row_number().over(Window.partitionBy(*source).orderBy("ts", "call_id")))
+    rows = confirmed.withColumn(day, _bucket("ts", bucket))
+    past = Window.partitionBy(*source).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy(*source, day).agg(F.count(F.lit(1)).alias(before)).withColumn(before, F.coalesce(F.sum(before).over(past), F.lit(0)))
+    numbered = rows.withColumn(at, F.row_number().over(Window.partitionBy(*source, day).orderBy("ts", "call_id")))
+    numbered = _meet(numbered, shift, [*source, day]).withColumn("n", F.col(at) + F.col(before)).drop(day, at, before)
     numbered = numbered.withColumn(run, F.floor((F.col("n") - 1) / RUN)).withColumn(place, F.pmod(F.col("n") - 1, F.lit(RUN)))
     scaled = F.col("outcome").cast("double") * (1 - DECAY) / d(F.col(place))
+    ends = numbered.groupBy(*source, F.col(run)).agg((F.sum(scaled) * d(F.lit(RUN - 1))).alias(earlier)).withColumn(run, F.col(run) + 1)
     own = F.sum(scaled).over(Window.partitionBy(*source, run).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) * d(F.col(place))
-    earlier = F.sum(scaled * d(F.lit(RUN - 1))).over(Window.partitionBy(*source).orderBy(run).rangeBetween(-1, -1))
-    before = F.when(F.col(run) == 0, base_trust(F.col("source_type"))).otherwise(earlier + F.when(F.col(run) == 1, base_trust(F.col("source_type")) * d(F.lit(RUN))).otherwise(0.0))
-    return numbered.withColumn("trust", before * d(F.col(place) + 1) + own).drop(run, place)
+    base = base_trust(F.col("source_type"))
+    start = F.when(F.col(run) == 0, base).otherwise(F.col(earlier) + F.when(F.col(run) == 1, base * d(F.lit(RUN))).otherwise(0.0))
+    return _meet(numbered.withColumn("trust", own), ends, [*source, run]).withColumn("trust", start * d(F.col(place) + 1) + F.col("trust")).drop(run, place, earlier)
 
 
 def current(confirmed: DataFrame) -> DataFrame:
@@ -52,13 +70,20 @@ def current(confirmed: DataFrame) -> DataFrame:
     return history(confirmed).groupBy("source_type", "source_id").agg(F.max_by("trust", "n").alias("trust"), F.max("n").alias("n_updates"))
 
 
-def as_of(lookups: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Adds trust as of each lookup's ts: the last confirmation before it, else the base trust. One at the same ts counts as after."""
-    h = history(confirmed).select("source_type", "source_id", "ts", F.lit(1).alias("kind"), "trust", F.lit(None).cast("long").alias("call_id"))
-    q = lookups.select("source_type", "source_id", "ts", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("trust"), "call_id")
-    w = Window.partitionBy("source_type", "source_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = q.unionByName(h).withColumn("seen", F.last("trust", ignorenulls=True).over(w)).filter("kind = 0")
-    return seen.select("call_id", "source_type", "source_id", "ts", F.coalesce("seen", base_trust(F.col("source_type"))).alias("trust"))
+def as_of(lookups: DataFrame, confirmed: DataFrame, bucket: str = "day") -> DataFrame:
+    """Adds trust as of each lookup's ts: the last confirmation before it, else the base trust. One at the same ts counts as after.
+
+    Looked up within buckets of time; a bucket's earliest lookups take the last trust of the buckets before."""
+    source = ["source_type", "source_id"]
+    h = history(confirmed, bucket).select(*source, "ts", F.lit(1).alias("kind"), "n", "trust", F.lit(None).cast("long").alias("call_id"))
+    q = lookups.select(*source, "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("trust"), "call_id")
+    rows = q.unionByName(h).withColumn("day", _bucket("ts", bucket))
+    w = Window.partitionBy(*source, "day").orderBy("ts", "kind", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("seen", F.last("trust", ignorenulls=True).over(w)).filter("kind = 0")
+    past = Window.partitionBy(*source).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = rows.groupBy(*source, "day").agg(F.max_by("trust", "n").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(past)).drop("last")
+    met = _meet(seen, lasts, [*source, "day"])
+    return met.select("call_id", *source, "ts", F.coalesce("seen", "carried", base_trust(F.col("source_type"))).alias("trust"))
 
 
 def gated(df: DataFrame, thresholds: MemoryThresholds = MemoryThresholds()) -> DataFrame:
