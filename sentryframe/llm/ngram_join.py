@@ -102,7 +102,7 @@ def _stable_order(key: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int, chunk: int) -> DataFrame:
-    """Kind 0: a chunk of documents with, in the order of their tokens, the sets that hold them. Kind 1: the chunk's distinct tokens in one hash range.
+    """Kind 0: a piece (key) of a chunk: documents and, in the order of the tokens, the sets that hold them. Kind 1: the chunk's distinct tokens in one hash range (key).
 
     A token is the leading bits of a shingle's hash: those of its range and 32 more, 48 in all at most."""
     width = min(48, range_bits + 32)
@@ -126,18 +126,20 @@ def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int,
             value, times = token[begins], np.minimum(np.diff(np.append(begins, len(token))), 255).astype(np.uint8)
             ranges, rest = (value >> np.uint64(width - range_bits)).astype(np.int64), (value & np.uint64((1 << (width - range_bits)) - 1)).astype("<u4")
             edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(ranges)]), len(ranges))
-            m = len(edges) - 1
-            data = [(both & np.uint64(0xFFFF)).astype("<u2").tobytes(), *(rest[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
-            extra = [np.packbits(new).tobytes(), *(times[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
+            m, docs, owner = len(edges) - 1, np.array(rows, DOC), (both & np.uint64(0xFFFF)).astype("<u2")
+            # in pieces, as the JVM copes better with many small values than with a few of some MB
+            n = max(-(-len(owner) // 131_072), -(-len(docs) // 4_000), -(-len(sets) // 1_000))
+            data = [*(owner[131_072 * p : 131_072 * (p + 1)].tobytes() for p in range(n)), *(rest[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
+            extra = [*(np.packbits(new[131_072 * p : 131_072 * (p + 1)]).tobytes() for p in range(n)), *(times[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
             none = [None] * m
             columns = [
-                pa.array(np.append(0, np.ones(m)).astype(np.int32)),
-                pa.array(np.append(this * 0x9E3779B1 % ((1 << 31) - 1) % (1 << range_bits), ranges[edges[:-1]]).astype(np.int64)),
-                pa.array(np.full(m + 1, this)),
+                pa.array(np.append(np.zeros(n), np.ones(m)).astype(np.int32)),
+                pa.array(np.append(np.arange(n), ranges[edges[:-1]]).astype(np.int64)),
+                pa.array(np.full(n + m, this)),
                 pa.array(data, pa.binary()),
                 pa.array(extra, pa.binary()),
-                pa.array([np.array(rows, DOC).tobytes(), *none], pa.binary()),
-                pa.array([b"".join(map(parity, sets)), *none], pa.binary()),
+                pa.array([*(docs[4_000 * p : 4_000 * (p + 1)].tobytes() for p in range(n)), *none], pa.binary()),
+                pa.array([*(b"".join(map(parity, sets[1_000 * p : 1_000 * (p + 1)])) for p in range(n)), *none], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "chunk", "data", "extra", "docs", "bits"])
             rows, sets, place, held, chunk_no = [], [], {}, 0, chunk_no + 1
@@ -206,7 +208,8 @@ def _count_ranges(sketch: DataFrame) -> DataFrame:
                 held.append((c, np.frombuffer(data, "<u4"), np.frombuffer(extra, np.uint8)))
         yield from flush()
 
-    ordered = sketch.repartition("key").sortWithinPartitions("kind", "key", "chunk")
+    place = F.when(F.col("kind") == 0, F.xxhash64("chunk", "key")).otherwise(F.col("key"))
+    ordered = sketch.repartition(place).sortWithinPartitions("kind", "key", "chunk")
     return ordered.mapInArrow(work, sketch.schema)
 
 
@@ -225,7 +228,8 @@ def _prefixes(counted: DataFrame, range_bits: int) -> DataFrame:
             arrays.append(pa.nulls(n, type_) if v is None else v.cast(type_) if isinstance(v, pa.Array) else pa.array(v, type_))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *arrays], ["kind", "item", "pid", "n", "pos", "alone", "doc_id", "bits"])
 
-    def finish(whole: dict, parts: list[dict]) -> Iterator[pa.RecordBatch]:
+    def finish(pieces: list[dict], parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        whole = {c: b"".join(p[c] for p in pieces) for c in ("docs", "data", "extra", "bits")}
         docs = np.frombuffer(whole["docs"], DOC)
         ids = pa.array(docs["id"], mask=docs["null"] > 0)
         for a in range(0, len(docs), 20_000):
@@ -272,17 +276,17 @@ def _prefixes(counted: DataFrame, range_bits: int) -> DataFrame:
             yield rows(1, item=token[t], pid=pid[of[t]], n=n[of[t]], pos=pos[t] + alone[of[t]], alone=alone[of[t]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, parts = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["kind"] == 0:
-                    if whole is not None:
-                        yield from finish(whole, parts)
-                    whole, parts = r, []
-                else:
-                    parts.append(r)
-        if whole is not None:
-            yield from finish(whole, parts)
+        release()
+        pieces, parts = [], []
+        for batch in batches:
+            for b in (batch.slice(a, 64) for a in range(0, len(batch), 64)):
+                for r in b.to_pylist():
+                    if r["kind"] == 0 and r["key"] == 0 and pieces:
+                        yield from finish(pieces, parts)
+                        pieces, parts = [], []
+                    (parts if r["kind"] else pieces).append(r)
+        if pieces:
+            yield from finish(pieces, parts)
 
     return counted.repartition("chunk").sortWithinPartitions("chunk", "kind", "key").mapInArrow(work, PREFIXES)
 
@@ -398,18 +402,24 @@ def _states(members: DataFrame, labels: DataFrame | None, round_no: int) -> tupl
     return members, table(members.groupBy("pid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(one).alias("one")), "groups")
 
 
-def _star_groups(posted: DataFrame, states: DataFrame, round_no: int) -> DataFrame:
+def _lists(posted: DataFrame, states: DataFrame) -> DataFrame:
+    """The posted groups with their states, at tokens whose groups are not all in one component."""
+    lists = posted.join(states, "pid")
+    mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low != high").select("token")
+    return table(lists.join(table(mixed, "mixed"), "token"), "lists")  # tables, so that Spark may split a hot token's list
+
+
+def _star_groups(lists: DataFrame, states: DataFrame, round_no: int) -> DataFrame:
     """Groups (pid) and a member (one) of a pivot that they meet and may be similar to, unless they are in its component.
 
     A list's first pivot has the fewest shingles that only it has, so it lies in the middle of near copies (from the second
     round on a few more than the fewest, to try others); its second is picked by hash. A group of several components also
     meets its own member."""
-    lists = posted.join(states, "pid")
     h = F.xxhash64("pid", F.lit(round_no))
     middle = F.col("alone") + F.pmod(h, F.lit(1 + 4 * round_no))
     me = lambda order: F.struct(order.alias("order"), h.alias("h"), "pid", "n", "pos", "one")
-    pivots = lists.groupBy("token").agg(F.min(me(middle)).alias("lo"), F.min(me(h)).alias("hi"), F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low != high").drop("low", "high")
-    met = lists.join(table(pivots, "pivots"), "token")  # a table, so that Spark may split a hot token's list
+    pivots = lists.groupBy("token").agg(F.min(me(middle)).alias("lo"), F.min(me(h)).alias("hi"))
+    met = lists.join(table(pivots, "pivots"), "token")
     out = []
     for p in ("lo", "hi"):
         apart = (F.col("c0") != F.col(f"{p}.one.comp")) | (F.col("c1") != F.col(f"{p}.one.comp"))
@@ -426,14 +436,12 @@ def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return met.select(F.least("gid", "one").alias("a"), F.greatest("gid", "one").alias("b")).distinct()
 
 
-def _all_groups(posted: DataFrame, states: DataFrame) -> DataFrame:
+def _all_groups(lists: DataFrame, states: DataFrame) -> DataFrame:
     """All pairs of groups that share a prefix token, may be similar and are not in one component.
 
     Sizes of similar sets differ by a third at most, so a group meets those of its own band of sizes and of the next; as the
     smaller of a pair it does so only by tokens in its first seventh."""
-    lists = posted.join(states.drop("one"), "pid")
-    mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low != high").select("token")
-    rest = table(lists.join(table(mixed, "mixed"), "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))), "mixed")
+    rest = lists.drop("one").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
     small = rest.filter("7 * (n - pos) >= 6 * n").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     left, right = small.alias("l"), rest.alias("r")
     on = (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band"))
@@ -475,12 +483,14 @@ def links_of(prefixes: DataFrame, rows: DataFrame, k: int, star_rounds: int, see
     labels = None
     for round_no in range(star_rounds):
         own, states = _states(members, labels, round_no)
+        posted = _lists(posted.select("token", "pid", "n", "pos", "alone"), states)  # components only grow, so other lists are done with
         links = _verify(_with_members(_star_groups(posted, states, round_no), own), nodes, sets)
         if links.isEmpty():
             break
         labels = _merge(labels, links)
     own, states = _states(members, labels, star_rounds)
-    links = _verify(_all_members(_all_groups(posted, states), own), nodes, sets)
+    lists = _lists(posted.select("token", "pid", "n", "pos", "alone"), states)
+    links = _verify(_all_members(_all_groups(lists, states), own), nodes, sets)
     return labels if links.isEmpty() else _merge(labels, links)
 
 
@@ -490,7 +500,7 @@ def similar_components(docs: DataFrame, k: int = 5, star_rounds: int = 4, chunk:
     size = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6).bit_length()  # of the number of shingles, about
     range_bits = min(20, max(8, size - 22))
     for seed in range(64):
-        found = table(_prefixes(_count_ranges(_sketch(rows, k, range_bits, 2 * seed, key_bits, chunk)), range_bits), "prefixes", "kind")
+        found = table(_prefixes(_count_ranges(_sketch(rows, k, range_bits, 2 * seed, key_bits, chunk)), range_bits), "prefixes")
         keyed = found.filter("kind = 2").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("item").alias("gid"), F.col("pid").alias("check"))
         if keyed.groupBy("gid").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 != c1").isEmpty():
             break
