@@ -72,7 +72,7 @@ def init_params(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape, s=None: (rng.standard_normal(shape) * (s or 1 / np.sqrt(shape[0]))).astype(np.float32)
     d, h = WORD_DIM + CHAR_DIM, HIDDEN
-    p = {"word": draw(WORD_ROWS, WORD_DIM, s=0.3), "char": draw(CHAR_ROWS, CHAR_DIM, s=0.5), "wa": draw(2 * h, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": draw(ATTEND), "w": draw(2 * h), "b": np.full(1, -1, np.float32)}
+    p = {"word": draw(WORD_ROWS, WORD_DIM, s=0.05), "char": draw(CHAR_ROWS, CHAR_DIM, s=0.1), "wa": draw(2 * h, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": draw(ATTEND), "w": draw(2 * h), "b": np.full(1, -1, np.float32)}
     for side in "fb":
         p |= {f"x{side}": draw(d, 3 * h), f"c{side}": np.zeros(3 * h, np.float32), f"u{side}": draw(h, 3 * h)}
     return p
@@ -251,8 +251,11 @@ def _telling(ids: list[np.ndarray], y: np.ndarray, vocabulary: list[bytes]) -> n
     return np.maximum(np.maximum(odds(by_word), 0), np.where(stem >= 0, odds(by_stem)[stem], 0))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1, rate: float = 0.01, seed: int = 7) -> Scorer:
-    """Trains the network on windows picked from labelled texts."""
+def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1, rate: float = 0.01, decay: float = 0.3, seed: int = 7) -> Scorer:
+    """Trains the network on windows picked from labelled texts; the weights fade by `decay` times the rate a step.
+
+    Vectors of words begin small, so that words never seen say little. The result is the mean of the weights over the steps of
+    the last three rounds, which matters most where labels are few."""
     y = np.array(labels, np.int64)
     prior = min(0.49, float(y.mean())) if len(y) else 0.0
     p = init_params(seed)
@@ -267,7 +270,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1,
     del vocabulary, words, parts
     begin = np.cumsum(count) - count
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
+    step, n_mean, mean = 0, 0, {k: np.zeros_like(v, np.float64) for k, v in p.items()}
     for round_no in range(rounds):
         if round_no:
             x, by_doc = _all_inputs(p, own, grams, count), {}
@@ -309,8 +312,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, epochs: int = 1,
                     m, v = state[name]
                     m += 0.1 * (d - m)
                     v += 0.01 * (d * d - v)
+                    p[name] *= 1 - lr * decay
                     p[name] -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return Scorer(p, prior, True)
+                if round_no >= rounds - 3:
+                    n_mean += 1
+                    for name in p:
+                        mean[name] += p[name]
+    return Scorer({k: (v / max(n_mean, 1)).astype(np.float32) for k, v in mean.items()}, prior, True)
 
 
 def _all_inputs(p: dict, own: np.ndarray, grams: np.ndarray, count: np.ndarray, step: int = 20_000) -> np.ndarray:
