@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentryframe.llm import decontamination, exact_dedup, language, ngram_join, pii, queries, toxicity, warc
-from sentryframe.llm.common import fresh_path, table
+from sentryframe.llm.common import filter_bits, fresh_path, maybe_in, table
 
 DOCS = "doc_id long, text string, lang string, gone string, digest string, maybe int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -71,6 +71,28 @@ def test_exact_dedup_has_no_python(spark, sf_dir):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_exact_dedup_needs_the_state_of_earlier_batches(spark):
+    """Copies lie in different files and each batch takes a few files, so only the state knows of the earlier ones."""
+    path = fresh_path(spark, "test-docs")
+    rows = [(i, f"text {i % 20}", "en", "g", "d", 1) for i in range(120)]
+    for k in range(6):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], DOCS).coalesce(1).write.mode("append").parquet(path)
+    written = exact_dedup.run_stream(spark, path)
+    assert written.select("batch").distinct().count() >= 3
+    assert written.groupBy("batch", "digest").count().filter("count > 1").count() == 0
+    got = exact_dedup.exact_dedup(spark, path).collect()
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, i % 20, 6, i < 20) for i in range(120)]
+    assert exact_dedup.scanned_folder(spark.read.parquet(path)) and not exact_dedup.scanned_folder(spark.read.parquet(path).filter("doc_id > 5"))
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(spark.read.parquet(path).filter("doc_id > 5")).collect()) == list(range(6, 26))
+
+
+def test_filters_grow_with_their_keys(spark):
+    assert [filter_bits(n) for n in (0, 1, 65_536, 65_537, 1 << 40)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 28]
+    rows, keys = spark.range(1000).select(F.col("id").alias("k")), spark.range(0, 1000, 7).select(F.col("id").alias("k"))
+    few = maybe_in(rows, keys, "k", 143).collect()
+    assert {r.k for r in few} >= set(range(0, 1000, 7)) and len(few) < 160
+
+
 # ---- n-gram join ----
 def brute_components(rows):
     sets = {}
@@ -147,9 +169,10 @@ def test_groups_that_cannot_be_similar_are_never_paired(spark):
         for u, q, m, j, _ in posts:
             if t == u and p < q and p // 2 != q // 2 and 4 * n >= 3 * m and 7 * min(n - i, m - j) >= 3 * (n + m):
                 want.add((p, q))
-    got = sorted((r.p, r.q) for r in ngram_join._all_groups(posted, states).collect())
+    lists = ngram_join._lists(posted, states)
+    got = sorted((r.p, r.q) for r in ngram_join._all_groups(lists, states).collect())
     assert got == sorted(want) and len(want) < 200
-    for r in ngram_join._star_groups(posted, states, 0).collect():
+    for r in ngram_join._star_groups(lists, states, 0).collect():
         assert (min(r.pid, r.one), max(r.pid, r.one)) in want
 
 
@@ -252,6 +275,49 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_equals_brute_force(spark):
+    """Every text of a small table against plain greedy parsing, ties and repeated rows included."""
+    samples = {"a": "the cat sat on the mat and the dog ate it", "b": "der hund und die katze auf der matte", "c": "der hund und die katze auf der matte"}
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("the catdogmn uikz", k=rng.randint(1, 90))) for _ in range(60)] + ["der hund", "der hund", "THE CAT", "7 7", "a" * 3000]
+
+    def phrases(codes: bytes, ref: bytes) -> int:
+        n = 0
+        for a in range(0, len(codes), 256):
+            lane, i = codes[a : a + 256], 0
+            while i < len(lane):
+                k = i
+                while k < len(lane) and lane[i : k + 1] in ref:
+                    k += 1
+                if k == len(lane):
+                    break
+                n, i = n + 1, k if lane[k : k + 1] in ref else k + 1
+        return n
+
+    p = language.CrossParser(samples)
+    code = lambda t: bytes(p.code_of[p._points(t.lower())].astype(np.uint8))
+    want = {}
+    for i, t in enumerate(texts):
+        rates = [((phrases(code(t), code(samples[g])) + 1) / len(t), g) for g in sorted(samples)]
+        (r0, lang), (r1, _) = sorted(rates)[:2]
+        want[i] = (lang, round(1 - r0 / r1, 9)) if any(map(str.isalpha, t)) else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.identify(docs_of(spark, list(enumerate(texts))), samples).collect()}
+    assert got == want and got[60] == got[61] == ("b", 0.0) and language.identify(docs_of(spark, []), samples).count() == 0
+
+
+def test_language_sample_is_bounded_and_takes_whole_texts(spark):
+    texts = [(i, f"{'short' if i % 2 else 'lo' * (10 + i)} {i}") for i in range(60)]
+    rows = [(i, t, "en") for i, t in texts] + [(100, "z" * 5000, "de"), (101, "y" * 4000, "de"), (102, None, "fr"), (103, "x", None)]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    got = language.sample(d, docs_per_lang=20, chars_per_lang=300, max_chars=50)
+    assert got["de"] == "y" * 4000 and set(got) == {"de", "en"}
+    lines = got["en"].split("\n")
+    assert set(lines) <= {t for _, t in texts} and len(lines) <= 20 and 150 < sum(map(len, lines)) <= 300
+    many = {f"l{k:03d}": f"abc{chr(0x400 + k)} {k} text" * 20 for k in range(60)}
+    dense, sparse = language.CrossParser(many), language.CrossParser(many, dense_bytes=200_000)
+    assert sparse.width < dense.width and (dense.phrases(["abc text", "abcЁ 1"])[0] == sparse.phrases(["abc text", "abcЁ 1"])[0]).all()
+
+
 def test_language_edges(spark):
     d = docs_of(spark, [(1, None), (2, "123 !"), (3, "the cat sat"), (4, "")])
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(d, {"en": "the cat sat on the mat"}).collect()}
@@ -314,6 +380,26 @@ def test_toxicity_learns_and_reads_to_the_end(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
 
 
+def test_toxicity_scores_equal_single_windows(spark):
+    """A text's score is the highest of its windows, each run through the network alone."""
+    rng = random.Random(4)
+    labels = [int(i % 3 == 0) for i in range(90)]
+    scorer = toxicity.train([_toy(rng, rng.choice([5, 50]), y) for y in labels], labels, rounds=2)
+    texts = [_toy(rng, n, n % 2) for n in (1, 7, 31, 32, 33, 57, 200)] + ["vile", "é ß 日本", "", None]
+    want = []
+    for t in texts:
+        words, best = toxicity.words_of(t), None
+        for s in toxicity.window_starts(len(words)) if words else []:
+            w = words[s : s + toxicity.WINDOW]
+            x = toxicity.inputs(scorer.p, toxicity.word_features(w))
+            index = np.arange(len(w))[:, None]
+            logit = float(toxicity.forward(scorer.p, x, index, None)[0])
+            best = logit if best is None else max(best, logit)
+        want.append(scorer.prior if best is None else 1 / (1 + np.exp(-best)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, list(enumerate(texts))), scorer).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+
+
 def test_toxicity_edges(spark):
     assert toxicity.train([], []).score(["x", None]).tolist() == [0.0, 0.0]
     assert toxicity.train(["x", "y"], [1, 1]).score(["x"])[0] < 0.5
@@ -380,6 +466,35 @@ def test_leaks(spark):
     assert decontamination.find_leaks(d, bench.limit(0)).count() == 0 == decontamination.find_leaks(d.limit(0), bench).count()
 
 
+def test_leaks_equal_brute_force(spark):
+    """All pairs of documents and items: a pair is a leak if they share an n-gram and the whole texts' alignment reaches the share."""
+    rng = random.Random(12)
+    pool = [w + "b" for w in WORDS[:60]]
+    items = [(k, " ".join(rng.choices(pool, k=rng.choice([3, 12, 40, 60])))) for k in range(12)] + [(3, "again " + " ".join(pool[:9])), (50, " ".join(pool[:9]) + " again")]
+    docs = [(900, None), (901, "")]
+    for i in range(120):
+        words = rng.choice(items)[1].split()
+        words = [w if rng.random() > 0.12 else rng.choice(["", "x y", "zz"]) for w in words[rng.randrange(max(1, len(words) // 3)) :]]
+        docs.append((i // 2, " ".join(rng.choices(WORDS, k=rng.randrange(40)) + words + rng.choices(WORDS, k=rng.randrange(40)))))
+    docs += docs[5:8]  # repeated rows
+    want = []
+    for i, t in docs:
+        w = [x.decode() for x in toxicity.words_of(t)]
+        for k in {k for k, _ in items}:
+            best = 0.0
+            for _, text in (x for x in items if x[0] == k):
+                s = text.split()
+                n = min(4, len(s))
+                grams = {tuple(s[a : a + n]) for a in range(len(s) - n + 1)}
+                if any(tuple(w[a : a + n]) in grams for a in range(len(w) - n + 1)):
+                    best = max(best, brute_align(s, w) / (2 * len(s)))
+            if best >= 0.5:
+                want.append((i, k, round(best, 9)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_leaks(docs_of(spark, docs), bench, min_rare=4)
+    assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
 def test_leaks_of_a_passage_in_most_documents(spark):
     rng = random.Random(7)
     item = " ".join(rng.choices(WORDS, k=30))
