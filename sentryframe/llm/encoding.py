@@ -155,7 +155,7 @@ def release() -> None:
     settle()
 
 
-def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 4_000_000):
+def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 2_000_000):
     """Slices of an Arrow batch whose texts have about max_bytes together, so that long texts don't pile up."""
     at = text_bytes(batch.column(text))[1]
     group = at[:-1] // max_bytes

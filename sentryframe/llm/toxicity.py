@@ -370,7 +370,7 @@ def _scored(sent, keep: list[str]):
         release()
         scorer = sent.value
         for batch in batches:
-            for b in small_batches(batch, "text", 2_000_000):
+            for b in small_batches(batch, "text", 1_000_000):
                 scores = pa.array(scorer.score(b.column("text").to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, "score"])
 
@@ -384,7 +384,7 @@ def keep_below(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for b in small_batches(batch, text_col, 2_000_000):
+            for b in small_batches(batch, text_col, 1_000_000):
                 yield b.filter(pa.array(sent.value.score(b.column(text_col).to_pylist()) < threshold))
 
     return docs.mapInArrow(work, docs.schema)
