@@ -182,8 +182,11 @@ def sample(labelled: DataFrame, docs_per_lang: int = 300, chars_per_lang: int =
     """Sample text per language. labelled has doc_id, text and lang of training rows only. Rows are chosen first, as narrow ones."""
     rows = labelled.filter("lang is not null and length(text) > 0").select("doc_id", "lang", "text", F.length("text").alias("chars"), F.xxhash64("doc_id", "text").alias("k"))
     fits = F.col("chars") <= max_chars
-    order = Window.partitionBy("lang").orderBy(F.when(fits, F.col("k")).asc_nulls_last(), "chars", "k", "doc_id")
-    ranked = rows.select("lang", "doc_id", "k", "chars").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
+    order = (F.when(fits, F.col("k")).asc_nulls_last(), "chars", "k", "doc_id")
+    first = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= docs_per_lang)
+    # in two steps, so that a language's task gets a bounded number of rows, whatever the number of input partitions
+    some = first(rows.select("lang", "doc_id", "k", "chars", F.pmod("k", F.lit(64)).alias("slot")), "lang", "slot")
+    ranked = first(some, "lang")
     chosen = ranked.withColumn("upto", F.sum("chars").over(Window.partitionBy("lang").orderBy("r"))).filter((F.col("r") == 1) | (F.col("upto") <= chars_per_lang))
     texts = rows.select("doc_id", "lang", "k", "text").join(F.broadcast(chosen.select("doc_id", "lang", "k", "r").distinct()), ["doc_id", "lang", "k"])
     got: dict[str, dict[int, str]] = {}
