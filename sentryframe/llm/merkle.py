@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sized_broadcast, table
+from .common import table
 
 PROOF = "array<struct<before:string,after:string>>"
 PART_BITS = 33  # monotonically_increasing_id holds the partition above so many bits
@@ -63,7 +63,7 @@ def number(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     group = Window.partitionBy("grp")
     sums = F.sum("here").over(group.orderBy("part"))
     counts = table(counts.select("grp", "part", (F.col("first") - sums + F.col("here")).alias("shift"), F.sum("here").over(group).alias("n")), "counts")
-    out = held.withColumn("part", part).join(sized_broadcast(counts, counts.count(), 100_000), ["grp", "part"])
+    out = held.withColumn("part", part).join(counts, ["grp", "part"])  # of known size, as it was written: Spark broadcasts it below its threshold alone
     return out.withColumn("idx", F.col("at") - F.col("shift")).drop("at", "part", "shift")
 
 
@@ -113,8 +113,6 @@ def prove(levels: list[DataFrame], roots: DataFrame, fanout: int, carried: Seque
         each = met.select("grp", "up", "proof", *more, F.explode(F.array_compact(F.array(*child))).alias("c"))
         below = [F.col(f"c.s.{c}").alias(c) for c in ("hash", *carried)] if k == 0 else [(F.col("up") * fanout + F.col("c.slot")).alias("up")]
         nodes = each.select("grp", *below, F.concat(F.array("c.pair"), "proof").alias("proof"), *more)
-        if k:
-            nodes = table(nodes, "proofs")
     return nodes
 
 
