@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset and the master is local (tests, a laptop) a temporary one is made."""
-    jsc = spark.sparkContext._jsc.sc()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if jsc.getCheckpointDir().isDefined():
-            path = jsc.getCheckpointDir().get()
-        elif jsc.isLocal():
-            path = "file://" + tempfile.mkdtemp(prefix="sentryframe-")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..checkpoints import shared_path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
+
+
+def as_pattern(path: str) -> str:
+    """The path as a pattern that matches it alone: Spark reads some characters of a path as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path.rstrip("/"))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -45,14 +36,23 @@ def sized_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def filter_bits(n_keys: int, most: int = 1 << 28) -> int:
-    """Bits of a bitmap in which so many keys fill a sixteenth at most; never over `most` (32 MB), which only lets more rows through."""
-    return min(most, max(1 << 20, 1 << (16 * n_keys - 1).bit_length()))
+MOST_BITS = 1 << 28
+
+
+def filter_bits(n_keys: int) -> int:
+    """Bits of a bitmap in which so many keys fill a sixteenth at most."""
+    return max(1 << 20, 1 << (16 * n_keys - 1).bit_length())
+
 
+def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, n_keys: int, most_bits: int | None = None) -> DataFrame:
+    """Adds maybe: false where the row's key is surely not among keys, of which there are n_keys.
 
-def mark_maybe(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
-    """Adds maybe: false where the row's key is surely not among keys, of which there are n_keys. Told by a broadcast bitmap of filter_bits."""
+    A broadcast bitmap of filter_bits tells it while that has most_bits (32 MB) or fewer. For more keys the keys themselves are
+    joined, which tells it exactly and costs a shuffle of the rows: no bitmap ever fills up."""
     bits = filter_bits(n_keys)
+    if bits > (most_bits or MOST_BITS):
+        known = keys.select(F.col(key).alias("known_key")).distinct()
+        return rows.join(known, F.col(key) == F.col("known_key"), "left").withColumn("maybe", F.col("known_key").isNotNull()).drop("known_key")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  bitmap functions count from 1
     maps = keys.select(slot(F.col(key)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
     marked = rows.withColumn("slot", slot(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("slot")).withColumn("bit", F.bitmap_bit_position("slot"))
@@ -68,8 +68,8 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFra
 
 
 def in_training(id_col: str = "doc_id"):
-    """True for rows whose crc32(id as text) mod 5 is not 0; the others are held out."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
+    """True for rows whose crc32(id as text) mod 5 is not 0, and for a null id; the others are held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0, F.lit(True))
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

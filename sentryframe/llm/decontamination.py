@@ -9,8 +9,8 @@ A second pass finds the seeds in each whole text, lines up segment and text at e
 over words (match 2, mismatch -1, gap -1); many alignments are computed at once, one row of all matrices per step. The score
 is the alignment's share of the segment's best possible one; pairs of at least `min_score` are leaks.
 
-The items are a stated query set. They are sent to the tasks in blocks of at most `block_words` words, with both passes
-made per block, so a benchmark of any size works. Texts are never shuffled.
+The items are a stated query set. They are sent to the tasks in blocks of about `block_words` words, with both passes made
+and the leaks written per block, so the driver and the tasks hold one block at a time. Texts are never shuffled.
 
 Cases: null and empty texts and items give no pair; items shorter than n words are one seed; punctuation and case are
 ignored; equal items each give their pairs; rows with equal ids each give theirs; empty tables give no rows.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids
+from .common import table, without_ids
 from .encoding import release, small_batches
 from .toxicity import words_of
 
@@ -205,6 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_score: flo
 
 
 def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) -> DataFrame:
+    """The leaks of one block, written: its items leave the driver and the tasks before the next block's come."""
     context = rows.sparkSession.sparkContext
     sent = context.broadcast(items)
 
@@ -241,7 +242,10 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) ->
                         ["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"],
                     )
 
-    return rows.mapInArrow(align, PAIR)
+    leaks = table(rows.mapInArrow(align, PAIR), "leaks")
+    chosen.destroy()
+    sent.destroy()
+    return leaks
 
 
 def drop_contaminated(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,8 +2,9 @@
 
 A stream over the files keeps one state row per digest, in RocksDB on the executors' disks with checkpoints in the shared
 folder, and without expiry: the digest, the smallest id seen, the place of that row's content (file and row number) and
-the number of rows. The files are read in at least `batches` micro-batches of equal size (a file is never split), so copies
-of texts from earlier batches meet them in the state alone. Each micro-batch writes the rows of the digests it touched. When
+the number of rows. The files are read in at least `batches` micro-batches of at most `batch_bytes`; where they are too few or
+too large for that, they are first copied into more of them, without a shuffle. So copies of texts from earlier batches meet
+them in the state alone, whatever the size. Each micro-batch writes the rows of the digests it touched. When
 the stream has caught up, every hit (a row that shares a digest with another) is compared with the whole text its digest
 points to; digests with unequal texts are grouped by digest and text instead. Rows that share no digest are done in place:
 neither they nor their texts are shuffled.
@@ -15,10 +16,12 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, fresh_path, mark_maybe, maybe_in, sized_broadcast, table
+from .common import as_pattern, free_name, fresh_path, mark_maybe, maybe_in, sized_broadcast, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,13 +43,30 @@ def _rows(source: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     return source.select(F.col(id_col).cast("long").alias("id"), place.alias("place"), digest(normal).alias("digest"), normal.alias("normal"))
 
 
-def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None) -> DataFrame:
+def micro_batches(spark: SparkSession, path: str, batches: int, batch_bytes: int) -> tuple[str, int]:
+    """A folder with the rows of the Parquet files at path, and the bytes for a micro-batch: at least `batches`, each of at most batch_bytes.
+
+    It is the path itself if its files can be dealt so; else a copy, in files of equal numbers of rows, written without a shuffle."""
+    sizes = spark.read.format("binaryFile").load(as_pattern(path)).select("path", "length")
+    r = sizes.agg(F.sum("length").alias("total"), F.max("length").alias("most"), F.count(F.lit(1)).alias("n"), F.max("path").alias("one")).first()
+    total, most = r.total or 0, r.most or 0
+    n = max(batches, -(-total // batch_bytes))
+    if r.n >= n and most <= batch_bytes:
+        return path, max(1, -(-total // n))
+    rows = spark.read.parquet(as_pattern(path))
+    copy = fresh_path(spark, "dedup-input")
+    rows.write.option("maxRecordsPerFile", max(1, -(-rows.count() // n))).parquet(copy)
+    total = spark.read.format("binaryFile").load(copy).agg(F.sum("length")).first()[0] or 0
+    return copy, max(1, -(-total // n))
+
+
+def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None, batch_bytes: int = 64 << 30) -> DataFrame:
     """Runs the stream until it has caught up with the files under path; gives what each micro-batch wrote: batch, digest, keep, group_size."""
-    schema = spark.read.parquet(path).schema
-    total = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    path, per_batch = micro_batches(spark, path, batches, batch_bytes)
+    schema = spark.read.parquet(as_pattern(path)).schema
     reader = spark.readStream.schema(schema)
-    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max(1, -(-total // batches)))
-    rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest)  # as a pattern, the path may also be one file
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", per_batch)
+    rows = _rows(reader.parquet(as_pattern(path)), id_col, text_col, digest)
     state = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     out = fresh_path(spark, "dedup-state")
     # without fallocate a store takes the disk it fills, not some MB in advance for its logs
@@ -79,7 +99,7 @@ def repeated(written: DataFrame) -> DataFrame:
 
 def _scan(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return spark.read.parquet(path).select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.col(text_col).alias("text"))
+    return spark.read.parquet(as_pattern(path)).select(F.col(id_col).cast("long").alias("id"), place.alias("place"), F.col(text_col).alias("text"))
 
 
 def hit_texts(scan: DataFrame, hits: DataFrame) -> DataFrame:
@@ -95,9 +115,10 @@ def unequal_digests(texts: DataFrame) -> DataFrame:
     return table(texts.filter("place != keep_place").join(kept, F.col("digest") == F.col("d")).filter("normal != kept_text").select("digest"), "unequal").distinct()
 
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, batches: int = 3, max_files: int | None = None, batch_bytes: int = 64 << 30) -> DataFrame:
     """One row per row of the files: id, place, keep_id, group_size, kept, digest."""
-    groups = table(repeated(run_stream(spark, path, id_col, text_col, digest, batches, max_files)), "repeated")
+    path, _ = micro_batches(spark, path, batches, batch_bytes)  # here already, as places must be those of the rows that are read below
+    groups = table(repeated(run_stream(spark, path, id_col, text_col, digest, batches, max_files, batch_bytes)), "repeated")
     scan = _scan(spark, path, id_col, text_col)
     rows = mark_maybe(scan.select("id", "place", digest(normal_text(F.col("text"))).alias("digest")), groups, "digest", groups.count())
     rows = table(rows, "digests")
@@ -120,26 +141,25 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
 def scanned_folder(docs: DataFrame) -> str | None:
     """The folder of Parquet files of which docs is a plain scan, whole and unchanged; None if docs is anything else."""
-    plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() != "LogicalRelation":
-        return None
     files = sorted(docs.inputFiles())
     folders = {f.rpartition("/")[0] for f in files}
     if len(folders) != 1:
         return None
-    folder = folders.pop()
-    return folder if sorted(docs.sparkSession.read.parquet(folder).inputFiles()) == files else None
+    folder = unquote(folders.pop())
+    same = docs.sparkSession.read.schema(docs.schema).parquet(as_pattern(folder))
+    return folder if sorted(same.inputFiles()) == files and docs.sameSemantics(same) else None
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, batch_bytes: int = 64 << 30) -> DataFrame:
     """The rows of a DataFrame that stay, with its columns. A stream needs files that can be read again: docs is written unless it is a plain scan."""
     spark = docs.sparkSession
     path = scanned_folder(docs)
     if path is None:
         path = fresh_path(spark, "dedup-input")
         docs.write.parquet(path)
+    path, _ = micro_batches(spark, path, batches, batch_bytes)
     gone = free_name(docs, "gone")
-    dropped = table(exact_dedup(spark, path, id_col, text_col).filter("not kept").select(F.col("place").alias(gone)), "dropped")
-    landed = spark.read.schema(docs.schema).parquet(path)
+    dropped = table(exact_dedup(spark, path, id_col, text_col, batches=batches, batch_bytes=batch_bytes).filter("not kept").select(F.col("place").alias(gone)), "dropped")
+    landed = spark.read.schema(docs.schema).parquet(as_pattern(path))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return landed.withColumn(gone, place).join(dropped, gone, "left_anti").select(docs.columns)

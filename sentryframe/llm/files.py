@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import as_pattern
+
 
 def _open_fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@?&=+,"))  # Spark's paths are plain text, so a blank or % in them is meant
 
 
 def write_whole(uri: str, chunks) -> int:
@@ -39,4 +42,4 @@ def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(folder)
     if not where.getFileSystem(conf).exists(where):
         return spark.createDataFrame([], "path string, length long")
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(as_pattern(folder)).select("path", "length")

@@ -11,8 +11,8 @@ texts are parsed.
 
 The sample is bounded: per language at most `docs_per_lang` documents of at most `max_chars` characters each and
 `chars_per_lang` together. They are whole texts, taken by a hash of their row; a language of longer texts only gets its
-shortest. `dense_bytes` bounds the
-dense tables: with many languages fewer letters are dense, which changes nothing but speed. Cases: null text, or one without a letter, is `und` with score 0; ties go to the first language in order; with
+shortest, if that has at most `longest` characters. The `max_langs` languages with most labelled rows are learned. `dense_bytes`
+bounds the dense tables: with many languages fewer letters are dense, which changes nothing but speed. Cases: null text, or one without a letter, is `und` with score 0; ties go to the first language in order; with
 no labelled text every prediction is `und`; null labels are not learned; repeated rows give repeated results; an empty
 table gives no rows.
 """
@@ -178,9 +178,11 @@ class CrossParser:
         return langs, score
 
 
-def sample(labelled: DataFrame, docs_per_lang: int = 300, chars_per_lang: int = 30_000, max_chars: int = 3_000) -> dict[str, str]:
+def sample(labelled: DataFrame, docs_per_lang: int = 300, chars_per_lang: int = 30_000, max_chars: int = 3_000, max_langs: int = 64, longest: int = 1_000_000) -> dict[str, str]:
     """Sample text per language. labelled has doc_id, text and lang of training rows only. Rows are chosen first, as narrow ones."""
-    rows = labelled.filter("lang is not null and length(text) > 0").select("doc_id", "lang", "text", F.length("text").alias("chars"), F.xxhash64("doc_id", "text").alias("k"))
+    known = labelled.filter(f"lang is not null and length(text) > 0 and length(text) <= {longest}")
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_langs).select("lang")
+    rows = known.join(F.broadcast(langs), "lang", "left_semi").select("doc_id", "lang", "text", F.length("text").alias("chars"), F.xxhash64("doc_id", "text").alias("k"))
     fits = F.col("chars") <= max_chars
     order = (F.when(fits, F.col("k")).asc_nulls_last(), "chars", "k", "doc_id")
     first = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= docs_per_lang)

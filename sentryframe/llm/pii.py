@@ -42,6 +42,7 @@ _IBAN = re.compile(r"[\s:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-
 _SSN = re.compile(r"[\s:#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?[\s:#]{0,3}([A-Z]{0,4}[0-9](?:-?[0-9]){5,17})(?![A-Za-z0-9])", re.I)
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _FINDER = None
 
 
@@ -57,8 +58,7 @@ def _finder():
         for d in "0123456789":
             a.add_word(d, ("0", 1))
         for cue, kind in _CUES.items():
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _FINDER = a
     return _FINDER
@@ -80,7 +80,10 @@ def _iban_ok(s: str) -> bool:
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all spans, sorted; offsets in code points."""
     found, done = [], [0] * len(KINDS)
-    for last, (sign, width) in _finder().iter(text):
+    low = text.lower()  # cues count in any case
+    if len(low) != len(text):  # a letter whose lower case is two would move what follows
+        low = text.translate(_LOWER)
+    for last, (sign, width) in _finder().iter(low):
         at = last - width + 1
         if sign == "0":
             if at >= done[2] and (m := _CARD.match(text, at)):
@@ -105,7 +108,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
                     found.append((at, 3, m.end()))
         elif sign == ":":
             s = at
-            while s > done[4] and text[s - 1] in _SCHEME and at - s < 32:
+            while s > done[4] and text[s - 1] in _SCHEME:
                 s -= 1
             while s < at and not ("a" <= text[s].lower() <= "z"):
                 s += 1

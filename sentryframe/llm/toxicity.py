@@ -11,7 +11,7 @@ labelled rows: at most `max_positive` with label 1 and `max_negative` with label
 over `max_chars` characters. One task trains on it; the driver gets the weights alone.
 
 Cases: null and empty texts get the sample's share of label 1, but under 0.5; with one label only, that share is every
-score; null labels are not learned; a text of fewer words than a window is one padded window; repeated rows get equal
+score; null labels are not learned, and a document with both labels is learned with both; a text of fewer words than a window is one padded window; repeated rows get equal
 scores; an empty table gives no rows.
 """
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from urllib.parse import unquote
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentryframe.llm import decontamination, exact_dedup, language, ngram_join, pii, queries, toxicity, warc
-from sentryframe.llm.common import filter_bits, fresh_path, maybe_in, table
+from sentryframe.llm.common import as_pattern, filter_bits, fresh_path, mark_maybe, maybe_in, table
 
 DOCS = "doc_id long, text string, lang string, gone string, digest string, maybe int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -87,10 +88,32 @@ def test_exact_dedup_needs_the_state_of_earlier_batches(spark):
 
 
 def test_filters_grow_with_their_keys(spark):
-    assert [filter_bits(n) for n in (0, 1, 65_536, 65_537, 1 << 40)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 28]
+    assert [filter_bits(n) for n in (0, 1, 65_536, 65_537, 1 << 40)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 44]
     rows, keys = spark.range(1000).select(F.col("id").alias("k")), spark.range(0, 1000, 7).select(F.col("id").alias("k"))
     few = maybe_in(rows, keys, "k", 143).collect()
     assert {r.k for r in few} >= set(range(0, 1000, 7)) and len(few) < 160
+    exact = mark_maybe(rows.withColumn("x", F.lit(1)), keys.unionByName(keys), "k", 1 << 20, most_bits=1 << 20)  # too many for a bitmap
+    assert exact.columns == ["k", "x", "maybe"] and {(r.k, r.maybe) for r in exact.collect()} == {(i, i % 7 == 0) for i in range(1000)}
+
+
+def test_exact_dedup_of_any_path_and_size(spark):
+    """One file or a folder, with a slash at the end, blanks and pattern characters; always several batches, of bounded bytes."""
+    rows = [(i, f"text {i % 20} " * 30, "en", "g", "d", 1) for i in range(120)]
+    folder = fresh_path(spark, "docs [a] {b} c*?%20")
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(folder)
+    one = spark.read.parquet(as_pattern(folder)).inputFiles()[0]
+    want = [(i, i % 20, 6, i < 20) for i in range(120)]
+    for path in (folder, folder + "/", unquote(one)):
+        assert exact_dedup.run_stream(spark, path).select("batch").distinct().count() >= 3
+        assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path).collect()) == want
+    rng = random.Random(6)
+    large = landed(spark, spark.createDataFrame([(i, f"{rng.getrandbits(8_000):x}", "en", "g", "d", 1) for i in range(400)], DOCS).coalesce(1))
+    size = spark.read.format("binaryFile").load(large).agg(F.max("length")).first()[0]
+    copy, per_batch = exact_dedup.micro_batches(spark, large, 3, size // 8)
+    assert per_batch <= size // 4 and spark.read.format("binaryFile").load(copy).count() >= 8
+    assert exact_dedup.micro_batches(spark, copy, 3, 64 << 30)[0] == copy  # enough small files are read in place
+    assert exact_dedup.scanned_folder(spark.read.parquet(as_pattern(folder))) == folder
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(spark.read.parquet(as_pattern(folder))).collect()) == list(range(20))
 
 
 # ---- n-gram join ----
@@ -222,7 +245,17 @@ def test_pii_equals_plain_expressions(spark):
 
 def test_pii_more_kinds_and_redaction(spark):
     text = "Mail a.b@c.example or see https://x.example/p?q=1. IBAN: DE89 3704 0044 0532 0130 00; account number 12345678, SSN 123-45-6789."
-    assert [pii.KINDS[k] for _, k, _ in pii.find_spans(text)] == ["email", "url", "card", "iban", "account", "ssn"] or {"email", "url", "iban", "account", "ssn"} <= {pii.KINDS[k] for _, k, _ in pii.find_spans(text)}
+    at = lambda s: (text.index(s), text.index(s) + len(s))
+    want = {("email", *at("a.b@c.example")), ("url", *at("https://x.example/p?q=1")), ("iban", *at("DE89 3704 0044 0532 0130 00")), ("account", *at("12345678")), ("ssn", *at("123-45-6789"))}
+    found = {(pii.KINDS[k], s, e) for s, k, e in pii.find_spans(text)}
+    assert want <= found and {k for k, _, _ in found - want} <= {"card", "phone", "ip"}
+    for cue in ("iban", "IbAn", "IBAN"):
+        assert ("iban", 7, 29) in {(pii.KINDS[k], s, e) for s, k, e in pii.find_spans(f"İ {cue} DE89370400440532013000")}
+    long_ = "a" * 40 + "://x.example"
+    assert pii.find_spans(long_) == [(0, 4, len(long_))]
+    twice = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    assert sorted(pii.digest_columns(pii.detect(twice)).groupBy("doc_id").count().collect()) == [(1, 2), (2, 1)]
+    assert pii.digest_columns(pii.detect(twice.limit(0))).collect() == []
     out = pii.redact(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert out[0].text.startswith("Mail <email> or see <url>. IBAN: <") and "123-45-6789" not in out[0].text and out[1].text is None
 
@@ -562,11 +595,24 @@ def test_warc_small_payloads_are_responses(spark):
 
 
 def test_warc_wrong_revisits_are_found(spark):
-    rows = [(1, "u", 3, "A", "response", None), (2, "u", 3, "A", "revisit", 1), (3, "u", 4, "A", "revisit", 1)]
-    with pytest.raises(Exception, match="no such response for page 3"):
+    rows = [(1, "u", 3, "A", "x", "response", None), (2, "u", 3, "A", "x", "revisit", 1), (3, "u", 3, "A", "y", "revisit", 1)]
+    assert warc.checked(spark.createDataFrame(rows[:2], warc.RECORD)).count() == 2
+    with pytest.raises(Exception, match="no such response for page 3"):  # an equal SHA-1 and size, but another SHA-256: a forged page
         warc.checked(spark.createDataFrame(rows, warc.RECORD)).collect()
 
 
+def test_warc_archives_are_rolled(spark):
+    """A partition writes several archives of bounded size, in a folder whose name has a blank and pattern characters; all are found."""
+    pages = [(i, f"http://h{i % 40:02d}.example/p", f"payload {i % 90} " * 50) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    directory, records = archived(df, fresh_path(spark, "warc a [b] 100%"), block_lines=7, archive_bytes=3_000)
+    files = directory.select("warc_file").distinct().count()
+    assert files > 10 and directory.select("part").distinct().count() < files
+    got = {r.page_id: (r.record_type, r.refers_to) for r in records.collect()}
+    assert got == {i: ("response", None) if i < 90 else ("revisit", i % 90) for i in range(200)}
+    assert warc.with_shelves(directory, 2).select("shelf").distinct().count() <= 2
+
+
 def test_op10_query_takes_every_page(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     first = {}
@@ -587,8 +633,8 @@ def test_url_keys():
 
 def test_blocks_are_found_by_binary_search(spark):
     keys = sorted(f"com,h{i:03d})/" for i in range(100))
-    rows = [(keys[i], keys[i + 9], 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(0, 100, 10)]
-    rows += [("com,i)/", "com,i)/", 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(100, 200, 10)]  # one key over many blocks and files
+    rows = [(i // 30, keys[i], keys[i + 9], 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(0, 100, 10)]
+    rows += [(i // 30, "com,i)/", "com,i)/", 10, f"f{i // 30}", i, 1, "w", 0, 1) for i in range(100, 200, 10)]  # one key over many blocks and files
     d = table(spark.createDataFrame(rows, warc.DIRECTORY), "directory")
     asked = spark.createDataFrame([(k,) for k in [*keys[::7], "com,i)/", "com,zzz)/", "a", "com,h0095)/"]], "key string")
     got = sorted((k, r.offset) for r in warc.find_blocks(d, asked).collect() for k in r.asked)
