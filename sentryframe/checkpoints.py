@@ -1,11 +1,14 @@
-"""Cutting lineage in the shared folder named in spark.checkpoint.dir."""
+"""Cutting lineage in the shared folder named in spark.checkpoint.dir, and small tables from the driver."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -30,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of configuration as a table of known size: Spark broadcasts it below its own threshold, and no job counts it."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    arrays = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema), schema=StructType.fromDDL(ddl))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..checkpoints import cut
 from ..config import SOURCE_NAMES, TEST_SOURCES
 from ..functions.decisions import label_value
-from .policy import small, unused
+from .policy import unused
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -84,7 +84,7 @@ def cap_sources(df: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
     h, rank, most = unused(df, "h", "rank", "keep")
     bounds = share.select("source", "label", keep.cast("long").alias(most))  # a row for each source and label
     rows = ranked(df.withColumn(h, shuffled(seed, "text")), ["source", "label"], h, rank=rank)
-    return rows.join(small(bounds), ["source", "label"]).filter(F.col(rank) <= F.col(most)).select(df.columns)
+    return rows.join(bounds, ["source", "label"]).filter(F.col(rank) <= F.col(most)).select(df.columns)
 
 
 def dedup(df: DataFrame, pool: str = "split_role", order: str = "ord") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FusionConfig, RiskWeights, SandboxCaps
-from ..functions.decisions import blend, decide
+from ..functions.decisions import blend, decide, decision_reason
 from . import policy, sequence, trust
 
 
@@ -25,6 +25,13 @@ def fuse_signals(df: DataFrame, config: FusionConfig = FusionConfig(), weights:
     return out.withColumn("action", action).withColumn("executes", F.col("action") != "block")
 
 
+def explained(df: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
+    """Adds decision_reason and message to decided rows (blended, injection, out_of_scope, action): why a call was stopped or flagged."""
+    reason = decision_reason(F.col("blended"), F.col("out_of_scope"), F.col("injection"), config)
+    message = F.when(F.col("action") == "block", F.concat(F.lit("Blocked before reaching the agent: "), "decision_reason")).when(F.col("action") == "flag", F.concat(F.lit("Allowed, but flagged for review: "), "decision_reason"))
+    return df.withColumn("decision_reason", reason).withColumn("message", message.otherwise("No conflict: proceeding to the agent."))
+
+
 def methods(df: DataFrame, config: FusionConfig = FusionConfig(), threshold: float = 0.5) -> DataFrame:
     """Each row once per decider: framework, detection_only (risk >= threshold), privilege_only (out of scope)."""
     wide = df.withColumn("framework", decide(F.col("risk"), F.col("out_of_scope"), config=config))
@@ -51,13 +58,12 @@ def run_pipeline(calls: DataFrame, policies: DataFrame, confirmed: DataFrame, ca
     The session's risk is 0, or with flag_at the share of its calls with a greater injection in the flag_seconds before."""
     scoped = policy.authorize(calls, policies).withColumn("out_of_scope", ~F.col("allowed"))
     checked = sequence.sandbox(scoped, caps).withColumn("twin_unsafe", ~F.col("safe"))
-    looked = trust.as_of(trust.tagged(calls), confirmed).select("call_id", "trust")
     usual = sequence.deviation(checked.withColumn("tools", F.array("tool_name"))).withColumn("behavior", F.col("deviation")).drop("tools", "novel_tools", "deviation", "anomalous")
     if flag_at is None:
         usual = usual.withColumn("session_risk", F.lit(0.0))
     else:
         flagged = usual.withColumn("flagged", (F.col("injection") > flag_at).cast("int"))
         usual = sequence.flag_rate(flagged, flag_seconds).withColumnRenamed("session_history_risk", "session_risk").drop("flagged")
-    signals = usual.join(looked, "call_id")
-    decided = fuse_signals(signals, config)
+    signals = trust.as_of(trust.tagged(usual), confirmed)  # carries the calls along
+    decided = explained(fuse_signals(signals, config), config)
     return trust.gated(decided.withColumn("risk", F.col("injection")))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import local_table
 from ..config import BASELINE_TOOLS, SANDBOX_TOOLS, SandboxCaps
-from .policy import small, unused
+from .policy import unused
 
 DOMAIN = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
@@ -24,7 +25,7 @@ def deviation(sequences: DataFrame, threshold: float = 0.0) -> DataFrame:
 def session_deviation(calls: DataFrame) -> DataFrame:
     """Deviation per session and role, from the calls themselves: a join with the baseline and one partial aggregate."""
     rows = [(r, t) for r, tools in BASELINE_TOOLS.items() for t in tools]
-    baseline = calls.sparkSession.createDataFrame(rows, "role string, tool_name string").withColumn("usual", F.lit(True))
+    baseline = local_table(calls.sparkSession, rows, "role string, tool_name string").withColumn("usual", F.lit(True))
     marked = calls.join(F.broadcast(baseline), ["role", "tool_name"], "left")
     return marked.groupBy("session_id", "role").agg(F.avg(F.when(F.col("usual").isNull(), 1.0).otherwise(0.0)).alias("deviation"), F.count(F.lit(1)).alias("n_calls"))
 
@@ -39,7 +40,7 @@ def _in_order(*keys: str):
 
 def recipient_known(calls: DataFrame, contacts: DataFrame) -> DataFrame:
     """Adds recipient_known for mail calls (null for others). Without contacts every recipient is unknown."""
-    known = small(contacts.select(F.col("address").alias("resource")).distinct().withColumn("known", F.lit(True)))
+    known = contacts.select(F.col("address").alias("resource")).distinct().withColumn("known", F.lit(True))
     mail = F.col("tool_name").isin("send_email", "forward_email")
     return calls.join(known, "resource", "left").withColumn("recipient_known", F.when(mail, F.col("known").isNotNull())).drop("known")
 
@@ -96,7 +97,7 @@ def sandbox(calls: DataFrame, caps: SandboxCaps = SandboxCaps(), initial: DataFr
     theirs = {c: free for c, free in zip(calls.columns, unused(calls, *calls.columns)) if c.lower() in mine}  # set aside under other names
     calls = calls.withColumnsRenamed(theirs).repartition("session_id")
     if contacts is None:
-        contacts = spark.createDataFrame([(c,) for c in caps.contacts], "address string")
+        contacts = local_table(spark, [(c,) for c in caps.contacts], "address string")
     rows = object_state(recipient_known(calls, contacts), initial)
     tool = F.col("tool_name")
     upto = lambda *k: _in_order(*k).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import local_table
 from ..config import ROLE_DEFAULT_CALL
 from ..functions.decisions import role_of
 
@@ -36,7 +37,7 @@ def with_role(df: DataFrame) -> DataFrame:
 def with_default_call(df: DataFrame) -> DataFrame:
     """Fills tool_name, resource and params of a role's default call where the caller gave none (a given null resource stays)."""
     rows = [(r, t, res, p) for r, (t, res, p) in ROLE_DEFAULT_CALL.items()]
-    table = df.sparkSession.createDataFrame(rows, "role string, d_tool string, d_resource string, d_params map<string,string>")
+    table = local_table(df.sparkSession, rows, "role string, d_tool string, d_resource string, d_params map<string,string>")
     out = df.join(F.broadcast(table), "role", "left")
     for c, d in (("tool_name", "d_tool"), ("params", "d_params")):
         out = out.withColumn(c, F.coalesce(c, d))

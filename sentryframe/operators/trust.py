@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut
 from ..config import BASE_TRUST, ROLE_SOURCE_TYPE, UNKNOWN_TRUST, MemoryThresholds
 from ..functions.decisions import memory_outcome
 from .policy import unused
@@ -71,19 +72,24 @@ def current(confirmed: DataFrame) -> DataFrame:
 
 
 def as_of(lookups: DataFrame, confirmed: DataFrame, bucket: str = "day") -> DataFrame:
-    """Adds trust as of each lookup's ts: the last confirmation before it, else the base trust. One at the same ts counts as after.
+    """The lookups with trust as of each one's ts: the last confirmation before it, else the base trust. One at the same ts counts as after.
 
-    Looked up within buckets of time; a bucket's earliest lookups take the last trust of the buckets before."""
+    lookups: source_type, source_id, ts and any other columns, which come along. Looked up within buckets of time; a
+    bucket's earliest lookups take the last trust of the buckets before. The history is written once, as both need it."""
     source = ["source_type", "source_id"]
-    h = history(confirmed, bucket).select(*source, "ts", F.lit(1).alias("kind"), "n", "trust", F.lit(None).cast("long").alias("call_id"))
-    q = lookups.select(*source, "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("trust"), "call_id")
-    rows = q.unionByName(h).withColumn("day", _bucket("ts", bucket))
+    h = cut(history(confirmed, bucket).select(*source, "ts", F.lit(1).alias("kind"), "n", "trust", _bucket("ts", bucket).alias("day")))
+    q = lookups.select(*source, "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("trust"), _bucket("ts", bucket).alias("day"), F.struct(*lookups.columns).alias("row"))
+    rows = q.unionByName(h, allowMissingColumns=True)
     w = Window.partitionBy(*source, "day").orderBy("ts", "kind", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("seen", F.last("trust", ignorenulls=True).over(w)).filter("kind = 0")
-    past = Window.partitionBy(*source).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = rows.groupBy(*source, "day").agg(F.max_by("trust", "n").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(past)).drop("last")
-    met = _meet(seen, lasts, [*source, "day"])
-    return met.select("call_id", *source, "ts", F.coalesce("seen", "carried", base_trust(F.col("source_type"))).alias("trust"))
+    seen = rows.withColumn("seen", F.last("trust", ignorenulls=True).over(w)).filter("kind = 0").select(*source, "day", "row", "seen")
+    ends = h.groupBy(*source, "day").agg(F.max_by("trust", "n").alias("carried"))
+    after = Window.partitionBy(*source).orderBy("day")
+    spans = ends.select(*source, "carried", F.col("day").alias("from_day"), F.lead("day").over(after).alias("to_day"))
+    asked = q.select(*source, "day").distinct()
+    same = lambda c: asked[c].eqNullSafe(spans[c])
+    lasts = asked.join(spans, same("source_type") & same("source_id") & (asked["day"] > F.col("from_day")) & (F.col("to_day").isNull() | (asked["day"] <= F.col("to_day"))))
+    met = _meet(seen, lasts.select(*[asked[c] for c in (*source, "day")], "carried"), [*source, "day"])
+    return met.select("row.*", F.coalesce("seen", "carried", base_trust(F.col("source_type"))).alias("trust"))
 
 
 def gated(df: DataFrame, thresholds: MemoryThresholds = MemoryThresholds()) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import shared_path
+from ..checkpoints import cut, shared_path
 from ..config import BASELINE_TOOLS, POSITIVE_LABELS, NEGATIVE_LABELS, ROLE_KEYWORDS, TIGHTENED_TOOLS, RiskWeights
 from ..functions import decisions as D
 from ..operators import audit, corpus, fusion, memory, policy, redteam, registry, report, sequence, text, trust
 from ..sources import tables, views
-from ..streaming import online
+from ..streaming import online, ordered
 from .views_sql import AUTHORIZED, BASE, CALLS, CORPUS, CREDENTIALS, HISTORY, NAMED, PROMPTS, SPLIT, TAGGED, UNIQUE, quoted, score_of
 
 QUERIES: dict = {}
@@ -198,12 +198,13 @@ def e6_authorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.authorize(calls, tables.default_policies(spark), policy.issue(views.credentials(spark, sf_dir)), revoked).select("call_id", "violation")
 
 
-@query(f"WITH RECURSIVE {CREDENTIALS}, walk AS (SELECT token_id FROM creds WHERE user_id IN (1, 2) UNION ALL SELECT c.token_id FROM walk w JOIN creds c ON c.derived_from = w.token_id WHERE c.user_id <> 5) SELECT DISTINCT token_id FROM walk")
+@query(f"WITH RECURSIVE {CREDENTIALS}, days AS (SELECT *, TIMESTAMP '2024-01-02 00:00:00' + to_days((user_id % 28)::INT) AS start, CASE WHEN user_id % 7 = 5 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days((user_id % 31)::INT) END AS was FROM creds), walk AS (SELECT token_id, start AS revoked_at FROM days WHERE was IS NULL OR was > start UNION SELECT c.token_id, w.revoked_at FROM walk w JOIN days c ON c.derived_from = w.token_id WHERE c.was IS NULL OR c.was > w.revoked_at) SELECT token_id, min(revoked_at) AS revoked_at FROM walk GROUP BY token_id")
 def e7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens 1 and 2 are revoked; token 5, revoked before, keeps the cascade from what is below it."""
+    """Every token starts a cascade on a day of its own; every seventh was revoked before on another day and keeps later ones from what is below it."""
     c = views.credentials(spark, sf_dir)
-    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp").alias("revoked_at")
-    return policy.revoke_cascade(c, c.filter("user_id in (1, 2)").select("token_id", at("10")), c.filter("user_id = 5").select("token_id", at("05"))).select("token_id")
+    at = lambda day, n: F.date_add(F.lit(day).cast("date"), F.pmod("user_id", F.lit(n)).cast("int")).cast("timestamp").alias("revoked_at")
+    out = policy.revoke_cascade(c, c.select("token_id", at("2024-01-02", 28)), c.filter("user_id % 7 = 5").select("token_id", at("2024-01-01", 31)))
+    return out.select("token_id", F.col("revoked_at").cast("timestamp_ntz").alias("revoked_at"))
 
 
 _TRIGGERS = "first AS (SELECT token_id, min(ts) AS revoked_at FROM calls WHERE injection >= 0.98 GROUP BY token_id)"
@@ -221,11 +222,11 @@ def e7_cascade_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIGHT = ", ".join(f"({quoted(r)}, {quoted(t)})" for r, tools in TIGHTENED_TOOLS.items() for t in tools)
 
 
-@query(f"WITH {AUTHORIZED}, first AS (SELECT token_id, min(ts) AS revoked_at FROM calls WHERE injection >= 0.98 GROUP BY token_id) SELECT call_id, CASE WHEN revoked_at <= ts THEN 'credential_revoked' WHEN violation <> 'none' THEN violation WHEN injection >= 0.5 AND (role, tool_name) NOT IN ({_TIGHT}) THEN 'tightened' ELSE 'none' END AS governed FROM decided LEFT JOIN first USING (token_id)")
+@query(f"WITH {AUTHORIZED}, {CREDENTIALS}, {_TRIGGERS} SELECT call_id, CASE WHEN ts >= issued_at + to_seconds(ttl_seconds) THEN 'credential_expired' WHEN revoked_at <= ts THEN 'credential_revoked' WHEN violation <> 'none' THEN violation WHEN injection >= 0.5 AND (role, tool_name) NOT IN ({_TIGHT}) THEN 'tightened' ELSE 'none' END AS governed FROM decided JOIN creds USING (token_id) LEFT JOIN first USING (token_id)")
 def e8_govern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls with real expiries, where revoking a token leaves those derived from it alone (an option of govern)."""
     calls = _calls(spark, sf_dir).withColumn("risk", F.col("injection"))
-    c = policy.issue(views.credentials(spark, sf_dir)).withColumn("expires_at", F.lit(None).cast("timestamp"))
-    return policy.govern(calls, tables.default_policies(spark), c, revoke_at=0.98, lineage=False).select("call_id", "governed")
+    return policy.govern(calls, tables.default_policies(spark), policy.issue(views.credentials(spark, sf_dir)), revoke_at=0.98, descend=False).select("call_id", "governed")
 
 
 @query(f"WITH RECURSIVE {AUTHORIZED}, {CREDENTIALS}, {_TRIGGERS}, walk AS (SELECT token_id, revoked_at FROM first UNION SELECT c.token_id, w.revoked_at FROM walk w JOIN creds c ON c.derived_from = w.token_id WHERE c.issued_at <= w.revoked_at), gone AS (SELECT token_id, min(revoked_at) AS revoked_at FROM walk GROUP BY token_id) SELECT call_id, CASE WHEN ts >= issued_at + to_seconds(ttl_seconds) THEN 'credential_expired' WHEN revoked_at <= ts THEN 'credential_revoked' WHEN violation <> 'none' THEN violation WHEN injection >= 0.5 AND (role, tool_name) NOT IN ({_TIGHT}) THEN 'tightened' ELSE 'none' END AS governed FROM decided JOIN creds USING (token_id) LEFT JOIN gone USING (token_id)")
@@ -235,6 +236,15 @@ def e8_govern_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.govern(calls, tables.default_policies(spark), policy.issue(views.credentials(spark, sf_dir)), revoke_at=0.98).select("call_id", "governed")
 
 
+@query(ORACLE_SQL["e8_govern_lineage"])
+def e8_govern_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over calls that come out of order in several micro-batches: a trigger reaches the tokens below through the lineage index."""
+    calls = views.replayed(_calls(spark, sf_dir).withColumn("risk", F.col("injection")).select("token_id", "ts", "call_id", "risk", "role", "tool_name", "resource", "params"), 5)
+    c = views.credentials(spark, sf_dir)
+    done = ordered.governed_stream(calls, tables.default_policies(spark), cut(policy.issue(c)), cut(policy.lineage(c)), revoke_at=0.98)
+    return online.run_to_table(done.select("call_id", "governed"), mode="append")
+
+
 def _scenario_sql() -> str:
     from ..config import ATTACK_CALLS, BENIGN_CALLS
 
@@ -268,6 +278,17 @@ def e10_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.append(_entries(spark, sf_dir)).groupBy("log_id").agg(F.max_by("hash", "seq").alias("head"), F.count(F.lit(1)).alias("n_entries"))
 
 
+@query(f"WITH {_ENTRIES}, h AS (SELECT log_id, {_HEAD} AS head, count(*) AS n_entries, max(seq) AS last_seq FROM entries GROUP BY log_id) SELECT *, TRUE AS intact FROM h")
+def e10_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains written in four batches that each continue the stored ones; one batch is written twice. They verify as one chain."""
+    store, rows = audit.ChainStore(spark, shared_path(spark, "chains")), cut(_entries(spark, sf_dir))
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    for k in (0, 1, 1, 2, 3):
+        store.append(rows.filter((F.col("seq") * 4 >= k * (most + 1)) & (F.col("seq") * 4 < (k + 1) * (most + 1))), k)
+    checked = audit.verify(store.entries(), store.heads().select("log_id", F.col("n_entries").alias("expected"))).select("log_id", "intact")
+    return store.heads().join(checked, "log_id").select("log_id", "head", "n_entries", "last_seq", "intact")
+
+
 @query(f"WITH {_ENTRIES} SELECT log_id, count(*) AS n_entries, min(seq) FILTER (seq % 97 = 0) AS first_bad, count(*) FILTER (seq % 97 = 0) = 0 AS intact FROM entries GROUP BY log_id")
 def e11_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose seq is divisible by 97 are altered after chaining; each is the first bad one of its log or follows one."""
@@ -290,10 +311,10 @@ def f2_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.current(_confirmed(spark, sf_dir)).select("source_type", "source_id", r6("trust").alias("trust"), F.col("n_updates").cast("long").alias("n_updates"))
 
 
-@query(f"WITH {CALLS}, {TAGGED}, {HISTORY}, look AS (SELECT * FROM tagged WHERE call_id % 5 <> 0) SELECT l.call_id, round(coalesce(f.trust, {BASE.replace('source_type', 'l.source_type')}), 6) AS trust FROM look l ASOF LEFT JOIN folded f ON l.source_type = f.source_type AND l.source_id = f.source_id AND l.ts > f.ts")
+@query(f"WITH {CALLS}, {TAGGED}, {HISTORY}, look AS (SELECT * FROM tagged) SELECT l.call_id, round(coalesce(f.trust, {BASE.replace('source_type', 'l.source_type')}), 6) AS trust FROM look l ASOF LEFT JOIN folded f ON l.source_type = f.source_type AND l.source_id = f.source_id AND l.ts > f.ts")
 def f3_trust_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = trust.tagged(_calls(spark, sf_dir))
-    return trust.as_of(calls.filter("call_id % 5 != 0"), views.confirmations(calls)).select("call_id", r6("trust").alias("trust"))
+    return trust.as_of(calls, views.confirmations(calls)).select("call_id", r6("trust").alias("trust"))
 
 
 @query(f"WITH {CALLS}, t AS (SELECT call_id, injection, (k % 20) / 20.0::DOUBLE AS trust FROM calls) SELECT call_id, CASE WHEN injection >= 0.7 OR trust <= 0.15 THEN 'rejected' WHEN injection >= 0.3 OR trust <= 0.5 THEN 'quarantined' ELSE 'committed' END AS memory_outcome FROM t")
@@ -837,6 +858,43 @@ def k1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("call_id", r6("blended").alias("blended"), "action")
 
 
+def _arriving(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
+    """The calls as a stream out of order; every fifth has a confirmed outcome."""
+    calls = _calls(spark, sf_dir)
+    return views.replayed(calls.withColumn("outcome", F.when(F.col("call_id") % 5 == 0, F.when(F.col("value") < 50, 1).otherwise(0))), batches)
+
+
+def _reason_sql() -> str:
+    over = lambda x, limit: f"printf('risk %.3f over %.2f', {x}, {limit}::DOUBLE)"
+    return f"CASE WHEN b > 0.85 THEN {over('b', 0.85)} WHEN oos AND injection > 0.4 THEN {over('injection', 0.4)} || ' and out of scope' WHEN b > 0.3 THEN {over('b', 0.3)} WHEN oos THEN 'out of scope at low risk' ELSE 'low risk, in scope' END"
+
+
+@query(
+    ORACLE_SQL["h5_session_risk"]
+    .replace("SELECT call_id, violation, safe,", f"SELECT call_id, round(flags, 6) AS session_risk, {_reason_sql()} AS reason, violation, safe,")
+)
+def k1_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call decided online, with its session's rules and flags, its source's trust and the reason: equal to the batch pipeline,
+    over a dozen micro-batches whose rows come out of order."""
+    live = ordered.live_decisions(_arriving(spark, sf_dir, 12), tables.default_policies(spark), _caps())
+    done = online.run_to_table(live.select("call_id", "violation", "twin_unsafe", "session_risk", "trust", "blended", "action", F.col("decision_reason").alias("reason"), "memory_outcome"), mode="append")
+    return done.select("call_id", "violation", (~F.col("twin_unsafe")).alias("safe"), r6("session_risk").alias("session_risk"), r6("trust").alias("trust"), r6("blended").alias("blended"), "action", "reason", "memory_outcome")
+
+
+@query(ORACLE_SQL["f3_trust_as_of"])
+def f3_trust_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trust as of every call from a stream out of order: confirmations and calls of a source meet in one keyed step."""
+    rows = trust.tagged(_arriving(spark, sf_dir, 5)).select("source_type", "source_id", "ts", "call_id", "outcome")
+    return online.run_to_table(ordered.trust_as_of_stream(rows), mode="append").select("call_id", r6("trust").alias("trust"))
+
+
+@query(ORACLE_SQL["j11_trigger"])
+def j11_trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evasion buffer as keyed state, emptied whenever it fires."""
+    rows = views.read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
+    return online.run_to_table(ordered.trigger_stream(rows, 20), mode="append").select("key", "seq", "batch")
+
+
 # ---- sources and sinks ----
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def a1_fallback_read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import local_table
 from ..operators.corpus import name_sources
 from ..schemas import AUDIT, CORPUS, POLICY
 
@@ -56,7 +57,7 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
 def default_policies(spark: SparkSession) -> DataFrame:
     """The six policies that come with the library, from its own files (a few kB of configuration on the driver)."""
     rows = [json.dumps(json.loads(p.read_text())) for p in sorted(POLICY_DIR.glob("*.json"))]
-    return spark.createDataFrame([(r,) for r in rows], "value string").select(F.from_json("value", POLICY).alias("p")).select("p.*")
+    return local_table(spark, [(r,) for r in rows], "value string").select(F.from_json("value", POLICY).alias("p")).select("p.*")
 
 
 def write_audit(entries: DataFrame, path: str) -> None:

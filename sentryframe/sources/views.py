@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_path
 from ..config import COMPANY_ADDRESS, ROLES
 from ..functions.decisions import normalized, pseudo_score
 
@@ -19,6 +22,22 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def replayed(rows: DataFrame, batches: int = 12, jitter_seconds: int = 21_600) -> DataFrame:
+    """A table with ts and call_id as a stream of `batches` micro-batches whose rows come out of order: each is shifted by up to
+    jitter_seconds, by a hash. A last file has one row of a far later time and nulls, as a sign that no more rows will come."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "replay")
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    held = cut(rows.withColumn("arrives", at + F.pmod(F.xxhash64("call_id"), F.lit(jitter_seconds))))
+    first, last, newest = held.agg(F.min("arrives"), F.max("arrives"), F.max("ts")).first()
+    step = (last - first) // batches + 1 if first is not None else 1
+    for k in range(batches if first is not None else 0):
+        held.filter((F.col("arrives") >= first + k * step) & (F.col("arrives") < first + (k + 1) * step)).select(rows.columns).coalesce(1).write.mode("append").parquet(path)
+    end = F.lit(newest or datetime(2000, 1, 1)).cast(rows.schema["ts"].dataType) + F.expr("interval 400 days")
+    sign = spark.range(1).select(*[(end if f.name == "ts" else F.lit("") if f.dataType.simpleString() == "string" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    sign.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def tool_calls(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """One agent call per event; see the module plans.views_sql for the same view in SQL."""
     e = (read_stream if stream else read)(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..checkpoints import shared_path
 from ..config import BASE_TRUST, UNKNOWN_TRUST, Calibration, FusionConfig
@@ -32,7 +33,7 @@ def windowed_flag_rate(flags: DataFrame, late: str = "1 hour", size: str = "1 da
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, keys: tuple[str, ...] = (), order: str | None = None, mode: str = "update") -> DataFrame:
     """Runs a stream until it has caught up with its files; the rows it wrote, or with keys the last (by order) of each key.
 
     Each micro-batch replaces a folder of its own, so a repeated one changes nothing. State is in RocksDB."""
@@ -43,19 +44,19 @@ def run_to_table(stream: DataFrame, keys: tuple[str, ...] = (), order: str | Non
     for k, v in names.items():
         spark.conf.set(k, v)
     try:
-        writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/micro_batch={n}")).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not query.lastProgress:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("micro_batch", LongType())])).parquet(out)
     if not keys:
-        return rows.drop("batch")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order or "batch").alias("last"))
+        return rows.drop("micro_batch")
+    rest = [c for c in rows.columns if c not in (*keys, "micro_batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order or "micro_batch").alias("last"))
     return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
