@@ -2,8 +2,8 @@
 
 Rows may come in any order within the watermark's delay. A processor keeps a key's rows in its buffer until the watermark has
 passed them and then takes them by (ts, call_id), which gives what the batch windows give; rows later than the watermark
-are dropped, as no order could take them any more. A key that has been silent for `idle` seconds loses its state through a
-timer, so state does not grow with the age of a stream. What leaves a processor keeps its event time, so processors
+are dropped, as no order could take them any more. A key that has been silent for `idle` seconds begins anew, and a timer
+removes its state, so state does not grow with the age of a stream. What leaves a processor keeps its event time, so processors
 follow each other in one query. All need the RocksDB state store and output mode append.
 """
 
@@ -58,9 +58,13 @@ class InOrder(StatefulProcessor):
         if due:
             rest = [r for r in held if r[0] > upto]
             self.buffer.put(rest) if rest else self.buffer.clear()
-            state = json.loads(data) if data is not None else {}
-            made = self.run(key, state, due)
-            last = max(due[-1][0], last or 0)
+            state, made, begin = json.loads(data) if data is not None else {}, [], 0
+            for i, r in enumerate(due):
+                if self.idle is not None and last is not None and r[0] - last >= self.idle * 1_000_000:
+                    made += self.run(key, state, due[begin:i]) if i > begin else []
+                    state, begin = {}, i
+                last = r[0]
+            made += self.run(key, state, due[begin:])
             self.state.update((json.dumps(state), last))
             if self.idle is not None:
                 self.handle.registerTimer(-(-last // 1000) + self.idle * 1000)
