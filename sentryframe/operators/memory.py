@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..checkpoints import cut, shared_path
 from ..config import Calibration
 from ..functions.decisions import normalized
 
@@ -22,39 +26,167 @@ def remember(memory: DataFrame, new: DataFrame) -> DataFrame:
     return memory.unionByName(new.select("idx", "text", normalized(F.col("embedding")).alias("embedding")))
 
 
-def nearest(queries: DataFrame, memory: DataFrame, key: str = "id") -> DataFrame:
+def nearest(queries: DataFrame, memory: DataFrame, key: str = "id", block_rows: int | None = None) -> DataFrame:
     """key, similarity and text of the most similar memory entry (the smallest idx on ties); (0.0, null) without memory or vector.
 
-    Exact. A memory of at most BLOCK_ROWS entries is sent to the tasks as one matrix, and every Arrow batch of queries is one
-    matrix product. A larger one never leaves the tasks: queries and memory are cut into blocks of about BLOCK_ROWS rows by a
-    hash, each pair of blocks meets in one task, and the best of a query's blocks is kept."""
-    n = memory.count()
-    schema = StructType([queries.schema[key], StructField("similarity", DoubleType()), StructField("idx", LongType()), StructField("text", StringType())])
-    q, m = queries.select(key, "embedding"), memory.select("idx", "text", "embedding")
-    if n <= BLOCK_ROWS:
-        best = q.mapInArrow(_best_of(q.sparkSession, sorted(m.limit(BLOCK_ROWS).collect()), key), schema)
+    Exact. A memory of one block (block_rows entries) is sent to the tasks as one matrix. A larger one is indexed in the shared
+    folder, see build_index, and a query visits blocks by bound until no other can win."""
+    block_rows = block_rows or BLOCK_ROWS
+    if memory.count() <= block_rows:
+        schema = StructType([queries.schema[key], *_FOUND])
+        q, m = queries.select(key, "embedding"), memory.select("idx", "text", "embedding")
+        best = q.mapInArrow(_best_of(q.sparkSession, sorted(m.limit(block_rows).collect(), key=lambda e: (e[0], e[1] is not None, e[1])), key), schema)
     else:
-        best = _best_in_blocks(q, m, key, schema, -(-n // BLOCK_ROWS))
+        best = search(queries, build_index(memory, block_rows), key)
     return best.select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text")
 
 
-def _best_in_blocks(queries: DataFrame, memory: DataFrame, key: str, schema: StructType, m_blocks: int) -> DataFrame:
-    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("q_block", block(key, q_blocks)).withColumn("m_block", every(m_blocks))
-    m = memory.withColumn("m_block", block("idx", m_blocks)).withColumn("q_block", every(q_blocks))
+_FOUND = [StructField("similarity", DoubleType()), StructField("idx", LongType()), StructField("text", StringType())]
+SLICE = 256  # queries that meet a matrix at once
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [key, "similarity", "idx", "text"]
-        entries = sorted(zip(right.column("idx").to_pylist(), right.column("text").to_pylist(), right.column("embedding").to_pylist()), key=lambda e: (e[0], e[1] is not None, e[1]))
-        parts = [pa.record_batch(_top(b, key, *_matrix(entries)), names=names) for b in left.combine_chunks().to_batches(2_000)]
-        empty = [left.column(key).combine_chunks().slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64()), pa.array([], pa.string())]
-        return pa.Table.from_batches(parts) if parts else pa.table(dict(zip(names, empty)))
 
-    tops = q.groupBy("q_block", "m_block").cogroup(m.groupBy("q_block", "m_block")).applyInArrow(meet, schema)
-    best = tops.groupBy(key).agg(F.max_by(F.struct("similarity", "idx", "text"), F.struct("similarity", -F.col("idx"))).alias("top"))
-    return best.select(key, "top.*")
+@dataclass
+class Index:
+    """Pivots (a row each), the least and greatest distance of an entry from each, its number of blocks, and their folder."""
+
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    blocks: np.ndarray
+    folder: str
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """How near to each of some unit vectors an entry of each pivot can be, by the triangle inequality."""
+        d = np.sqrt(np.maximum(2 - 2 * (v @ self.pivots.T), 0))
+        return np.maximum(np.maximum(d - self.high, self.low - d), 0)
+
+
+def _unit(vectors: list) -> np.ndarray:
+    v = np.array(vectors, np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def _file(folder: str, pivot: int, block: int) -> str:
+    return f"{folder}/pivot-{pivot:05d}-{block:06d}.arrow"
+
+
+def _file_system(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@?&=+,"))
+
+
+def build_index(memory: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = 1_024) -> Index:
+    """Entries by their nearest pivot, in blocks of about block_rows in the shared folder.
+
+    Pivots are entries picked by a hash, at most max_pivots, so what the driver and the tasks hold of the index is bounded. Of
+    entries with equal vectors only the smallest idx can be an answer and is kept, so copies fill no block."""
+    spark = memory.sparkSession
+    best = memory.select("embedding", F.struct("idx", "text").alias("e")).groupBy("embedding").agg(F.min("e").alias("e"))
+    rows = cut(best.select("e.idx", "e.text", "embedding"))
+    n = rows.count()
+    k = max(1, min(max_pivots, 4 * -(-n // block_rows)))
+    pivots = _unit([r.embedding for r in rows.select("idx", "embedding").orderBy(F.xxhash64("idx"), "idx").limit(k).collect()])
+    sent, folder = spark.sparkContext.broadcast(pivots), shared_path(spark, "memory-index")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)):
+                near = _unit(b.column("embedding").to_pylist()) @ sent.value.T
+                at = near.argmax(1)
+                d = np.sqrt(np.maximum(2 - 2 * near[np.arange(len(b)), at], 0))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(d)], ["idx", "text", "embedding", "pivot", "d"])
+
+    dealt = cut(rows.mapInArrow(assign, "idx long, text string, embedding array<double>, pivot int, d double"))
+    sums = dealt.groupBy("pivot").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n")).collect()  # a row a pivot
+    index = Index(pivots, np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k, np.int64), folder)
+    for r in sums:
+        index.low[r.pivot], index.high[r.pivot], index.blocks[r.pivot] = r.low, r.high, -(-r.n // block_rows)
+    of_pivot = F.array(*[F.lit(int(x)) for x in index.blocks])
+    blocks = dealt.withColumn("block", F.pmod(F.xxhash64("idx"), F.element_at(of_pivot, F.col("pivot") + 1)))
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("idx", "ascending")])
+        pivot, block = t.column("pivot")[0].as_py(), t.column("block")[0].as_py()
+        system, path = _file_system(_file(folder, pivot, block))
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(part) as out, pa.ipc.new_file(out, t.select(["idx", "text", "embedding"]).schema) as w:
+            w.write_table(t.select(["idx", "text", "embedding"]))
+        system.move(part, path)  # a repeated attempt replaces it whole
+        return pa.table({"pivot": pa.array([pivot], pa.int32()), "n": pa.array([len(t)], pa.int64())})
+
+    blocks.groupBy("pivot", "block").applyInArrow(write, "pivot int, n long").agg(F.sum("n")).collect()
+    return index
+
+
+def _read_block(folder: str, pivot: int, block: int) -> tuple[np.ndarray, np.ndarray, list]:
+    system, path = _file_system(_file(folder, pivot, block))
+    with system.open_input_file(path) as f:
+        t = pa.ipc.open_file(f).read_all()
+    return np.array(t.column("embedding").to_pylist(), np.float64), t.column("idx").to_numpy(), t.column("text").to_pylist()
+
+
+def search(queries: DataFrame, index: Index, key: str = "id", per_task: int = 50_000) -> DataFrame:
+    """key, similarity, idx, text and visited (the number of pivots whose blocks were read) of every query.
+
+    Round by round a query visits its next pivots in order of their bounds, 1, 4, 16 and so on, and stops when the next bound
+    is beyond the best distance so far. Queries meet blocks by (pivot, block) and a hash of the query, so that pivots which
+    many visit are many tasks; a task holds one block and SLICE queries at a time."""
+    sent = queries.sparkSession.sparkContext.broadcast(index)
+    asked = queries.select(key, F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("visited"))
+    result = [key, "similarity", "idx", "text", "visited"]
+    found = asked.filter("embedding is null").select(result)
+    open_ = cut(asked.filter("embedding is not null").withColumn("q_row", F.monotonically_increasing_id()))  # keys may recur, rows don't
+    salts = max(1, -(-open_.count() // per_task))
+    plan = StructType([*open_.schema.fields, StructField("next", ArrayType(IntegerType()))])
+
+    def planner(step: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = sent.value
+            for batch in batches:
+                for b in (batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)):
+                    if not len(b):
+                        continue
+                    bounds = x.bounds(_unit(b.column("embedding").to_pylist()))
+                    order = np.lexsort((np.broadcast_to(np.arange(bounds.shape[1]), bounds.shape), bounds), axis=1)
+                    best, seen = b.column("similarity").to_pylist(), b.column("visited").to_pylist()
+                    nexts = []
+                    for i, (s, v) in enumerate(zip(best, seen)):
+                        most = np.inf if s is None else np.sqrt(max(2 - 2 * s, 0)) + 2e-6  # a tie in 12 digits may lie as far
+                        some = order[i, v : v + step]
+                        nexts.append([int(p) for p in some if bounds[i, p] <= most and x.blocks[p]])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nexts, pa.list_(pa.int32()))], [*b.schema.names, "next"])
+
+        return work
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        for b in batches:
+            places = np.stack([b.column("pivot").to_numpy(), b.column("block").to_numpy()], 1)
+            edges = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1).tolist(), len(b)]
+            for i, j in zip(edges, edges[1:]):
+                if j > i:
+                    if (at := tuple(places[i].tolist())) != now:
+                        now, block = at, _read_block(sent.value.folder, *at)
+                    for k in range(i, j, SLICE):
+                        yield pa.RecordBatch.from_arrays(_top(b.slice(k, min(SLICE, j - k)), "q_row", *block), ["q_row", "similarity", "idx", "text"])
+
+    step = 1
+    while True:
+        planned = cut(open_.mapInArrow(planner(step), plan))
+        found, going = found.unionByName(planned.filter("size(next) = 0").select(result)), planned.filter("size(next) > 0")
+        if going.isEmpty():
+            return found
+        counts = F.array(*[F.lit(int(x)) for x in index.blocks])
+        visits = going.select("q_row", "embedding", F.explode("next").alias("pivot")).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(counts, F.col("pivot") + 1) - 1)))
+        dealt = visits.repartition("pivot", "block", F.pmod(F.xxhash64("q_row"), F.lit(salts))).sortWithinPartitions("pivot", "block")
+        tops = dealt.mapInArrow(visit, StructType([StructField("q_row", LongType()), *_FOUND]))
+        best = tops.groupBy("q_row").agg(F.max_by(F.struct("similarity", "idx", "text"), F.struct("similarity", -F.col("idx"))).alias("top"))
+        better = F.col("similarity").isNull() | (F.struct(F.col("top.similarity"), -F.col("top.idx")) > F.struct("similarity", -F.col("idx")))
+        met = going.join(best, "q_row").withColumn("now", F.when(better, F.col("top")).otherwise(F.struct("similarity", "idx", "text")))
+        open_ = cut(met.select(key, "embedding", "now.similarity", "now.idx", "now.text", (F.col("visited") + F.size("next")).alias("visited"), "q_row"))
+        step *= 4
 
 
 def _matrix(entries: list) -> tuple[np.ndarray, np.ndarray, list]:
@@ -68,9 +200,7 @@ def _top(b: pa.RecordBatch, key: str, matrix: np.ndarray, idx: np.ndarray, texts
     have = [i for i, v in enumerate(vectors) if v is not None and len(idx)]
     similarity, at = np.zeros(len(b)), np.full(len(b), -1)
     if have:
-        v = np.array([vectors[i] for i in have], np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        scores = np.round(v @ matrix.T, 12)
+        scores = np.round(_unit([vectors[i] for i in have]) @ matrix.T, 12)
         at[have] = scores.argmax(1)
         similarity[have] = scores.max(1)
     found = at >= 0
@@ -81,8 +211,9 @@ def _best_of(spark: SparkSession, entries: list, key: str):
     sent = spark.sparkContext.broadcast(_matrix(entries))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(_top(b, key, *sent.value), [key, "similarity", "idx", "text"])
+        for batch in batches:
+            for b in (batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)):
+                yield pa.RecordBatch.from_arrays(_top(b, key, *sent.value), [key, "similarity", "idx", "text"])
 
     return work
 
