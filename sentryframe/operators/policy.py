@@ -86,6 +86,38 @@ def authorize_steps(calls: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def resource_index(policies: DataFrame) -> DataFrame:
+    """role, tool_name, prefix, regex: every pattern of the first entry of each tool, by what stands before its first wildcard."""
+    flat = policies.select("role", F.posexplode("tools").alias("pos", "tool"))
+    first = flat.groupBy("role", F.col("tool.name").alias("tool_name")).agg(F.min_by("tool", "pos").alias("tool"))
+    patterns = first.select("role", "tool_name", F.explode("tool.resource_patterns").alias("pattern")).distinct()
+    return patterns.select("role", "tool_name", F.regexp_extract("pattern", r"^[^*?]*", 0).alias("prefix"), glob_regex(F.col("pattern")).alias("regex"))
+
+
+def match_resources(calls: DataFrame, index: DataFrame) -> DataFrame:
+    """role, tool_name, resource: the distinct ones of calls that some pattern of their tool matches.
+
+    A resource meets patterns by equal joins on the prefixes that have the lengths its tool's patterns begin with; only
+    these candidates are matched. So a tool may have any number of patterns, of which those that begin with a wildcard meet
+    every resource."""
+    lengths = index.groupBy("role", "tool_name").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    asked = calls.filter("resource is not null").select("role", "tool_name", "resource").distinct().join(lengths, ["role", "tool_name"])
+    fits = F.filter("lengths", lambda n: n <= F.length("resource"))
+    keyed = asked.select("role", "tool_name", "resource", F.explode(fits).alias("n")).withColumn("prefix", F.expr("substring(resource, 1, n)"))
+    met = keyed.join(index, ["role", "tool_name", "prefix"]).filter(F.rlike("resource", F.col("regex")))
+    return met.select("role", "tool_name", "resource").distinct()
+
+
+def resources_ok(calls: DataFrame, policies: DataFrame) -> DataFrame:
+    """Adds resource_ok as authorize_steps does, through the index of patterns."""
+    role_tool = ["role", "tool_name"]
+    has, ok = unused(calls, "has_tool", "matched")
+    tools = policies.select("role", F.explode("tools.name").alias("tool_name")).distinct().withColumn(has, F.lit(True))
+    matched = match_resources(calls, resource_index(policies)).withColumn(ok, F.lit(True))
+    out = calls.join(tools, role_tool, "left").join(matched, [*role_tool, "resource"], "left")
+    return out.withColumn("resource_ok", F.col(has).isNotNull() & (F.col("resource").isNull() | F.col(ok).isNotNull())).select(*calls.columns, "resource_ok")
+
+
 def _tokens(credentials: DataFrame, already: DataFrame | None = None) -> DataFrame:
     """token, parent, issued and was (when it was revoked before, or null) of every token with a time of issue."""
     rows = credentials.filter("issued_at is not null").select(F.col("token_id").alias("token"), F.col("derived_from").alias("parent"), F.col("issued_at").alias("issued"))

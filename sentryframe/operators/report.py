@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.decisions import decide
 from .detector import score_with
+from .ranges import with_slots
 
 
 def metrics(df: DataFrame, by: tuple[str, ...] = ("method",), threshold: float = 0.5) -> DataFrame:
@@ -47,14 +48,13 @@ def memory_tally(df: DataFrame) -> DataFrame:
 def latency(df: DataFrame, by: str = "label", value: str = "ms", percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """n, mean, min, max and nearest-rank percentiles: the value at index min(n-1, round_half_even(p/100*(n-1)))."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    # distinct values, then running counts in two levels: within 256 ranges of the values and over the ranges' totals
-    values = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(counts), by)
-    place = F.when(F.col("max") > F.col("min"), F.least(F.lit(255), F.floor((F.col(value) - F.col("min")) / (F.col("max") - F.col("min")) * 256))).otherwise(0)
-    values = values.withColumn("slot", place.cast("int"))
+    # distinct values, then running counts in two levels: within ranges of about equal numbers and over the ranges' totals
+    values = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("m"))
+    values = with_slots(values, (by,), value)
     inside = values.withColumn("inside", F.sum("m").over(Window.partitionBy(by, "slot").orderBy(value)))
     slots = values.groupBy(by, "slot").agg(F.sum("m").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy(by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = inside.join(slots.select(by, "slot", before.alias("before")), [by, "slot"]).withColumn("upto", F.col("before") + F.col("inside"))
+    ranked = inside.join(slots.select(by, "slot", before.alias("before")), [by, "slot"]).withColumn("upto", F.col("before") + F.col("inside")).join(counts, by)
     index = lambda p: F.least(F.col("n") - 1, F.bround(F.lit(p / 100) * (F.col("n") - 1)))
     here = lambda p: (index(p) < F.col("upto")) & (index(p) >= F.col("upto") - F.col("m"))
     picks = [F.max(F.when(here(p), F.col(value))).alias(f"p{p}") for p in percents]

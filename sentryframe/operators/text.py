@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..checkpoints import local_table
 from ..config import ROLE_DEFAULT_CALL
 from ..functions.decisions import role_of
+from .ranges import with_slots
 
 
 def tokens(df: DataFrame, max_length: int = 256) -> DataFrame:
@@ -64,11 +65,11 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, by: tuple[str, ...] =
 def roc_auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve with ties; null if a class is missing.
 
-    Rows become one per distinct score. Running sums are two-level: within 256 score ranges and over the ranges' totals, so
-    no task sorts all scores."""
+    Rows become one per distinct score. Running sums are two-level: within score ranges of about equal numbers and over the
+    ranges' totals, so no task sorts all scores, however they crowd."""
     keys = [*by, "slot"]
     scores = df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    scores = scores.withColumn("slot", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("score") * 256))).cast("int"))
+    scores = with_slots(scores, by, "score")
     run = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     inside = scores.withColumn("below_in", F.coalesce(F.sum("q").over(run), F.lit(0)))
     slots = inside.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("below_in") + F.col("q") / 2)).alias("wins"))

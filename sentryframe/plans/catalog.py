@@ -170,6 +170,12 @@ def e2_resource_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.authorize_steps(_calls(spark, sf_dir), tables.default_policies(spark)).select("call_id", "resource_ok")
 
 
+@query(ORACLE_SQL["e2_resource_match"])
+def e2_resource_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of patterns by what stands before their first wildcard."""
+    return policy.resources_ok(_calls(spark, sf_dir), tables.default_policies(spark)).select("call_id", "resource_ok")
+
+
 @query(f"WITH {AUTHORIZED} SELECT c.call_id, p.tool_name IS NOT NULL AND (p.c_field IS NULL OR (coalesce(c.field, '') = p.c_field AND coalesce(c.amount <= p.c_max, FALSE))) AS conditions_ok FROM calls c LEFT JOIN perms p ON c.role = p.role AND c.tool_name = p.tool_name")
 def e3_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.authorize_steps(_calls(spark, sf_dir), tables.default_policies(spark)).select("call_id", "conditions_ok")
@@ -791,6 +797,31 @@ def d4_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.evaluate(model, s.filter("split = 'test'"))
 
 
+def _newton_sql(steps: int = 12, ridge: float = 1e-3) -> str:
+    """Newton's method for three weights, with the linear system solved by Cramer's rule."""
+    det = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))"
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    moved = [[["g" + str(i) if j == k else h[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    p = "(1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))))"
+    x = ["1", "x1", "x2"]
+    sums = ", ".join([f"avg(({p} - y) * {x[i]}) + {ridge} * w{i} AS g{i}" for i in range(3)] + [f"avg({p} * (1 - {p}) * {x[i]} * {x[j]}) + {ridge if i == j else 0} AS h{i}{j}" for i in range(3) for j in range(i, 3)])
+    step = ", ".join(f"w{k} - {det(moved[k])} / {det(h)}" for k in range(3))
+    return f"""WITH RECURSIVE {PROMPTS}, x AS (SELECT label::DOUBLE AS y, ln(1 + length(text)) / 10 AS x1, score AS x2 FROM prompts),
+w(n, w0, w1, w2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT n + 1, {step} FROM (SELECT n, w0, w1, w2, {sums} FROM w, x WHERE n < {steps} GROUP BY n, w0, w1, w2))
+SELECT k AS feature, round([w0, w1, w2][k + 1], 6) AS weight FROM w, range(3) t(k) WHERE n = {steps}"""
+
+
+@query(_newton_sql())
+def d4_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector's weights (constant, logarithm of the length, a given score) fitted by Newton steps over all labelled prompts."""
+    from ..operators import detector
+
+    p = views.prompts(spark, sf_dir)
+    rows = p.select("label", F.array(F.lit(1.0), F.log(1 + F.length("text")) / 10, "score").alias("features"))
+    w, _ = detector.fit_newton(rows)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(w)], "feature long, weight double")
+
+
 @query(f"WITH {AUTHORIZED}, sig AS (SELECT *, violation <> 'none' AS oos, greatest(0.0, least(1.0, {_W['injection']!r}::DOUBLE * injection + {_W['behavior']!r}::DOUBLE * ((role, tool_name) NOT IN ({_USUAL}))::INT + {_W['privilege']!r}::DOUBLE * (violation <> 'none')::INT)) AS b FROM decided) SELECT call_id, round(b, 6) AS blended, {_decide_sql('b', 'injection')} AS action FROM sig")
 def k1_online_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.score_stream(_calls(spark, sf_dir), tables.default_policies(spark)).select("call_id", r6("blended").alias("blended"), "action")

@@ -45,3 +45,57 @@ def test_copies_and_ties(spark):
     assert one[0] == (1.0, "t597") and memory.build_index(m, 50).blocks.sum() < 40
     assert memory.nearest(asked.limit(0), m, block_rows=50).count() == 0
     assert memory.nearest(asked.withColumn("embedding", F.lit(None).cast("array<double>")), m, block_rows=50).agg(F.max("similarity")).first()[0] == 0.0
+
+
+# ---- value ranges, glob index, Newton steps ----
+def test_slots_share_crowded_values(spark):
+    """All values within a millionth of 1.0 are still spread, in order, and the AUC is that of plain counting."""
+    from sentryframe.operators.ranges import with_slots
+    from sentryframe.operators.text import roc_auc
+
+    n = 4_000
+    rows = spark.range(n).select((1 - F.col("id") * 2.5e-10).alias("score"), (F.xxhash64("id") % 3 == 0).cast("int").alias("label"), F.when(F.col("id") % 2 == 0, "a").alias("g"))
+    got = with_slots(rows, (), "score").groupBy("slot").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("slot").collect()
+    assert len(got) == 128 and max(r.n for r in got) < 2 * n / 128
+    assert all(x.high < y.low for x, y in zip(got, got[1:]))
+    by = with_slots(rows, ("g",), "score")
+    assert by.count() == n and by.columns == ["score", "label", "g", "slot"] and by.groupBy("g", "slot").count().count() > 200
+    data = [(r.score, r.label) for r in rows.collect()]
+    pos, neg = np.array([s for s, y in data if y == 1]), np.sort([s for s, y in data if y != 1])
+    wins = np.searchsorted(neg, pos, "left") + (np.searchsorted(neg, pos, "right") - np.searchsorted(neg, pos, "left")) / 2
+    assert roc_auc(rows).first().auc == round(wins.sum() / (len(pos) * len(neg)), 6)
+
+
+def test_resource_index_equals_all_patterns(spark):
+    """Thousands of patterns of one tool: literal ones, wildcards at any place, none at all."""
+    import fnmatch
+    import random
+
+    from sentryframe.operators import policy
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("ab/.", k=rng.randrange(1, 6)))
+    patterns = sorted({word() + rng.choice(["", "*", "?", "*" + word(), "**/" + word()]) for _ in range(3_000)}) + ["*zz"]
+    ddl = "role string, tools array<struct<name:string, resource_patterns:array<string>>>"
+    policies = spark.createDataFrame([("r", [("t", patterns), ("none", [])])], ddl)
+    calls = [(i, "r", rng.choice(["t", "none", "unknown"]), rng.choice([None, word() + word(), "azz"])) for i in range(400)]
+    got = {r.call_id: r.resource_ok for r in policy.resources_ok(spark.createDataFrame(calls, "call_id long, role string, tool_name string, resource string"), policies).collect()}
+    want = {i: t != "unknown" and (r is None or t == "t" and any(fnmatch.fnmatchcase(r, p) for p in patterns)) for i, _, t, r in calls}
+    assert got == want and set(want.values()) == {True, False}
+
+
+def test_newton_equals_plain_steps(spark):
+    from sentryframe.operators import detector
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones((500, 1)), rng.standard_normal((500, 4))], 1)
+    y = (x @ [0.3, 1, -2, 0, 0.5] + rng.standard_normal(500) > 0).astype(float)
+    rows = [(float(a), b.tolist()) for a, b in zip(y, x)] + [(None, [1.0] * 5), (1.0, None), (1.0, [None] * 5)]
+    w, steps = detector.fit_newton(spark.createDataFrame(rows, "label double, features array<double>").repartition(70), ridge=0.01)
+    v = np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 500 + 0.01 * np.eye(5), x.T @ (p - y) / 500 + 0.01 * v)
+    assert np.abs(w - v).max() < 1e-6 and steps < 15
+    none, _ = detector.fit_newton(spark.createDataFrame([], "label double, features array<double>"))
+    assert len(none) == 0
