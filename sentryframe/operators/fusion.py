@@ -37,7 +37,8 @@ def methods(df: DataFrame, config: FusionConfig = FusionConfig(), threshold: flo
     wide = df.withColumn("framework", decide(F.col("risk"), F.col("out_of_scope"), config=config))
     wide = wide.withColumn("detection_only", F.when(F.col("risk") >= threshold, "block").otherwise("allow"))
     wide = wide.withColumn("privilege_only", F.when(F.col("out_of_scope"), "block").otherwise("allow"))
-    return wide.unpivot(list(df.columns), ["framework", "detection_only", "privilege_only"], "method", "action")
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("action")) for m in ("framework", "detection_only", "privilege_only")])
+    return wide.select(*df.columns, F.inline(each))  # compiles as one stage, which unpivot does not
 
 
 def matrix(df: DataFrame, config: FusionConfig = FusionConfig(), weights: RiskWeights = RiskWeights()) -> DataFrame:

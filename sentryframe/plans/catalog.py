@@ -875,9 +875,9 @@ def k2_domain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CALLS} SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS day, round(avg((injection > 0.7)::INT), 6) AS flag_rate, count(*) AS n FROM calls GROUP BY session_id, date_trunc('day', ts)")
 def k3_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flag rates per session and day from a stream over the events, with a watermark that no row of the table misses."""
-    calls = views.tool_calls(spark, sf_dir, stream=True).select("session_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("injection") > 0.7).cast("int").alias("flagged"))
-    done = online.run_to_table(online.windowed_flag_rate(calls, late="3650 days"), ("window", "session_id"), "n")
+    """Flag rates per session and day from a stream out of order; each is written once the watermark, a day behind, has passed its day."""
+    calls = _calls(spark, sf_dir).select("call_id", "session_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("injection") > 0.7).cast("int").alias("flagged"))
+    done = online.run_to_table(online.windowed_flag_rate(views.replayed(calls, 5), late="1 day"), mode="append")
     return done.select("session_id", F.col("window.start").cast("timestamp_ntz").alias("day"), r6("flag_rate").alias("flag_rate"), "n")
 
 
