@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +16,16 @@ POLICY_DIR = Path(__file__).resolve().parent.parent / "data" / "policies"
 CSV = "text string, label string, attack_type string, source_dataset string, split string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_first(spark: SparkSession, paths: list[str], schema: str = CORPUS, fmt: str = "parquet") -> DataFrame:
-    """The first path that exists, with the schema; an empty table of that schema if none does."""
-    for p in paths:
-        try:
-            df = spark.read.format(fmt).schema(schema).load(p)
-            df.schema  # resolves the path
-            return df
-        except AnalysisException:
-            continue
-    return spark.createDataFrame([], schema)
+    """The first path that exists, with the schema; an empty table of that schema if none does. A path that can't be read is an error."""
+    found = next((p for p in paths if exists(spark, p)), None)
+    return spark.createDataFrame([], schema) if found is None else spark.read.format(fmt).schema(schema).load(found)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,12 +36,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """The Parquet table at path; built and written first if it is not there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The Parquet table at path; built and written first if it is not there, or not whole (a write that ended leaves _SUCCESS)."""
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:

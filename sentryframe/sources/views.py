@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files. As a pattern, the path may also be one file."""
-    path = f"{sf_dir}/{name}.parquet"
+    """A table as a stream of its files. As a pattern, the path may also be one file; pattern characters in it are meant as such."""
+    path = re.sub(r"([\\{}\[\]*?])", r"\\\1", f"{sf_dir}/{name}.parquet")
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 

@@ -58,6 +58,23 @@ def test_idle_sessions_lose_their_state(spark):
     assert got == {0: False, 1: True, 2: False, 3: False}  # 40, 80 over the cap of 60, then 40 twice anew; call 4 came too late
 
 
+def test_state_does_not_grow_with_age(spark):
+    """Sessions come and go over a long time; the state of those that are silent goes, so its size stays."""
+    path, schema = shared_path(spark, "long"), spark.createDataFrame([], CALLS).schema
+    for k in range(8):
+        rows = [(k * 20 + i, AT(k * 50_000 + i * 100), f"s{k}-{i % 10}", "email_agent", "send_email", "a@x", {}, 0.1, 1) for i in range(20)]
+        spark.createDataFrame(rows, CALLS).coalesce(1).write.mode("append").parquet(path)
+    calls = ordered.trust.tagged(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    ready = ordered._signals(ordered.with_event_time(calls, "1 minute"), tables.default_policies(spark), SandboxCaps())
+    stream = ordered.in_order(ready, ("session_id",), ordered.SessionProcessor(SandboxCaps(), 0.7, flag_seconds=600, idle=20_000))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    q = stream.writeStream.format("noop").option("checkpointLocation", shared_path(spark, "long-checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes[len(sizes) // 2 :]) <= max(sizes[: len(sizes) // 2]) and sizes[-1] < 3 * max(sizes) / 2
+
+
 def test_trigger_buffer_over_a_restart(spark):
     """Any split into batches and a stopped query give the triggers of the batch form, each once."""
     rows = [(i % 3, i) for i in range(200)]

@@ -18,6 +18,11 @@ def test_csv_and_fallbacks(spark, tmp_path):
     assert tables.read_first(spark, [str(tmp_path / "no"), str(tmp_path / "none")]).count() == 0
     built = tables.cached(spark, str(tmp_path / "cache"), lambda: spark.range(3))
     assert built.count() == 3 and tables.cached(spark, str(tmp_path / "cache"), lambda: 1 / 0).count() == 3
+    (tmp_path / "cache" / "_SUCCESS").unlink()  # as a write that broke off leaves it
+    assert tables.cached(spark, str(tmp_path / "cache"), lambda: spark.range(5)).count() == 5
+    (tmp_path / "bad").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        tables.read_first(spark, [str(tmp_path / "bad"), str(p)]).collect()
 
 
 def test_policies_from_files(spark, tmp_path):
