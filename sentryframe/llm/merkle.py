@@ -74,8 +74,13 @@ def _runs(nodes: DataFrame, fanout: int, carried: Sequence[str]) -> DataFrame:
     return nodes.groupBy("grp", F.floor(F.col("idx") / fanout).alias("up")).agg(F.max("n").alias("n"), *slots)
 
 
-def _hashes(ks) -> Column:
-    return F.concat_ws("", *[F.col(f"s{k}.hash") for k in ks]) if len(ks) else F.lit("")
+def _children(fanout: int) -> Column:
+    """The slot columns of a run from left to right; the last run of a group has fewer."""
+    return F.array_compact(F.array(*[F.col(f"s{k}") for k in range(fanout)]))
+
+
+def _joined(children: Column) -> Column:
+    return F.array_join(F.transform(children, lambda c: c["hash"]), "")
 
 
 def build(nodes: DataFrame, fanout: int, carried: Sequence[str] = ()) -> tuple[list[DataFrame], DataFrame]:
@@ -87,7 +92,7 @@ def build(nodes: DataFrame, fanout: int, carried: Sequence[str] = ()) -> tuple[l
     while most > 1:
         runs = table(_runs(nodes.filter("n > 1"), fanout, carried if not levels else ()), "runs")
         done.append(nodes.filter("n = 1").select("grp", F.col("hash").alias("root")))
-        parent = F.sha2(_hashes(range(fanout)), 256)
+        parent = F.sha2(_joined(_children(fanout)), 256)
         nodes = runs.select("grp", F.col("up").alias("idx"), F.ceil(F.col("n") / fanout).alias("n"), parent.alias("hash"))
         levels.append(runs)
         most = -(-most // fanout)
@@ -102,17 +107,17 @@ def prove(levels: list[DataFrame], roots: DataFrame, fanout: int, carried: Seque
 
     A level's last run of its group hangs under the root; any other under a node of the level above."""
     more = [c for c in roots.columns if c not in ("grp", "proof")]
-    pairs = [F.struct(_hashes(range(i)).alias("before"), _hashes(range(i + 1, fanout)).alias("after")) for i in range(fanout)]
-    child = [F.when(F.col(f"s{i}").isNotNull(), F.struct(F.lit(i).alias("slot"), F.col(f"s{i}").alias("s"), pairs[i].alias("pair"))) for i in range(fanout)]
     nodes = None
     for k in range(len(levels) - 1, -1, -1):
         last = F.col("n") <= fanout
         met = levels[k].filter(last).join(roots, "grp")
         if nodes is not None:
             met = met.unionByName(levels[k].filter(~last).join(nodes, ["grp", "up"]))
-        each = met.select("grp", "up", "proof", *more, F.explode(F.array_compact(F.array(*child))).alias("c"))
-        below = [F.col(f"c.s.{c}").alias(c) for c in ("hash", *carried)] if k == 0 else [(F.col("up") * fanout + F.col("c.slot")).alias("up")]
-        nodes = each.select("grp", *below, F.concat(F.array("c.pair"), "proof").alias("proof"), *more)
+        each = met.withColumn("children", _children(fanout)).select("grp", "up", "proof", *more, "children", F.posexplode("children").alias("slot", "child"))
+        below = [F.col(f"child.{c}").alias(c) for c in ("hash", *carried)] if k == 0 else [(F.col("up") * fanout + F.col("slot")).alias("up")]
+        left, right = F.slice("children", F.lit(1), F.col("slot")), F.slice("children", F.col("slot") + 2, F.lit(fanout))
+        pair = F.struct(_joined(left).alias("before"), _joined(right).alias("after"))
+        nodes = each.select("grp", *below, F.concat(F.array(pair), "proof").alias("proof"), *more)
     return nodes
 
 
