@@ -769,6 +769,53 @@ def j13_retrain_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.retrain_cycle(_split(spark, sf_dir), new, versions, _share_of_positives, _judge, stored)
 
 
+def _newton_sql(source: str, steps: int = 12, ridge: float = 1e-3) -> str:
+    """Tables x (y, x1, x2) of the source's text and label, and w: Newton's steps for three weights, each system solved by Cramer's rule."""
+    det = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))"
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    moved = [[["g" + str(i) if j == k else h[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    p, x = "(1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))))", ["1", "x1", "x2"]
+    sums = ", ".join([f"avg(({p} - y) * {x[i]}) + {ridge} * w{i} AS g{i}" for i in range(3)] + [f"avg({p} * (1 - {p}) * {x[i]} * {x[j]}) + {ridge if i == j else 0} AS h{i}{j}" for i in range(3) for j in range(i, 3)])
+    step = ", ".join(f"w{k} - {det(moved[k])} / {det(h)}" for k in range(3))
+    return f"""x AS MATERIALIZED (SELECT label::DOUBLE AS y, ln(1 + length(text)) / 10 AS x1, {score_of("text")} AS x2 FROM {source}),
+w(n, w0, w1, w2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT n + 1, {step} FROM (SELECT n, w0, w1, w2, {sums} FROM w, x WHERE n < {steps} GROUP BY n, w0, w1, w2)),
+fit AS (SELECT w0, w1, w2 FROM w WHERE n = {steps})"""
+
+
+def _features(df: DataFrame) -> DataFrame:
+    """A constant, the logarithm of the text's length, and a given score."""
+    return df.withColumn("features", F.array(F.lit(1.0), F.log(1 + F.length("text")) / 10, D.pseudo_score(F.col("text"))))
+
+
+def _newton_fit(train: DataFrame, val: DataFrame):
+    from ..operators import detector
+
+    return detector.fit_newton(_features(train))[0]
+
+
+def _newton_judge(w, test: DataFrame) -> DataFrame:
+    rows = _features(test).withColumn("z", sum(F.col("features")[k] * F.lit(float(v)) for k, v in enumerate(w)))
+    return text.binary_metrics(rows.withColumn("score", 1 / (1 + F.exp(-F.col("z")))))
+
+
+def _with_newton(sql: str) -> str:
+    """The cycle's SQL with a model fitted by Newton steps in place of the share of positives."""
+    a, b = sql.index("fitted AS ("), sql.index("judged AS (")
+    c = sql.index("\nc AS (")
+    drawn = "(SELECT * FROM drawn WHERE r > CASE WHEN n > 1 THEN greatest(1, floor(n * 0.1)) ELSE 0 END)"
+    judged = f"judged AS (SELECT label, 1 / (1 + exp(-(w0 + w1 * ln(1 + length(text)) / 10 + w2 * {score_of('text')}))) >= 0.5 AS flagged FROM once, fit WHERE role = 'test'),"
+    return (sql[:a] + _newton_sql(drawn) + ",\n" + judged + sql[c:]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_with_newton(ORACLE_SQL["j13_retrain_cycle"]))
+def j13_newton_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cycle with a detector that is really fitted on the new training set."""
+    new = views.read(spark, sf_dir, "conversations").filter("text is not null").select((F.lit(1000000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    versions = spark.createDataFrame([("detector", "v1", {"f1": 0.05}, "promoted"), ("detector", "v2", {"f1": 0.1}, "promoted")], "model string, version string, metrics map<string,double>, status string")
+    path = shared_path(spark, "retraining-set")
+    return registry.retrain_cycle(_split(spark, sf_dir), new, versions, _newton_fit, _newton_judge, lambda df: tables.cached(spark, path, lambda: df))
+
+
 @query(f"WITH e AS (SELECT text FROM conversations WHERE text IS NOT NULL), s AS (SELECT 'v1' AS version, {score_of('text')} AS score FROM e UNION ALL SELECT 'v2', {score_of(repr('second ') + ' || text')} FROM e) SELECT version, count(*) FILTER (score >= 0.5) AS caught, count(*) AS total FROM s GROUP BY version")
 def i7_recheck_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts scored by two versions' scorers."""
@@ -797,28 +844,12 @@ def d4_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.evaluate(model, s.filter("split = 'test'"))
 
 
-def _newton_sql(steps: int = 12, ridge: float = 1e-3) -> str:
-    """Newton's method for three weights, with the linear system solved by Cramer's rule."""
-    det = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))"
-    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
-    moved = [[["g" + str(i) if j == k else h[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
-    p = "(1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))))"
-    x = ["1", "x1", "x2"]
-    sums = ", ".join([f"avg(({p} - y) * {x[i]}) + {ridge} * w{i} AS g{i}" for i in range(3)] + [f"avg({p} * (1 - {p}) * {x[i]} * {x[j]}) + {ridge if i == j else 0} AS h{i}{j}" for i in range(3) for j in range(i, 3)])
-    step = ", ".join(f"w{k} - {det(moved[k])} / {det(h)}" for k in range(3))
-    return f"""WITH RECURSIVE {PROMPTS}, x AS (SELECT label::DOUBLE AS y, ln(1 + length(text)) / 10 AS x1, score AS x2 FROM prompts),
-w(n, w0, w1, w2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT n + 1, {step} FROM (SELECT n, w0, w1, w2, {sums} FROM w, x WHERE n < {steps} GROUP BY n, w0, w1, w2))
-SELECT k AS feature, round([w0, w1, w2][k + 1], 6) AS weight FROM w, range(3) t(k) WHERE n = {steps}"""
-
-
-@query(_newton_sql())
+@query(f"WITH RECURSIVE {PROMPTS}, {_newton_sql('prompts')} SELECT k AS feature, round([w0, w1, w2][k + 1], 6) AS weight FROM fit, range(3) t(k)")
 def d4_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector's weights (constant, logarithm of the length, a given score) fitted by Newton steps over all labelled prompts."""
     from ..operators import detector
 
-    p = views.prompts(spark, sf_dir)
-    rows = p.select("label", F.array(F.lit(1.0), F.log(1 + F.length("text")) / 10, "score").alias("features"))
-    w, _ = detector.fit_newton(rows)
+    w, _ = detector.fit_newton(_features(views.prompts(spark, sf_dir)))
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(w)], "feature long, weight double")
 
 

@@ -218,20 +218,10 @@ def live_decisions(calls: DataFrame, policies: DataFrame, caps: SandboxCaps = Sa
     return trust.gated(fusion.explained(fused, config).withColumn("risk", F.col("injection"))).drop("risk")
 
 
-class _TrustOnly(InOrder):
+class _TrustOnly(TrustAsOf):
     columns = "ts_us long, call_id long, outcome long"
     out = "source_type string, source_id string, ts timestamp, call_id long, trust double"
 
-    def run(self, key, state: dict, rows: list[tuple]) -> list[tuple]:
-        made, now = [], state.get("trust", BASE_TRUST.get(key[0], UNKNOWN_TRUST))
-        for run in _same_time(rows):
-            made += [(r[0], r[1], now) for r in run]
-            for r in run:
-                if r[2] is not None:
-                    now = trust.DECAY * now + (1 - trust.DECAY) * r[2]
-        state["trust"] = now
-        return made
-
 
 def trust_as_of_stream(calls: DataFrame, late: str = "1 day") -> DataFrame:
     """Each call's trust as of its time: source_type, source_id, ts, call_id, trust. calls: those columns and outcome (null: not confirmed).

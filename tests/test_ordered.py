@@ -16,13 +16,6 @@ T0 = dt.datetime(2026, 1, 1)
 AT = lambda s: T0 + dt.timedelta(seconds=s)
 
 
-@pytest.fixture(autouse=True)
-def few_partitions(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
 CALLS = "call_id long, ts timestamp, session_id string, role string, tool_name string, resource string, params map<string,string>, injection double, outcome int"
 
 
