@@ -124,3 +124,14 @@ def test_cascade_of_any_depth_and_a_cycle(spark):
     creds = spark.createDataFrame(rows, "token_id string, derived_from string, issued_at timestamp").coalesce(1)
     got = policy.revoke_cascade(creds, spark.createDataFrame([("t0", t0)], "token_id string, revoked_at timestamp").coalesce(1)).collect()
     assert {r.token_id for r in got} == {f"t{i}" for i in range(70)} and len(got) == 70
+
+
+def test_policies_of_known_size_are_broadcast(spark, sf_dir):
+    """The library's policies are joined by broadcast because Spark knows their size; the calls are not shuffled for them."""
+    from sentryframe.sources import views
+
+    calls = views.tool_calls(spark, sf_dir)
+    plan = lambda p: policy.authorize(calls, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan(tables.default_policies(spark)).count("BroadcastHashJoin") == 2
+    unknown = spark.createDataFrame(tables.default_policies(spark).rdd, tables.default_policies(spark).schema)
+    assert "BroadcastHashJoin" not in plan(unknown)
