@@ -22,12 +22,25 @@ def as_pattern(path: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there and a lost executor costs no rerun."""
     spark = df.sparkSession
+    bounded_memory(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES, ROCKS_MB = 8 << 20, 64
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, which tasks and Python workers hold several of, unless the session has a lower bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m"))
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_memory(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

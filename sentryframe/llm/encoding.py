@@ -61,7 +61,7 @@ def sure_cuts(b: np.ndarray) -> np.ndarray:
 class Encoder:
     """The cache is emptied when it holds max_cached pieces; pieces of over 64 bytes are not kept."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, max_cached: int = 200_000):
+    def __init__(self, path: str, specials_as_text: bool = False, max_cached: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

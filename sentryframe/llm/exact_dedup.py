@@ -21,7 +21,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_pattern, free_name, fresh_path, mark_maybe, maybe_in, sized_broadcast, table
+from .common import ROCKS_MB, as_pattern, free_name, fresh_path, mark_maybe, maybe_in, sized_broadcast, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,7 +70,8 @@ def run_stream(spark: SparkSession, path: str, id_col: str = "doc_id", text_col:
     state = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     out = fresh_path(spark, "dedup-state")
     # without fallocate a store takes the disk it fills, not some MB in advance for its logs
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS, f"{rocks}.allowFAllocate": "false", f"{rocks}.boundedMemoryUsage": "true", f"{rocks}.maxMemoryUsageMB": str(ROCKS_MB)}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
