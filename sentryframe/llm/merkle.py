@@ -126,7 +126,8 @@ def manifest(rows: DataFrame, fanout: int = 8) -> DataFrame:
 
     proof: the hashes to the left and to the right in the leaf's run at each level, up to the root."""
     carried = [c for c in rows.columns if c not in ("grp", "leaf")]
-    leaves = number(rows.withColumnRenamed("leaf", "hash"), ["key", "hash"])
+    rows = table(rows.withColumnRenamed("leaf", "hash"), "leaves")  # narrow: a range partitioning reads its rows twice
+    leaves = number(rows, ["key", "hash"])
     levels, roots = build(leaves, fanout, carried)
     roots = table(roots, "subroots")
     tops = number(roots.select(F.lit("").alias("grp"), F.col("grp").alias("key"), F.col("root").alias("hash")), ["key"])
