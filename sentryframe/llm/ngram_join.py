@@ -44,7 +44,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHash(dict):
     """64-bit hashes of words; keeps at most `most`."""
 
-    most = 300_000
+    most = 100_000
 
     def __missing__(self, w: bytes) -> int:
         import xxhash
