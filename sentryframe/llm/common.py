@@ -28,7 +28,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-ARROW_BYTES, ROCKS_MB = 8 << 20, 64
+ARROW_BYTES = 8 << 20
 
 
 def bounded_memory(spark: SparkSession) -> None:
