@@ -97,7 +97,7 @@ def _first_round(docs: DataFrame, tokenizer_path: str, limit: int, slack: int, e
                 yield from (out.slice(k, 20_000) for k in range(0, len(out), 20_000))
 
         for batch in batches:
-            for b in small_batches(batch, "text", 1_000_000):
+            for b in small_batches(batch, "text", 500_000):
                 ids, at = enc.encode(b.column("text"), end_id)
                 row, number, start, length = cut(at, limit)
                 raw, begin = memoryview(np.ascontiguousarray(ids)).cast("B"), at[row] + start

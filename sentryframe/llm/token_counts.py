@@ -37,7 +37,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, d
         def chunks():
             done = 0
             for batch in batches:
-                for b in small_batches(batch, "text"):
+                for b in small_batches(batch, "text", 500_000):
                     ids, _ = enc.encode(b.column("text"), end_id)
                     if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
                         raise ValueError(f"ids don't fit {dtype}")

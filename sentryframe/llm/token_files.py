@@ -31,7 +31,7 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, done = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in small_batches(batch, "text"):
+            for b in small_batches(batch, "text", 500_000):
                 ids, at = enc.encode(b.column("text"), end_id)
                 n = len(b)
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))

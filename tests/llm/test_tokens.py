@@ -52,6 +52,30 @@ def test_encoder_equals_the_library(plain):
         assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [plain(t) for t in texts[k : k + 700]]
 
 
+def test_encoder_keeps_the_common_pieces_of_an_open_vocabulary():
+    """Rare words are ever new; common ones are encoded once or twice, not again whenever the room is full."""
+    enc, sent, plain_ids = Encoder(PATH, max_cached=1000), [], Encoder._ids
+    enc._ids = lambda text: (sent.append(text), plain_ids(enc, text))[1]
+    common, n = [f"common{i}" for i in range(300)], 40
+    for k in range(n):
+        enc.encode(pa.array([" ".join([*common, *(f"rare{k}x{i}" for i in range(200))])] * 2))
+    words = " ".join(sent).split()
+    assert sum(w.startswith("rare") for w in words) >= 200 * n
+    assert sum(w.startswith("common") for w in words) <= 2 * len(common)
+
+
+def test_encoder_tells_pieces_apart(plain):
+    """Trailing zero bytes, pieces that agree in 32 bytes, the longest kept and the shortest other, a batch beyond the room, no texts."""
+    texts = ["a", "a\0", "a\0\0", " a", " a\0", "x" * 31, "x" * 32, "x" * 33, "x" * 32 + "y", "x" * 32 + "z", "\0", "\0" * 8, "é" * 16, "é" * 17, *(f"w{i} w{i}" for i in range(60))]
+    for most in (1, 8, 1000):
+        enc = Encoder(PATH, max_cached=most)
+        for some in (texts, texts[::-1], [], [None, ""], texts):
+            ids, at = enc.encode(pa.array(some, pa.string()))
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [plain(t) for t in some]
+            ids, at = enc.encode(pa.array(some, pa.string()), None)
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [plain(t)[:-1] for t in some]
+
+
 def test_token_files(spark, docs, plain):
     path = fresh_path(spark, "tokens")
     token_files.write_token_files(docs, path, PATH, page_rows=10)
