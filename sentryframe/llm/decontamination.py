@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, without_ids
-from .encoding import release, small_batches
+from .encoding import released, small_batches
 from .toxicity import words_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -210,7 +210,6 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) ->
     sent = context.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         items = sent.value
         known, n = _Known(items.vocabulary), np.zeros(len(items.grams), np.int64)
         for batch in batches:
@@ -221,7 +220,7 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["gram", "n"])
 
     in_docs = np.zeros(len(items.grams), np.int64)
-    for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # no more rows than grams in the block
+    for r in rows.mapInArrow(released(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # no more rows than grams in the block
         in_docs[r.gram] = r.n
     rare = in_docs <= most
     order = np.argsort(items.of_gram, kind="stable")
@@ -229,7 +228,6 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) ->
     chosen = context.broadcast((rare, (order, first)))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         items, (rare, by_gram) = sent.value, chosen.value
         known = _Known(items.vocabulary)
         for batch in batches:
@@ -242,7 +240,7 @@ def _block_leaks(rows: DataFrame, items: Items, most: int, min_score: float) ->
                         ["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"],
                     )
 
-    leaks = table(rows.mapInArrow(align, PAIR), "leaks")
+    leaks = table(rows.mapInArrow(released(align), PAIR), "leaks")
     chosen.destroy()
     sent.destroy()
     return leaks

@@ -262,6 +262,17 @@ def release() -> None:
     settle()
 
 
+def released(work):
+    """work without the worker's encoders; what it used goes back to the system when it ends, as idle workers stay while the JVM needs memory."""
+
+    def run(batches):
+        release()
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def small_batches(batch: pa.RecordBatch, text: str, max_bytes: int = 2_000_000):
     """Slices of an Arrow batch whose texts have about max_bytes together, so that long texts don't pile up."""
     at = text_bytes(batch.column(text))[1]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_in, table, without_ids
-from .encoding import release, small_batches
+from .encoding import released, small_batches
 
 PARITY_BITS = 2_048
 #: What a chunk keeps of each document: set is the place of its set in the chunk, -1 if the set is empty.
@@ -108,7 +108,6 @@ def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int,
     width = min(48, range_bits + 32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         hashed, part, chunk_no = WordHash(), TaskContext.get().partitionId() << 32, 0
         rows, sets, place = [], [], {}
         held = 0
@@ -118,15 +117,24 @@ def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int,
             if not rows:
                 return
             this = part + chunk_no
-            of = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
-            both = np.sort(((np.concatenate(sets) >> np.uint64(64 - width)) << np.uint64(16)) | of) if sets else of
-            token = both >> np.uint64(16)
+            # in place: each array of a chunk's shingles is 8 MB
+            token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            token >>= np.uint64(64 - width)
+            token <<= np.uint64(16)
+            token |= np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            token.sort()
+            owner = token.astype("<u2")
+            token >>= np.uint64(16)
             new = np.append(True, token[1:] != token[:-1])[: len(token)]
             begins = np.flatnonzero(new)
-            value, times = token[begins], np.minimum(np.diff(np.append(begins, len(token))), 255).astype(np.uint8)
-            ranges, rest = (value >> np.uint64(width - range_bits)).astype(np.int64), (value & np.uint64((1 << (width - range_bits)) - 1)).astype("<u4")
+            times = np.minimum(np.diff(begins, append=len(token)), 255).astype(np.uint8)
+            value = token[begins]
+            del token, begins
+            rest = (value & np.uint64((1 << (width - range_bits)) - 1)).astype("<u4")
+            value >>= np.uint64(width - range_bits)
+            ranges = value.view(np.int64)
             edges = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(ranges)]), len(ranges))
-            m, docs, owner = len(edges) - 1, np.array(rows, DOC), (both & np.uint64(0xFFFF)).astype("<u2")
+            m, docs = len(edges) - 1, np.array(rows, DOC)
             # in pieces, as the JVM copes better with many small values than with a few of some MB
             n = max(-(-len(owner) // 131_072), -(-len(docs) // 4_000), -(-len(sets) // 1_000))
             data = [*(owner[131_072 * p : 131_072 * (p + 1)].tobytes() for p in range(n)), *(rest[a:b].tobytes() for a, b in zip(edges, edges[1:]))]
@@ -159,7 +167,7 @@ def _sketch(docs: DataFrame, k: int, range_bits: int, seed: int, key_bits: int,
                         yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(work, "kind int, key long, chunk long, data binary, extra binary, docs binary, bits binary")
+    return docs.mapInArrow(released(work), "kind int, key long, chunk long, data binary, extra binary, docs binary, bits binary")
 
 
 def _count_ranges(sketch: DataFrame) -> DataFrame:
@@ -210,7 +218,7 @@ def _count_ranges(sketch: DataFrame) -> DataFrame:
 
     place = F.when(F.col("kind") == 0, F.xxhash64("chunk", "key")).otherwise(F.col("key"))
     ordered = sketch.repartition(place).sortWithinPartitions("kind", "key", "chunk")
-    return ordered.mapInArrow(work, sketch.schema)
+    return ordered.mapInArrow(released(work), sketch.schema)
 
 
 PREFIXES = "kind int, item long, pid long, n int, pos int, alone int, doc_id long, bits binary"
@@ -276,7 +284,6 @@ def _prefixes(counted: DataFrame, range_bits: int) -> DataFrame:
             yield rows(1, item=token[t], pid=pid[of[t]], n=n[of[t]], pos=pos[t] + alone[of[t]], alone=alone[of[t]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         pieces, parts = [], []
         for batch in batches:
             for b in (batch.slice(a, 64) for a in range(0, len(batch), 64)):
@@ -288,19 +295,18 @@ def _prefixes(counted: DataFrame, range_bits: int) -> DataFrame:
         if pieces:
             yield from finish(pieces, parts)
 
-    return counted.repartition("chunk").sortWithinPartitions("chunk", "kind", "key").mapInArrow(work, PREFIXES)
+    return counted.repartition("chunk").sortWithinPartitions("chunk", "kind", "key").mapInArrow(released(work), PREFIXES)
 
 
 def _whole_sets(docs: DataFrame, k: int, seed: int, key_bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         hashed = WordHash()
         for batch in batches:
             for b in small_batches(batch, "text", 2_000_000):
                 sets = [shingles(t, k, hashed) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s, seed, key_bits) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", "elements"])
 
-    return docs.mapInArrow(work, "gid long, elements binary")
+    return docs.mapInArrow(released(work), "gid long, elements binary")
 
 
 def _close_enough(pairs: DataFrame) -> DataFrame:
@@ -315,7 +321,7 @@ def _close_enough(pairs: DataFrame) -> DataFrame:
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
             yield b.filter(pa.array(apart <= n - 2 * needed(n, 0))).select(["a", "b"])
 
-    return pairs.mapInArrow(work, "a long, b long")
+    return pairs.mapInArrow(released(work), "a long, b long")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -331,7 +337,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return pairs.mapInArrow(work, "a long, b long")
+    return pairs.mapInArrow(released(work), "a long, b long")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:

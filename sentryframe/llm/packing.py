@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .encoding import encoder, small_batches
+from .encoding import encoder, settle, small_batches
 
 PIECE = "struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long,offset:int>"
 BIN = f"bin long, fill int, done boolean, pieces array<{PIECE}>"
@@ -107,6 +107,7 @@ def _first_round(docs: DataFrame, tokenizer_path: str, limit: int, slack: int, e
                 if n_held >= per_task:
                     yield from flush()
         yield from flush()
+        settle()
 
     return docs.mapInArrow(work, BIN)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import release, small_batches
+from .encoding import released, small_batches
 
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8_192, 16_384, 8, 12, 8, 8
 WINDOW, STRIDE = 32, 24
@@ -345,16 +345,13 @@ def fit(rows: DataFrame) -> Scorer:
     """Trains in one task on a bounded sample (text, toxic); only the weights (about 1 MB) come to the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         texts, labels = [], []
         for b in batches:
             texts += b.column("text").to_pylist()
             labels += b.column("toxic").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["scorer"])
-        del texts
-        release()
 
-    got = rows.coalesce(1).mapInArrow(work, "scorer binary").collect()
+    got = rows.coalesce(1).mapInArrow(released(work), "scorer binary").collect()
     return pickle.loads(got[0].scorer) if got else train([], [])
 
 
@@ -362,12 +359,11 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     """The columns of docs and score."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scored(sent, ["doc_id"]), "doc_id long, score double")
+    return rows.mapInArrow(released(_scored(sent, ["doc_id"])), "doc_id long, score double")
 
 
 def _scored(sent, keep: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         scorer = sent.value
         for batch in batches:
             for b in small_batches(batch, "text", 1_000_000):
@@ -382,9 +378,8 @@ def keep_below(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for b in small_batches(batch, text_col, 1_000_000):
                 yield b.filter(pa.array(sent.value.score(b.column(text_col).to_pylist()) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(released(work), docs.schema)
