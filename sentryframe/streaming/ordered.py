@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,15 +22,22 @@ from ..config import BASE_TRUST, UNKNOWN_TRUST, FusionConfig, SandboxCaps
 from ..operators import fusion, policy, sequence, trust
 
 DAY = 86_400
+HELD = 1_000  # rows an entry of a buffer
+MAKERS = {"long": int, "double": float, "boolean": bool, "string": str}
 
 
 class InOrder(StatefulProcessor):
-    """Takes a key's rows by their first two columns (ts_us and a number) once the watermark has passed them.
+    """Takes each key's rows by their first two columns (ts_us and a number) once the watermark has passed them.
 
     Subclasses have `columns` (of the buffered rows), `out` (of the results) and run(key, state, rows), which changes the
-    state (a dict of plain values) and gives a result tuple for each row that has one. A result begins with ts_us."""
+    state (a dict of plain values) and gives a result tuple for each row that has one. A result begins with ts_us.
+
+    One buffer and its timers serve a bucket of keys (in_order deals them out by a hash), as calls into the state store cost
+    more than rows; each key has a state of its own. A micro-batch adds few entries to a buffer and one timer, at the earliest
+    of its rows; so does what stays behind when the timer has come. So the work is in proportion to the rows, however many times they have."""
 
     columns, out = "ts_us long, call_id long", "ts timestamp"
+    keys: dict[str, str] = {}  # names and types of the key columns, set by in_order
 
     def __init__(self, idle: int | None = None):
         self.idle = idle
@@ -38,45 +46,79 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         fields = [c.split() for c in self.columns.split(", ")]
         self.names = [n for n, _ in fields]
-        self.makers = [{"long": int, "double": float, "boolean": bool, "string": str}[kind] for _, kind in fields]
-        self.buffer = handle.getListState("buffer", self.columns)
-        self.state = handle.getValueState("state", "data string, last_us long")
+        self.makers = [(n, MAKERS[kind]) for n, kind in (*fields, *self.keys.items())]
+        self.buffer = handle.getListState("buffer", "rows string")
+        self.state = handle.getMapState("state", "key string", "data string, last_us long")
+        self.ends = handle.getMapState("ends", "at_ms long", "keys string")  # the keys that may have been silent for idle seconds by then
+
+    def _hold(self, rows: list[tuple]) -> list[tuple[str]]:
+        """Entries of the buffer with the rows; registers the timer at which the first of them may be due."""
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+        return [(json.dumps(rows[i : i + HELD]),) for i in range(0, len(rows), HELD)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for f in rows:
-            columns = [[None if pd.isna(v) else make(v) for v in f[n]] for n, make in zip(self.names, self.makers)]
-            self.buffer.appendList(list(zip(*columns)))
-            for ms in {-(-t // 1000) for t in columns[0]}:
-                self.handle.registerTimer(ms)
+            columns = [[None if none else make(v) for v, none in zip(f[n].tolist(), f[n].isna().tolist())] for n, make in self.makers]
+            self.buffer.appendList(self._hold(list(zip(*columns))))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.buffer.get()) if self.buffer.exists() else []
-        due = sorted((r for r in held if r[0] <= upto), key=lambda r: r[:2])
-        data, last = self.state.get() if self.state.exists() else (None, None)
+        held = [r for e in self.buffer.get() for r in json.loads(e[0])]
+        rest, due, n = [r for r in held if r[0] > upto], {}, len(self.names)
+        for r in held:
+            if r[0] <= upto:
+                due.setdefault(tuple(r[n:]), []).append(tuple(r[:n]))
         if due:
-            rest = [r for r in held if r[0] > upto]
-            self.buffer.put(rest) if rest else self.buffer.clear()
-            state, made, begin = json.loads(data) if data is not None else {}, [], 0
-            for i, r in enumerate(due):
-                if self.idle is not None and last is not None and r[0] - last >= self.idle * 1_000_000:
-                    made += self.run(key, state, due[begin:i]) if i > begin else []
-                    state, begin = {}, i
-                last = r[0]
-            made += self.run(key, state, due[begin:])
-            self.state.update((json.dumps(state), last))
-            if self.idle is not None:
-                self.handle.registerTimer(-(-last // 1000) + self.idle * 1000)
-            yield self._frame(key, made)
-        elif not held and last is not None and self.idle is not None and upto >= last + self.idle * 1_000_000:
-            self.state.clear()
-
-    def _frame(self, key, made: list[tuple]) -> pd.DataFrame:
+            self.buffer.put(self._hold(rest)) if rest else self.buffer.clear()
+            last = {k: self._advance(k, rows) for k, rows in due.items()}
+            yield self._frame([(k, r) for k, (made, _) in last.items() for r in made])
+            self._expect({k: at for k, (_, at) in last.items()})
+        if self.idle is not None:
+            self._forget(expiredTimerInfo.getExpiryTimeInMs(), upto)
+
+    def _advance(self, key: tuple, due: list[tuple]) -> tuple[list[tuple], int]:
+        """The results of a key's due rows, and the time of the last; its state goes on from them."""
+        due.sort(key=itemgetter(0, 1))
+        data, last = self.state.getValue((json.dumps(key),)) or (None, None)
+        state, made, begin = json.loads(data) if data is not None else {}, [], 0
+        for i, r in enumerate(due):
+            if self.idle is not None and last is not None and r[0] - last >= self.idle * 1_000_000:
+                made += self.run(key, state, due[begin:i]) if i > begin else []
+                state, begin = {}, i
+            last = r[0]
+        made += self.run(key, state, due[begin:])
+        self.state.updateValue((json.dumps(key),), (json.dumps(state), last))
+        return made, last
+
+    def _expect(self, last: dict[tuple, int]) -> None:
+        """Notes when these keys will have been silent for idle seconds, up to a quarter of that later, so that few timers do."""
+        if self.idle is None:
+            return
+        step, found = max(1, self.idle * 1000 // 4), {}
+        for k, t in last.items():
+            found.setdefault(-(-(t // 1000 + self.idle * 1000 + 1) // step) * step, set()).add(json.dumps(k))
+        for at, names in found.items():
+            before = self.ends.getValue((at,))
+            self.ends.updateValue((at,), (json.dumps(sorted(names.union(json.loads(before[0]) if before else ()))),))
+            if before is None:
+                self.handle.registerTimer(at)
+
+    def _forget(self, at: int, upto: int) -> None:
+        """Removes the states of keys noted for this time that have been silent since."""
+        if (names := self.ends.getValue((at,))) is None:
+            return
+        for name in json.loads(names[0]):
+            kept = self.state.getValue((name,))
+            if kept is not None and upto >= kept[1] + self.idle * 1_000_000:
+                self.state.removeKey((name,))
+        self.ends.removeKey((at,))
+
+    def _frame(self, made: list[tuple]) -> pd.DataFrame:
         """Results with the key's columns, if `out` has them, in front."""
         fields = [c.split() for c in self.out.split(", ")]
-        own = len(fields) - len(made[0]) if made else 0
-        frame = pd.DataFrame([(*key[:own], *r) for r in made], columns=[n for n, _ in fields], dtype=object)
+        own = len(fields) - len(made[0][1]) if made else 0
+        frame = pd.DataFrame([(*k[:own], *r) for k, r in made], columns=[n for n, _ in fields], dtype=object)
         for name, kind in fields:
             if kind == "timestamp":
                 frame[name] = pd.to_datetime(frame[name].astype("int64"), unit="us")
@@ -103,9 +145,11 @@ def _same_time(rows: list[tuple]) -> Iterator[list[tuple]]:
         yield run
 
 
-def in_order(rows: DataFrame, keys: tuple[str, ...], processor: InOrder) -> DataFrame:
-    """The processor over rows, which have a watermark on ts, and ts_us."""
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.out, "Append", "EventTime", eventTimeColumnName="ts")
+def in_order(rows: DataFrame, keys: tuple[str, ...], processor: InOrder, buckets: int = 512) -> DataFrame:
+    """The processor over rows, which have a watermark on ts, and ts_us. The number of buckets is part of a query's state."""
+    processor.keys = {k: {"bigint": "long"}.get(kind := rows.schema[k].dataType.simpleString(), kind) for k in keys}
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, processor.out, "Append", "EventTime", eventTimeColumnName="ts")
 
 
 def with_event_time(rows: DataFrame, late: str) -> DataFrame:

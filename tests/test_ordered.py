@@ -68,6 +68,27 @@ def test_state_does_not_grow_with_age(spark):
     assert max(sizes[len(sizes) // 2 :]) <= max(sizes[: len(sizes) // 2]) and sizes[-1] < 3 * max(sizes) / 2
 
 
+def test_many_rows_of_one_key_wake_it_once(spark):
+    """5,000 rows of one source at 5,000 times are few entries of the state and few timers, and their trust is that of a plain fold."""
+    ddl = "source_type string, source_id string, ts timestamp, call_id long, outcome int"
+    rows = [("tool_code", None if i % 2 else "s", T0 + dt.timedelta(milliseconds=700 * i), i, i // 7 % 2 if i % 3 else None) for i in range(5_000)]
+    path = shared_path(spark, "one-key")
+    for part in (rows, [("user_input", "end", AT(9_000_000), -1, None)]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+    out = shared_path(spark, "one-key-out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    q = ordered.trust_as_of_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 50
+    want, now = {}, {None: 0.4, "s": 0.4}
+    for _, source, _, i, outcome in rows:
+        want[i] = round(now[source], 9)
+        now[source] = now[source] if outcome is None else 0.8 * now[source] + 0.2 * outcome
+    assert {r.call_id: round(r.trust, 9) for r in spark.read.parquet(out).collect()} == want
+
+
 def test_trigger_buffer_over_a_restart(spark):
     """Any split into batches and a stopped query give the triggers of the batch form, each once."""
     rows = [(i % 3, i) for i in range(200)]
