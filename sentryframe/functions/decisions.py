@@ -128,6 +128,15 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double to so many places as SQL engines have it: the scaled double to the nearest whole number, halves away from zero, and back.
+
+    F.round goes by the shortest decimal form instead, which differs where scaling makes a half or unmakes one."""
+    scale = F.lit(10.0**digits)
+    whole = F.round(c * scale, 0)
+    return F.when(whole == 0, c * 0.0).when(F.abs(whole) < float("inf"), whole / scale).otherwise(c)  # zeros keep their sign
+
+
 def pseudo_score(text: Column) -> Column:
     """A reproducible stand-in for a detector's score, from the text's SHA-256."""
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)

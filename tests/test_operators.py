@@ -373,3 +373,26 @@ def test_restore_takes_the_last_row_before_a_start_without_pairs(spark):
     got = {(r.key, r.start_seq): r.threshold for r in out.collect()}
     assert got == {(1, 1): 0.5, (1, 3): 0.1, (1, 4): 0.3, (1, 9): 0.5, (3, 5): 0.5, (None, 5): 0.5} and out.count() == 6
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_doubles_are_rounded_as_in_sql(spark):
+    """Scaling makes halves of doubles whose shortest form has none, and the other way round; zeros keep their sign."""
+    import duckdb
+
+    from sentryframe.functions.decisions import rounded
+
+    values = [1566333755.4444445, -0.0000004, 0.0, -0.0, float("inf"), None, 1e305] + [v * scale for scale in (1e-7, 1e4, 1e9) for v in [(i * 37.7 - 900) / 7 for i in range(3_000)]]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 6).alias("v")).collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
+    assert list(map(str, got)) == list(map(str, want))
+
+
+def test_screen_by_rounded_similarity(spark):
+    """A similarity of 0.499997 is 0.5 to five digits."""
+    from sentryframe.operators import memory
+
+    s = 0.499997
+    known = spark.createDataFrame([(1, "a", [1.0, 0.0])], "idx long, text string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [s, (1 - s * s) ** 0.5]), (2, [0.49999, (1 - 0.49999**2) ** 0.5])], "id long, embedding array<double>")
+    assert {r.id: r.known for r in memory.screen(asked, known, 0.5, digits=5).collect()} == {1: True, 2: False}
+    assert not any(r.known for r in memory.screen(asked, known, 0.5).collect())
