@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..checkpoints import cut, shared_path
 from ..config import Calibration
-from ..functions.decisions import normalized
+from ..functions.decisions import normalized, rounded
 
 BLOCK_ROWS = 20_000
 
@@ -218,9 +218,73 @@ def _best_of(spark: SparkSession, entries: list, key: str):
     return work
 
 
-def screen(queries: DataFrame, memory: DataFrame, threshold: float = 0.9, key: str = "id") -> DataFrame:
-    """Adds known: whether the nearest entry's similarity reaches the threshold."""
-    return nearest(queries, memory, key).withColumn("known", F.col("similarity") >= threshold)
+def screener(memory: DataFrame, threshold: float, block_rows: int | None = None) -> Callable[[Column], Column]:
+    """A function of an embedding column: whether some entry of memory (idx, embedding) has that similarity, to 12 digits. It is 0.0
+    without memory or vector.
+
+    It is evaluated where the rows are, so that they need no shuffle or join. A memory of one block is sent to the tasks. A larger one
+    is indexed in the shared folder, from which a task reads, once for each of its batches, the blocks that may hold an entry near
+    enough to a row that has none yet, the nearest pivots' blocks first."""
+    spark, block_rows = memory.sparkSession, block_rows or BLOCK_ROWS
+    entries = memory.select("idx", F.lit(None).cast("string").alias("text"), "embedding")
+    n = entries.count()
+    if n <= block_rows:
+        rows = [r.embedding for r in entries.select("embedding").limit(block_rows).collect()]
+        sent = spark.sparkContext.broadcast(np.array(rows, np.float64) if rows else None)
+    else:
+        sent = spark.sparkContext.broadcast(build_index(entries, block_rows, fine=True))
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept: dict[tuple[int, int], np.ndarray] = {}
+
+        def read(pivot: int, block: int) -> np.ndarray:
+            if (found := kept.pop((pivot, block), None)) is None:
+                found = _read_block(sent.value.folder, pivot, block)[0]
+                while kept and sum(m.nbytes for m in kept.values()) + found.nbytes > CACHE_BYTES:
+                    del kept[next(iter(kept))]  # the one that was used longest ago
+            kept[pivot, block] = found
+            return found
+
+        for b in batches:
+            out, have, x = np.full(len(b), 0.0 >= threshold), np.flatnonzero(b.is_valid().to_numpy(zero_copy_only=False)), sent.value
+            if len(have) and x is not None:
+                v = _flat(b.drop_null())
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                out[have] = _reaches(v, np.arange(len(v)), x, threshold) if isinstance(x, np.ndarray) else _reaches_any(v, x, threshold, read)
+            yield pa.array(out)
+
+    return known
+
+
+def _reaches(v: np.ndarray, rows: np.ndarray, matrix: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether these rows of v have that similarity with an entry of the matrix."""
+    per = max(1, CELLS // len(matrix))
+    return np.concatenate([np.round((v[rows[i : i + per]] @ matrix.T).max(1), 12) >= threshold for i in range(0, len(rows), per)])
+
+
+def _reaches_any(v: np.ndarray, index: Index, threshold: float, read: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """Whether unit vectors have that similarity with an entry of the index. A block is read for those that its pivot's bound
+    leaves open and for which no entry was found before."""
+    known, first = np.zeros(len(v), bool), np.empty(len(v), np.int64)
+    near, reach = np.empty((len(v), len(index.pivots)), bool), np.sqrt(max(2 - 2 * threshold, 0)) + 2e-6  # a tie in 12 digits may lie as far
+    for i in range(0, len(v), SLICE):
+        part = v[i : i + SLICE]
+        near[i : i + SLICE], first[i : i + SLICE] = (index.bounds(part) <= reach) & (index.blocks > 0), (part @ index.pivots.T).argmax(1)
+    for own in (True, False):
+        for p in np.flatnonzero(near.any(0)).tolist():
+            asked = near[:, p] & ((first == p) == own)
+            for block in range(int(index.blocks[p])):
+                if len(rows := np.flatnonzero(asked & ~known)):
+                    matrix = read(p, block)
+                    known[rows] = _reaches(v, rows, matrix, threshold) if len(matrix) else False
+    return known
+
+
+def screen(queries: DataFrame, memory: DataFrame, threshold: float = 0.9, key: str = "id", digits: int | None = None) -> DataFrame:
+    """Adds known: whether the nearest entry's similarity, rounded to so many digits if given, reaches the threshold."""
+    similarity = F.col("similarity") if digits is None else rounded(F.col("similarity"), digits)
+    return nearest(queries, memory, key).withColumn("known", similarity >= threshold)
 
 
 def unlearn(memory: DataFrame, texts: DataFrame) -> DataFrame:
