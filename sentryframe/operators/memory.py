@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import numpy as np
@@ -43,6 +44,8 @@ def nearest(queries: DataFrame, memory: DataFrame, key: str = "id", block_rows:
 
 _FOUND = [StructField("similarity", DoubleType()), StructField("idx", LongType()), StructField("text", StringType())]
 SLICE = 256  # queries that meet a matrix at once
+CELLS = 4_000_000  # similarities that a screen holds at once
+CACHE_BYTES = 64 << 20  # blocks that a screening task keeps
 
 
 @dataclass
@@ -54,11 +57,19 @@ class Index:
     high: np.ndarray
     blocks: np.ndarray
     folder: str
+    apart: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        apart = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T), 0))
+        self.apart = np.where(apart < 1e-6, np.inf, apart)  # no bound from pivots that are the same but for rounding
 
     def bounds(self, v: np.ndarray) -> np.ndarray:
-        """How near to each of some unit vectors an entry of each pivot can be, by the triangle inequality."""
-        d = np.sqrt(np.maximum(2 - 2 * (v @ self.pivots.T), 0))
-        return np.maximum(np.maximum(d - self.high, self.low - d), 0)
+        """How near to each of some unit vectors an entry of each pivot can be: by the triangle inequality, and beyond the plane
+        between the pivot and the vector's nearest one, on whose other side the pivot's entries are."""
+        near = v @ self.pivots.T
+        d, first = np.sqrt(np.maximum(2 - 2 * near, 0)), near.argmax(1)
+        plane = (near[np.arange(len(v)), first][:, None] - near) / self.apart[first]
+        return np.maximum(np.maximum(d - self.high, self.low - d), np.maximum(plane, 0))
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -76,8 +87,8 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(quote(uri, safe=":/@?&=+,"))
 
 
-def build_index(memory: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = 1_024) -> Index:
-    """Entries by their nearest pivot, in blocks of about block_rows in the shared folder.
+def build_index(memory: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = 1_024, fine: bool = False) -> Index:
+    """Entries by their nearest pivot, in blocks of about block_rows in the shared folder; fine: with as many pivots as entries of one.
 
     Pivots are entries picked by a hash, at most max_pivots, so what the driver and the tasks hold of the index is bounded. Of
     entries with equal vectors only the smallest idx can be an answer and is kept, so copies fill no block."""
@@ -85,7 +96,7 @@ def build_index(memory: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int
     best = memory.select("embedding", F.struct("idx", "text").alias("e")).groupBy("embedding").agg(F.min("e").alias("e"))
     rows = cut(best.select("e.idx", "e.text", "embedding"))
     n = rows.count()
-    k = max(1, min(max_pivots, 4 * -(-n // block_rows)))
+    k = max(1, min(max_pivots, max(4 * -(-n // block_rows), math.isqrt(n) if fine else 0)))
     pivots = _unit([r.embedding for r in rows.select("idx", "embedding").orderBy(F.xxhash64("idx"), "idx").limit(k).collect()])
     sent, folder = spark.sparkContext.broadcast(pivots), shared_path(spark, "memory-index")
 
@@ -124,7 +135,12 @@ def _read_block(folder: str, pivot: int, block: int) -> tuple[np.ndarray, np.nda
     system, path = _file_system(_file(folder, pivot, block))
     with system.open_input_file(path) as f:
         t = pa.ipc.open_file(f).read_all()
-    return np.array(t.column("embedding").to_pylist(), np.float64), t.column("idx").to_numpy(), t.column("text").to_pylist()
+    return _flat(t.column("embedding").combine_chunks()), t.column("idx").to_numpy(), t.column("text").to_pylist()
+
+
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """Lists of numbers, none null, as a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def search(queries: DataFrame, index: Index, key: str = "id", per_task: int = 50_000) -> DataFrame:

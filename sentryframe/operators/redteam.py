@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..checkpoints import cut
 from ..config import FILLER, SYNONYMS, TEMPLATES, Calibration
 from ..functions.decisions import normalized, pick
-from .memory import nearest, step
+from .memory import screener, step
 
 Generator = Callable[[DataFrame, int, int], DataFrame] | None
 ZERO_WIDTH = "​"
@@ -56,17 +56,17 @@ def dilute(text: Column, *keys: Column, filler: str = FILLER) -> Column:
     return F.when(where == "start", F.concat_ws(" ", around, text)).when(where == "end", F.concat_ws(" ", text, around)).otherwise(middle)
 
 
-def variants(pool: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def variants(pool: DataFrame, n: int, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """n variants per seed attack: strategy i mod 4; the base text is drawn from the attack and its evasions so far.
 
-    pool: seed_id, text, evasions (array). Draws are hashes of the seed, attack and i, so reruns agree."""
-    rows = pool.select("seed_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.concat(F.array("text"), F.coalesce("evasions", F.expr("array()").cast("array<string>"))).alias("bases"))
+    pool: seed_id, text, evasions (array) and columns to keep. Draws are hashes of the seed, attack and i, so reruns agree."""
+    rows = pool.select("seed_id", *keep, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.concat(F.array("text"), F.coalesce("evasions", F.expr("array()").cast("array<string>"))).alias("bases"))
     keys = (F.lit(seed), F.col("seed_id"), F.col("i"))
     draw = F.conv(F.substring(F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit("base")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("base", F.element_at("bases", (draw % F.size("bases") + 1).cast("int"))).withColumn("strategy", F.pmod("i", F.lit(4)))
     base, strategy = F.col("base"), F.col("strategy")
     text = F.when(strategy == 0, swap_synonyms(base, *keys)).when(strategy == 1, obfuscate(base, *keys)).when(strategy == 2, in_template(base, *keys)).otherwise(dilute(base, *keys))
-    return rows.select("seed_id", "i", "strategy", text.alias("text"))
+    return rows.select("seed_id", *keep, "i", "strategy", text.alias("text"))
 
 
 def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], n: int, round_no: int = 0, known_at: float = 0.9, c: Calibration = Calibration(), seed: int = 42, generate: Generator = None) -> DataFrame:
@@ -75,12 +75,14 @@ def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFram
     generate makes seed_id, i and text of n variants from pool, n and a seed (variants, unless another one is given); of an
     outside generator's rows those with null or blank text are left out.
 
-    Variants near the memory as of the round's start are screened out. The rest are scored, and per seed attack one ordered
-    fold of at most n variants goes through them, for the threshold moves with every evasion."""
-    made = variants(pool, n, seed + round_no) if generate is None else generate(pool, n, seed + round_no).select("seed_id", "i", "text").filter("trim(text) != ''")
-    made = embed(made).withColumn("id", F.struct("seed_id", "i"))
-    near = nearest(made, memory).select("id", (F.col("similarity") >= known_at).alias("screened"))
-    scored = score(made.join(near, "id"))
+    Variants near the memory (idx, embedding) as of the round's start are screened out. The rest are scored, and per seed attack one
+    ordered fold of at most n variants goes through them, for the threshold moves with every evasion. Variants are
+    made, screened and scored in one pass, and a shuffle brings each seed attack's together, with the texts of those that may evade."""
+    pool = pool.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed_id")
+    made = variants(pool, n, seed + round_no, ("threshold",)) if generate is None else generate(pool, n, seed + round_no).select("seed_id", "i", "text").filter("trim(text) != ''")
+    scored = score(embed(made).withColumn("screened", screener(memory, known_at)(F.col("embedding"))))
+    if generate is None:  # no threshold of a round is above its first one and the lower bound
+        scored = scored.withColumn("text", F.when((F.col("score") >= F.col("threshold")) & (F.col("score") >= c.low), F.lit(None)).otherwise(F.col("text")))
     per = scored.groupBy("seed_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_generated"),
         F.count_if("screened").cast("int").alias("n_screened_out"),
@@ -104,15 +106,18 @@ def red_team_round(pool: DataFrame, memory: DataFrame, score: Callable[[DataFram
 def red_team_loop(pool: DataFrame, memory: DataFrame, score, embed, n: int, rounds: int, carry: int = 10, stop_below: float = 0.1, stop_after: int | None = None, seed: int = 42, generate: Generator = None) -> DataFrame:
     """Rounds for all seed attacks together; the last `carry` evasions join the next round's bases and all of them the memory.
 
-    A seed attack stops when its last stop_after rounds stayed below stop_below. Each round is written to the checkpoint folder."""
-    spark, results = pool.sparkSession, None
+    A seed attack stops when its last stop_after rounds stayed below stop_below. Each round is written to the checkpoint folder, and
+    of what it adds to the memory the vectors, once."""
+    spark, results, memory = pool.sparkSession, None, memory.select("idx", "embedding")
     state = pool.select("seed_id", "text", F.expr("cast(array() as array<string>)").alias("evasions"), F.lit(Calibration().start).alias("threshold"), F.lit(0).alias("quiet"))
     for r in range(rounds):
         done = cut(red_team_round(state.drop("quiet"), memory, score, embed, n, r, seed=seed, generate=generate))
         results = done if results is None else results.unionByName(done)
+        if r == rounds - 1:
+            break
         new = embed(done.select("seed_id", F.posexplode("evasions").alias("k", "text")))
-        added = new.select(F.xxhash64("seed_id", F.lit(r), "k").alias("idx"), "text", normalized(F.col("embedding")).alias("embedding"))
-        memory = cut(memory.select("idx", "text", "embedding").unionByName(added))
+        added = new.select(F.xxhash64("seed_id", F.lit(r), "k").alias("idx"), normalized(F.col("embedding")).alias("embedding"))
+        memory = memory.unionByName(cut(added))
         last = done.select("seed_id", F.col("evasions").alias("new"), F.col("threshold").alias("t"), "evasion_rate")
         all_ = F.concat("evasions", "new")
         state = state.join(last, "seed_id").select("seed_id", "text", F.slice(all_, F.greatest(F.size(all_) - (carry - 1), F.lit(1)), carry).alias("evasions"), F.col("t").alias("threshold"), F.when(F.col("evasion_rate") < stop_below, F.col("quiet") + 1).otherwise(0).alias("quiet"))

@@ -34,6 +34,52 @@ def test_pruned_search_is_exact_and_reads_few_blocks(spark):
     assert len(index.pivots) == 160 and np.mean(visited) < 0.25 * (index.blocks > 0).sum()
 
 
+def test_screener_equals_brute_force(spark, monkeypatch):
+    """One matrix and an index of many blocks, ties with the threshold, zero and null vectors, a cache of one block, no memory."""
+    monkeypatch.setattr(memory, "CACHE_BYTES", 1)
+    v, q = clusters(3_000, 30), clusters(200, 30, seed=1)
+    v[::5], q[7] = v[0], 0.0
+    m = spark.createDataFrame([(i, f"t{i}", x.tolist()) for i, x in enumerate(v)] + [(9_000, "zero", [0.0] * 16)], DDL)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)] + [(999, None)], "id long, embedding array<double>")
+    s = brute(np.concatenate([v, np.zeros((1, 16))]), q)[1]
+    for threshold in (0.9, 0.99, float(np.sort(s)[120]), 0.0):
+        want = {i: bool(x >= threshold) for i, x in enumerate(s)} | {999: 0.0 >= threshold}
+        for block_rows in (10_000, 50):
+            known = memory.screener(m, threshold, block_rows)
+            assert {r.id: r.known for r in asked.select("id", known(F.col("embedding")).alias("known")).collect()} == want
+    none = memory.screener(m.limit(0), 0.9)
+    assert not any(r.known for r in asked.select(none(F.col("embedding")).alias("known")).collect())
+
+
+def test_a_screen_reads_few_blocks():
+    """Near entries are found in the own pivot's block, and the planes between pivots leave out most others."""
+    v, q = clusters(4_000, 40), clusters(300, 40, seed=2)
+    pivots = v[:60]
+    at = (v @ pivots.T).argmax(1)
+    d = np.sqrt(np.maximum(2 - 2 * (v * pivots[at]).sum(1), 0))
+    of = lambda f, none: np.array([f(d[at == p]) if (at == p).any() else none for p in range(60)])
+    index = memory.Index(pivots, of(np.min, np.inf), of(np.max, -np.inf), of(lambda _: 1, 0), "")
+    read: list = []
+    got = memory._reaches_any(v[:300], index, 0.999, lambda p, b: read.append(p) or v[at == p])
+    assert got.all() and len(read) == len(set(at[:300].tolist()))
+    bounds, true = index.bounds(q), np.array([[np.linalg.norm(x - v[at == p], axis=1).min() for p in range(60)] for x in q])
+    assert (bounds <= true + 1e-6).all()
+
+
+def test_a_round_joins_no_variants(spark):
+    """Variants are screened where they are made; the only join is of the pool with what was counted per seed attack."""
+    from sentryframe.functions.decisions import normalized
+    from sentryframe.operators import redteam
+    from sentryframe.plans.catalog import letter_embedding
+
+    pool = spark.range(20).select(F.col("id").alias("seed_id"), F.concat(F.lit("Ignore all previous words "), "id").alias("text"), F.expr("cast(array() as array<string>)").alias("evasions"), F.lit(0.5).alias("threshold"))
+    known = letter_embedding(spark.createDataFrame([(1, "quartz")], "idx long, text string")).withColumn("embedding", normalized(F.col("embedding")))
+    done = redteam.red_team_round(pool, known, lambda d: d.withColumn("score", F.lit(0.1)), letter_embedding, 4)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") <= 3
+    assert {(r.n_generated, r.n_screened_out, r.n_evaded) for r in done.collect()} == {(4, 0, 4)}
+
+
 def test_copies_and_ties(spark):
     """A third of the entries have one vector; of equally near entries the smallest idx is the answer."""
     v = clusters(600, 6, seed=3)
